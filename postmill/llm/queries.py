@@ -4,14 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm import quality
+from postmill.llm import decontaminate, langid, quality, toxicity
+from postmill.llm.langid import held_out
 from postmill.llm.session import documents
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs.where(~held_out("doc_id", 5, 0)))
+    return langid.identify(docs, model).withColumn("held_out", held_out("doc_id", 5, 0))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.judge(docs, quality.fit(docs, documents(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules,)}
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, documents(spark, sf_dir, "labels").where(~held_out("doc_id", 4, 2)))
+    return toxicity.report(docs, model).withColumn("held_out", held_out("doc_id", 4, 2))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op4_language_id, op5_quality_rules, op6_toxicity, op10_decontamination)}
 SQL: dict[str, str] = {}
