@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm import decontaminate, langid, quality, toxicity
+from postmill.llm import decontaminate, jaccard, langid, quality, toxicity
 from postmill.llm.langid import held_out
 from postmill.llm.session import documents
 
@@ -26,9 +26,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(docs, model).withColumn("held_out", held_out("doc_id", 4, 2))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(documents(spark, sf_dir))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op5_quality_rules, op6_toxicity, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op4_language_id, op5_quality_rules, op6_toxicity, op7_ngram_jaccard, op10_decontamination)}
 SQL: dict[str, str] = {}
