@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm import decontaminate, jaccard, langid, quality, toxicity
+from postmill.llm import decontaminate, jaccard, langid, mixing, quality, toxicity
 from postmill.llm.langid import held_out
 from postmill.llm.session import documents
 
 
+def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = langid.fit(docs.where(~held_out("doc_id", 5, 0)))
@@ -34,5 +38,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op5_quality_rules, op6_toxicity, op7_ngram_jaccard, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_temperature_mixing, op4_language_id, op5_quality_rules, op6_toxicity, op7_ngram_jaccard, op10_decontamination)}
 SQL: dict[str, str] = {}
