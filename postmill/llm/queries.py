@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm import decontaminate, jaccard, langid, mixing, quality, toxicity
+from postmill.llm import decontaminate, jaccard, langid, mixing, ngram_lm, quality, toxicity
 from postmill.llm.langid import held_out
 from postmill.llm.session import documents
 
@@ -34,9 +34,15 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(documents(spark, sf_dir))
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = ngram_lm.fit(docs.where(~held_out("doc_id", 7, 2)))
+    return ngram_lm.score(docs, model).withColumn("held_out", held_out("doc_id", 7, 2))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_temperature_mixing, op4_language_id, op5_quality_rules, op6_toxicity, op7_ngram_jaccard, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_temperature_mixing, op4_language_id, op5_quality_rules, op6_toxicity, op7_ngram_jaccard, op9_kneser_ney, op10_decontamination)}
 SQL: dict[str, str] = {}
