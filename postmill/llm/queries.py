@@ -4,11 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm import decontaminate, jaccard, langid, mixing, ngram_lm, quality, toxicity
+from postmill.llm import decontaminate, jaccard, langid, lengths, mixing, ngram_lm, quality, toxicity, urlfilter, warc
 from postmill.llm.langid import held_out
 from postmill.llm.session import documents
 
 
+#: host, path, verdict.
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(documents(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
+
+
+OP1_SQL = r"""
+WITH p AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+r(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+f AS (
+  SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+  FROM (SELECT DISTINCT host, path FROM p) d JOIN r ON (d.host = r.h OR ends_with(d.host, '.' || r.h)) AND starts_with(d.path, r.p)
+  GROUP BY 1, 2)
+SELECT page_id, p.host, p.path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN f ON p.host = f.host AND p.path = f.path
+"""
+
+
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(documents(spark, sf_dir, "pages")))
+
+
 def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -34,6 +61,10 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(documents(spark, sf_dir))
 
 
+def op8_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.suffix_sums(lengths.histogram(documents(spark, sf_dir)))
+
+
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = ngram_lm.fit(docs.where(~held_out("doc_id", 7, 2)))
@@ -44,5 +75,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_temperature_mixing, op4_language_id, op5_quality_rules, op6_toxicity, op7_ngram_jaccard, op9_kneser_ney, op10_decontamination)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_warc_derivatives, op3_temperature_mixing, op4_language_id, op5_quality_rules, op6_toxicity, op7_ngram_jaccard, op8_length_histogram, op9_kneser_ney, op10_decontamination)}
+SQL = {"op1_url_filter": OP1_SQL}
