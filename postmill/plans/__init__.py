@@ -1,0 +1 @@
+"""Whole plans: ingest, job queries, digest, liveness."""

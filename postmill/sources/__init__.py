@@ -1,0 +1 @@
+"""Sources: pages in, canonical records out."""
