@@ -104,7 +104,7 @@ class Model:
     langs: list[str]
     #: Letters by symbol number less 2; 0 is the space, 1 any other letter.
     letters: np.ndarray
-    #: All automata one below the other; roots[k] is the first state of language k.
+    #: All automata one below the other, then a state without transitions; roots[k] is the first state of language k.
     table: np.ndarray
     roots: np.ndarray
     #: Bits that a phrase costs in each language.
@@ -138,7 +138,8 @@ def train(texts: list[tuple[str, str]], limit: int = TRAIN_SYMBOLS) -> Model:
         roots.append(base)
         tables.append(np.where(t >= 0, t + base, -1).astype(np.int32))
     bits = np.array([np.log2(max(2, len(joined[k]))) for k in langs])
-    return Model(langs, letters, np.concatenate(tables) if tables else np.zeros((1, len(letters) + 2), np.int32), np.array(roots, np.int64), bits)
+    tables.append(np.full((1, len(letters) + 2), -1, np.int32))  # where a letter leads that no text has: to no match
+    return Model(langs, letters, np.concatenate(tables), np.array(roots, np.int64), bits)
 
 
 def phrases(m: Model, low: np.ndarray, at: np.ndarray, lane: int = LANE) -> np.ndarray:
@@ -164,7 +165,7 @@ def phrases(m: Model, low: np.ndarray, at: np.ndarray, lane: int = LANE) -> np.n
         if miss.any():
             count[:, :n] += miss if t else 0
             fresh = flat[roots[:, None] * width + c[None, :]]
-            to = np.where(miss, np.where(fresh < 0, roots[:, None], fresh), to)
+            to = np.where(miss, np.where(fresh < 0, len(m.table) - 1, fresh), to)
         state[:, :n] = to
     out = np.zeros((len(size), len(roots)), dtype=np.int64)
     for k in range(len(roots)):
