@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm import decontaminate, jaccard, langid, lengths, mixing, ngram_lm, quality, toxicity, urlfilter, warc
+from postmill.llm import decontaminate, jaccard, langid, lengths, mixing, ngram_lm, quality, sql, toxicity, urlfilter, warc
 from postmill.llm.langid import held_out
 from postmill.llm.session import documents
 
 
+def _with_held_out(rows: DataFrame, parts: int, part: int) -> DataFrame:
+    return rows.select("doc_id", held_out("doc_id", parts, part).alias("held_out"), *[c for c in rows.columns if c != "doc_id"])
+
+
 #: host, path, verdict.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -17,21 +21,6 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(documents(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
 
 
-OP1_SQL = r"""
-WITH p AS (
-  SELECT page_id,
-    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
-  FROM pages),
-r(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
-f AS (
-  SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
-  FROM (SELECT DISTINCT host, path FROM p) d JOIN r ON (d.host = r.h OR ends_with(d.host, '.' || r.h)) AND starts_with(d.path, r.p)
-  GROUP BY 1, 2)
-SELECT page_id, p.host, p.path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN f ON p.host = f.host AND p.path = f.path
-"""
-
-
 def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(documents(spark, sf_dir, "pages")))
 
@@ -43,7 +32,7 @@ def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = langid.fit(docs.where(~held_out("doc_id", 5, 0)))
-    return langid.identify(docs, model).withColumn("held_out", held_out("doc_id", 5, 0))
+    return _with_held_out(langid.identify(docs, model), 5, 0)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +43,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, documents(spark, sf_dir, "labels").where(~held_out("doc_id", 4, 2)))
-    return toxicity.report(docs, model).withColumn("held_out", held_out("doc_id", 4, 2))
+    return _with_held_out(toxicity.report(docs, model), 4, 2)
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +57,7 @@ def op8_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = ngram_lm.fit(docs.where(~held_out("doc_id", 7, 2)))
-    return ngram_lm.score(docs, model).withColumn("held_out", held_out("doc_id", 7, 2))
+    return _with_held_out(ngram_lm.score(docs, model), 7, 2)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +65,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_warc_derivatives, op3_temperature_mixing, op4_language_id, op5_quality_rules, op6_toxicity, op7_ngram_jaccard, op8_length_histogram, op9_kneser_ney, op10_decontamination)}
-SQL = {"op1_url_filter": OP1_SQL}
+SQL = {"op1_url_filter": sql.OP1, "op2_warc_derivatives": sql.OP2, "op7_ngram_jaccard": sql.OP7, "op10_decontamination": sql.OP10}
