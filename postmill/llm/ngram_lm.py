@@ -35,8 +35,6 @@ from postmill.llm.session import arrow, fresh, saved, tune
 END, START = W.fmix(np.array([0xE0D], W.U64))[0], W.fmix(np.array([0x57A27], W.U64))[0]
 #: Tokens counted at once in a task.
 FLUSH = 3_000_000
-#: Shards for each shuffle partition.
-SHARDS = 4
 SCORED = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
 
@@ -321,7 +319,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     spark = tune(docs.sparkSession)
     folder = fresh(spark, "ngram-lm")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = SHARDS * parts
+    shards = parts
     text = docs.select(F.col(text_col).cast("string").alias("t"))
     deal = "shard int, part binary"
     told = saved(text.mapInArrow(_count_words(shards), deal).repartition(parts, "shard").mapInArrow(_merge_words(folder), "shard int, kinds bigint, total bigint, word bigint, n bigint"), "lm-words")
