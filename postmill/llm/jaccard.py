@@ -9,9 +9,10 @@ reach the threshold:
    is exact for any such order.
 2. Equal sets are one row, named by a 64-bit key of the set. A row keeps the first grams in
    that order, as many as a partner must share one of.
-3. Postings of those grams are dealt by gram as packed arrays. Pairs whose sizes or whose
-   places of the shared gram rule the threshold out are dropped. For common grams, and for
-   lists longer than LONG, each member is paired with the least one only.
+3. Postings of those grams are dealt by gram as packed arrays. Pairs accumulate how many of
+   their first grams they share; those whose sizes, places or number of shared grams rule
+   the threshold out are dropped. For common grams, and for lists longer than LONG, each member is paired
+   with the least one only.
 4. Connected rows of those pairs make groups. The whole sets of a group are split into
    blocks, and each pair of blocks is a task that accumulates overlap counts by sparse
    products, drops pairs below the size-derived bound and returns a spanning forest of the links.
@@ -36,7 +37,7 @@ from pyspark.sql import types as T
 
 from postmill.llm import words as W
 from postmill.llm.components import components
-from postmill.llm.session import arrow, saved, tune
+from postmill.llm.session import arrow, discard, release, saved, tune
 
 GRAM = 5
 #: Similarity at which rows link, as a fraction.
@@ -45,7 +46,7 @@ NUM, DEN = 80, 100
 LOCAL, COMMON, MAX_COMMON = 3, 24, 1_000_000
 #: Grams counted, or postings packed, at once in a task.
 FLUSH = 2_000_000
-LONG = 96
+LONG = 64
 #: Rows and grams of a block.
 BLOCK_ROWS, BLOCK_GRAMS = 512, 1_000_000
 #: Candidate ids that may be broadcast.
@@ -194,7 +195,8 @@ def _unpacked(parts: list[bytes]):
 
 
 def _candidates(common: tuple[np.ndarray, np.ndarray]):
-    """Pairs (kind 0) of a shard's short lists; members (kind 1: gram, key) of common and long ones."""
+    """Pairs (kind 0) of a shard's short lists, with how many first grams they share there, and whether one of those
+    may be the first of enough; members (kind 1: gram, key) of common and long ones."""
 
     def paired(parts):
         gram, key, n, place = _unpacked(parts)
@@ -214,12 +216,28 @@ def _candidates(common: tuple[np.ndarray, np.ndarray]):
             left.append((at + i).ravel())
             right.append((at + j).ravel())
         a, b = np.concatenate(left), np.concatenate(right)
+        sized = (DEN * n[a] >= NUM * n[b]) & (DEN * n[b] >= NUM * n[a])
+        a, b = a[sized], b[sized]
+        swap = key[a] > key[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
         able = np.minimum(n[a] - place[a], n[b] - place[b]) >= least_overlap(n[a], n[b])
-        pairs = np.unique(np.stack([key[a[able]].view(np.int64), key[b[able]].view(np.int64)]), axis=1)
-        hot_rows = np.stack([gram[member].view(np.int64), key[member].view(np.int64)])
-        kind = np.concatenate([np.zeros(pairs.shape[1], np.int32), np.ones(hot_rows.shape[1], np.int32)])
-        both = np.concatenate([pairs, hot_rows], axis=1)
-        return pa.record_batch({"kind": pa.array(kind), "a": pa.array(both[0]), "b": pa.array(both[1])})
+        order = np.lexsort((key[b], key[a]))
+        a, b, able = a[order], b[order], able[order]
+        first = np.flatnonzero(np.concatenate([[True], (key[a][1:] != key[a][:-1]) | (key[b][1:] != key[b][:-1])])) if len(a) else np.zeros(0, np.int64)
+        shared = np.diff(np.concatenate([first, [len(a)]])) if len(a) else first
+        any_able = np.logical_or.reduceat(able, first) if len(a) else np.zeros(0, bool)
+        a, b = a[first], b[first]
+        m = int(member.sum())
+        cols = {
+            "kind": np.concatenate([np.zeros(len(a), np.int32), np.ones(m, np.int32)]),
+            "a": np.concatenate([key[a], gram[member]]).view(np.int64),
+            "b": np.concatenate([key[b], key[member]]).view(np.int64),
+            "na": np.concatenate([n[a], n[member]]),
+            "nb": np.concatenate([n[b], n[member]]),
+            "shared": np.concatenate([shared, np.zeros(m, np.int64)]),
+            "able": np.concatenate([any_able, np.zeros(m, bool)]),
+        }
+        return pa.record_batch({k: pa.array(v) for k, v in cols.items()})
 
     def f(batches):
         by: dict[int, list[bytes]] = {}
@@ -232,6 +250,18 @@ def _candidates(common: tuple[np.ndarray, np.ndarray]):
     return f
 
 
+def _pairs(found: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of short lists that may still link. Say the first grams of one row end before those of the other: all its shared
+    ones among them are first grams of the other too, so the overlap is at most those plus the rest of that row."""
+    hot = members.groupBy("key").agg(F.count("*").alias("hot"))
+    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("shared").alias("shared"), F.bool_or("able").alias("able")).where("able")
+    for x in "ab":
+        pairs = pairs.join(hot.select(F.col("key").alias(x), F.col("hot").alias(f"hot_{x}")), x, "left")
+    rest = lambda n: f"(({NUM} * {n} + {DEN - 1}) div {DEN} - 1)"
+    most = f"shared + least(coalesce(hot_a, 0), coalesce(hot_b, 0)) + greatest({rest('na')}, {rest('nb')})"
+    return pairs.where(f"{most} >= ({NUM} * (na + nb) + {NUM + DEN - 1}) div {NUM + DEN}").select("a", "b")
+
+
 def product(rows: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links between rows of the first block and rows of the second (masks).
     Overlaps of one row with all others are accumulated from the postings of its grams."""
@@ -302,11 +332,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = saved(own.select("doc_id", arrow(lambda t: _first(t, sent.value), FIRST)("text").alias("s")).select("doc_id", "s.n", "s.key", "s.grams"), "first-grams")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     postings = first.where("n > 0").select("key", "n", "grams").mapInArrow(lambda b: _packed(sent.value, 8 * parts)(b), "shard int, part binary")
-    found = saved(postings.repartition(parts, "shard").mapInArrow(lambda b: _candidates(sent.value)(b), "kind int, a bigint, b bigint"), "candidates")
+    found = saved(postings.repartition(parts, "shard").mapInArrow(lambda b: _candidates(sent.value)(b), "kind int, a bigint, b bigint, na bigint, nb bigint, shared bigint, able boolean"), "candidates")
+    release(spark)
     members = found.where("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("key"))
     least = members.groupBy("gram").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("gram", "least")
     stars = members.join(least, "gram").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
-    groups = components(found.where("kind = 0").select("a", "b").union(stars))  # node: key, label: group
+    groups = components(_pairs(found, members).union(stars))  # node: key, label: group
+    discard(found)
 
     # Whole sets of the candidates: one document of each key is read again.
     reps = first.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
@@ -320,6 +352,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     other = whole.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = other.select("group", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), F.col("own").alias("key"), "block", "grams")
     links = saved(tasks.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j", "key").mapInArrow(_multiplied, "a bigint, b bigint"), "links")
+    release(spark)
     linked = components(links).withColumnRenamed("node", "key")
 
     named = first.select("doc_id", F.col("n").alias("n_shingles"), "key").join(linked, "key", "left").withColumn("label", F.coalesce("label", "key"))
