@@ -111,6 +111,11 @@ def listing(jobs: DataFrame, query: JobQuery) -> dict:
     return {"items": page(jobs, query).collect(), "total": total(jobs, query).first().total, "limit": query.limit, "offset": query.offset}
 
 
+def as_json(rows: DataFrame) -> DataFrame:
+    """One JSON text for each row, nulls included, as a response's items."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def get(jobs: DataFrame, job_id: str):
     """The row of this id, or None."""
     return public(jobs.where(F.col("id") == job_id)).limit(1).first()

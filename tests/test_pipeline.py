@@ -7,10 +7,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from postmill.functions import display
 from postmill.operators import dedup
 from postmill.operators.store import Store
 from postmill.plans import ingest, jobs, social
-from postmill.schema import JOBS
+from postmill.schema import JOBS, PUBLIC
 from postmill.sources import base
 from postmill.sources.base import get_source, run
 from postmill.sources.html import page_parts, to_text
@@ -164,7 +165,11 @@ def test_ingest_store_query_digest(spark, tmp_path):
     q = jobs.JobQuery(tag="Python", min_salary=0)
     envelope = jobs.listing(store.read(), q)
     assert envelope["total"] == 1 and envelope["items"][0].title == "Backend Developer" and not envelope["items"][0].is_rewritten
+    item = json.loads(jobs.as_json(jobs.page(store.read(), q)).first().json)
+    assert item["company"] == "Acme" and item["tags"] == ["Python", "Django", "Engineering"] and set(item) == set(PUBLIC)
     job = jobs.get(store.read(), rows["jobfound"].id)
+    ld = json.loads(jobs.public(store.read()).where("source = 'jobfound'").select(display.json_ld().alias("x")).first().x)
+    assert ld["@type"] == "JobPosting" and ld["employmentType"] == "FULL_TIME" and ld["baseSalary"]["value"]["unitText"] == "YEAR" and "<" not in str(ld["description"])
     assert job.apply_url == "https://careers.acme.com/1" and jobs.get(store.read(), "none") is None
     assert jobs.similar(store.read(), rows["jobfound"].id).count() == 0
     d = social.digest(store.read(), later, "https://example.com").first()
