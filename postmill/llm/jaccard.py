@@ -196,7 +196,7 @@ def _unpacked(parts: list[bytes]):
 
 def _candidates(common: tuple[np.ndarray, np.ndarray]):
     """Pairs (kind 0) of a shard's short lists, with how many first grams they share there, and whether one of those
-    may be the first of enough; members (kind 1: gram, key) of common and long ones."""
+    may be the first of enough; members (kind 1: gram, key, whether it is common) of common and long ones."""
 
     def paired(parts):
         gram, key, n, place = _unpacked(parts)
@@ -226,6 +226,8 @@ def _candidates(common: tuple[np.ndarray, np.ndarray]):
         first = np.flatnonzero(np.concatenate([[True], (key[a][1:] != key[a][:-1]) | (key[b][1:] != key[b][:-1])])) if len(a) else np.zeros(0, np.int64)
         shared = np.diff(np.concatenate([first, [len(a)]])) if len(a) else first
         any_able = np.logical_or.reduceat(able, first) if len(a) else np.zeros(0, bool)
+        rest = np.minimum(n[a] - place[a], n[b] - place[b]) - 1  # falls along the common order, so the least is that of the last shared gram
+        rest = np.minimum.reduceat(rest, first) if len(a) else rest
         a, b = a[first], b[first]
         m = int(member.sum())
         cols = {
@@ -235,7 +237,8 @@ def _candidates(common: tuple[np.ndarray, np.ndarray]):
             "na": np.concatenate([n[a], n[member]]),
             "nb": np.concatenate([n[b], n[member]]),
             "shared": np.concatenate([shared, np.zeros(m, np.int64)]),
-            "able": np.concatenate([any_able, np.zeros(m, bool)]),
+            "rest": np.concatenate([rest, np.zeros(m, np.int64)]),
+            "able": np.concatenate([any_able, _classes(gram[member], common) > 0]),
         }
         return pa.record_batch({k: pa.array(v) for k, v in cols.items()})
 
@@ -250,16 +253,23 @@ def _candidates(common: tuple[np.ndarray, np.ndarray]):
     return f
 
 
-def _pairs(found: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of short lists that may still link. Say the first grams of one row end before those of the other: all its shared
-    ones among them are first grams of the other too, so the overlap is at most those plus the rest of that row."""
-    hot = members.groupBy("key").agg(F.count("*").alias("hot"))
-    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("shared").alias("shared"), F.bool_or("able").alias("able")).where("able")
+def _pairs(found: DataFrame) -> DataFrame:
+    """Pairs of short lists that may still link, by two bounds of their overlap.
+
+    Say the first grams of one row end before those of the other: all its shared ones among them are first grams of the
+    other too, so the overlap is at most those plus the rest of that row. And what is shared beyond the last
+    gram that they share in a short list is at most what either row has beyond it. Long lists may hide shared grams
+    before that one, common grams only after it."""
+    members = found.where("kind = 1").select(F.col("b").alias("key"), "able")
+    hot = members.groupBy("key").agg(F.count("*").alias("hot"), F.count_if(~F.col("able")).alias("long"))
+    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("shared").alias("shared"), F.min("rest").alias("rest"), F.bool_or("able").alias("able"))
+    least = f"(({NUM} * (na + nb) + {NUM + DEN - 1}) div {NUM + DEN})"
     for x in "ab":
-        pairs = pairs.join(hot.select(F.col("key").alias(x), F.col("hot").alias(f"hot_{x}")), x, "left")
-    rest = lambda n: f"(({NUM} * {n} + {DEN - 1}) div {DEN} - 1)"
-    most = f"shared + least(coalesce(hot_a, 0), coalesce(hot_b, 0)) + greatest({rest('na')}, {rest('nb')})"
-    return pairs.where(f"{most} >= ({NUM} * (na + nb) + {NUM + DEN - 1}) div {NUM + DEN}").select("a", "b")
+        pairs = pairs.where("able").join(hot.select(F.col("key").alias(x), F.col("hot").alias(f"hot_{x}"), F.col("long").alias(f"long_{x}")), x, "left")
+    past = lambda n: f"(({NUM} * {n} + {DEN - 1}) div {DEN} - 1)"
+    hidden = lambda k: f"least(coalesce({k}_a, 0), coalesce({k}_b, 0))"
+    pairs = pairs.where(f"shared + {hidden('hot')} + greatest({past('na')}, {past('nb')}) >= {least}")
+    return pairs.where(f"shared + {hidden('long')} + rest >= {least}").select("a", "b")
 
 
 def product(rows: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]:
@@ -332,12 +342,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = saved(own.select("doc_id", arrow(lambda t: _first(t, sent.value), FIRST)("text").alias("s")).select("doc_id", "s.n", "s.key", "s.grams"), "first-grams")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     postings = first.where("n > 0").select("key", "n", "grams").mapInArrow(lambda b: _packed(sent.value, 8 * parts)(b), "shard int, part binary")
-    found = saved(postings.repartition(parts, "shard").mapInArrow(lambda b: _candidates(sent.value)(b), "kind int, a bigint, b bigint, na bigint, nb bigint, shared bigint, able boolean"), "candidates")
+    found = saved(postings.repartition(parts, "shard").mapInArrow(lambda b: _candidates(sent.value)(b), "kind int, a bigint, b bigint, na bigint, nb bigint, shared bigint, rest bigint, able boolean"), "candidates")
     release(spark)
     members = found.where("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("key"))
     least = members.groupBy("gram").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("gram", "least")
     stars = members.join(least, "gram").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
-    groups = components(_pairs(found, members).union(stars))  # node: key, label: group
+    groups = components(_pairs(found).union(stars))  # node: key, label: group
     discard(found)
 
     # Whole sets of the candidates: one document of each key is read again.
@@ -357,6 +367,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     named = first.select("doc_id", F.col("n").alias("n_shingles"), "key").join(linked, "key", "left").withColumn("label", F.coalesce("label", "key"))
     named = saved(named.select("doc_id", "n_shingles", "label"), "named")
+    discard(first, wanted, links)
     least_id = named.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     full = named.where("n_shingles > 0").join(least_id, "label").select("doc_id", "n_shingles", "component_id")
     return full.union(named.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
