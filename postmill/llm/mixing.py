@@ -7,7 +7,7 @@ budgeted block permutations: the budget is dealt in blocks, each block takes eve
 share, and a source's documents come in a pseudo-random permutation, a new one for each
 repetition. The last repetition ends where the source's budget does.
 
-Everything is DataFrame operations. Running totals over a source are made of buckets: sums of
+Beside the count of words, everything is DataFrame operations. Running totals over a source are made of buckets: sums of
 hash ranges, totals of those, and running totals inside one bucket, so that a source that holds
 a third of all rows is never one task's work.
 
@@ -23,10 +23,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from postmill.llm.session import saved, tune
+from postmill.llm import words as W
+from postmill.llm.session import arrow, saved, tune
 
 #: Documents in a bucket of a source, about; buckets that one range of totals holds.
 BUCKET_DOCS, RANGE = 4_000, 1_000
@@ -82,13 +85,19 @@ def weights(tokens: dict[str | None, int], target: Target) -> tuple[float, dict[
     return exponent, w
 
 
+def _counted(text: pa.Array) -> pa.Array:
+    data, offsets = W.utf8(text)
+    inside = W.NOT_SPACE[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    starts = offsets[:-1][offsets[:-1] < len(data)]
+    first[starts] = inside[starts]
+    return pa.array(W.per_doc(first, offsets))
+
+
 def n_tokens(text):
-    """Words of a text, runs of anything but ASCII white space."""
-    bare = F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")
-    bare = F.when(F.startswith(bare, F.lit(" ")), F.substr(bare, F.lit(2))).otherwise(bare)
-    bare = F.when(F.endswith(bare, F.lit(" ")), F.left(bare, F.length(bare) - 1)).otherwise(bare)
-    spaces = F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit("")))
-    return F.when(F.length(bare) > 0, spaces + 1).otherwise(0).cast("bigint")
+    """Words of a text, runs of anything but ASCII white space, counted in its bytes."""
+    return arrow(_counted, T.LongType())(text)
 
 
 def _running(rows: DataFrame, keys: list[str], of: str) -> DataFrame:
