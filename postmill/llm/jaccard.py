@@ -47,8 +47,8 @@ LOCAL, COMMON, MAX_COMMON = 3, 24, 1_000_000
 #: Grams counted, or postings packed, at once in a task.
 FLUSH = 2_000_000
 LONG = 64
-#: Rows and grams of a block.
-BLOCK_ROWS, BLOCK_GRAMS = 512, 1_000_000
+#: Rows and grams of one task's sets; a larger group is split into blocks of half of that.
+TASK_ROWS, TASK_GRAMS = 2048, 4_000_000
 #: Candidate ids that may be broadcast.
 MAX_BROADCAST = 500_000
 
@@ -319,7 +319,7 @@ def _multiplied(batches):
                 if rows:
                     out += done(rows)
                 task, rows = (group, i, j), []
-            rows.append((task, key, block, lists[k].values.to_numpy().view(W.U64)))
+            rows.append((task, key, block, _six(lists[k].as_py())))
         if len(out) > 10_000:
             yield pa.record_batch({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
             out = []
@@ -329,8 +329,16 @@ def _multiplied(batches):
 
 
 def _all_grams(text: pa.Array) -> pa.Array:
+    """The upper 48 bits of each gram, in six bytes: enough to tell the few million grams of a task apart."""
     g, at, _ = sets(text)
-    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(g.view(np.int64)))
+    packed = np.ascontiguousarray(g.view(np.uint8).reshape(-1, 8)[:, 2:])
+    return pa.array([packed[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+
+
+def _six(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(W.U64).ravel()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -354,11 +362,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     reps = first.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     wanted = saved(groups.withColumnRenamed("node", "key").withColumnRenamed("label", "group").join(reps, "key"), "wanted")
     sizes = wanted.groupBy("group").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
-    sizes = sizes.select("group", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    whole_task = (F.col("rows") <= TASK_ROWS) & (F.col("grams") <= TASK_GRAMS)
+    blocks = F.greatest(F.ceil(2 * F.col("rows") / TASK_ROWS), F.ceil(2 * F.col("grams") / TASK_GRAMS))
+    sizes = sizes.select("group", F.when(whole_task, 1).otherwise(blocks).cast("int").alias("blocks"))
     wanted = saved(wanted.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), "wanted")
     few = wanted.count() <= MAX_BROADCAST
     ids = wanted.select(F.col("rep").alias("doc_id"), F.col("key").alias("own"), "group", "blocks", "block")
-    whole = own.join(F.broadcast(ids) if few else ids, "doc_id").select("own", "group", "blocks", "block", arrow(_all_grams, T.ArrayType(T.LongType()))("text").alias("grams"))
+    whole = own.join(F.broadcast(ids) if few else ids, "doc_id").select("own", "group", "blocks", "block", arrow(_all_grams, T.BinaryType())("text").alias("grams"))
     other = whole.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = other.select("group", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), F.col("own").alias("key"), "block", "grams")
     links = saved(tasks.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j", "key").mapInArrow(_multiplied, "a bigint, b bigint"), "links")

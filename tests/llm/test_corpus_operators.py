@@ -166,7 +166,7 @@ def near(rng, words, edits):
 def test_jaccard(docs_of, monkeypatch, tight):
     rng = random.Random(7)
     if tight:  # small limits, so that common grams, long lists and several blocks all occur
-        for k, v in {"LONG": 3, "COMMON": 6, "MAX_COMMON": 40, "BLOCK_ROWS": 7, "FLUSH": 900}.items():
+        for k, v in {"LONG": 3, "COMMON": 6, "MAX_COMMON": 40, "TASK_ROWS": 7, "FLUSH": 900}.items():
             monkeypatch.setattr(jaccard, k, v)
     vocabulary = [f"v{i}" for i in range(3000)]
     passage = [rng.choice(vocabulary) for _ in range(50)]
