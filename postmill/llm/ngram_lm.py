@@ -1,16 +1,20 @@
 """Interpolated modified Kneser-Ney model, counted in Spark and memory-mapped (operator 9).
 
-Words and pairs of neighbours are counted by tasks in packed numpy arrays, dealt by ranges of word
-hashes, merged, and stored as sorted hash arrays in the shared folder, some files for each
+Words and grams of ``order`` words are counted by tasks in packed numpy arrays, dealt by ranges of
+word hashes, merged, and stored as sorted hash arrays in the shared folder, some files for each
 shard. Workers map the files; a batch of texts is scored by sorted searches in them.
 
-A shard holds the words of one hash range: hash, count, number of different words before it,
-and how many words follow it once, twice, and more often. Pairs lie in the shard of their
-first word, sorted by the pair's hash; those of a word that makes up more than an eighth of a
-shard are spread by the pair's hash, and that word's numbers are kept apart.
+A gram of k words is a context of k - 1 words and a word. Its number in the longest order is its
+count; in a shorter one how many different words precede it, or its count where it begins a text.
+Each level's numbers come out of the next longer one's different grams. A shard holds the words of
+one hash range: hash, count, and number of different words before it; and the contexts that end in
+them: sum of the numbers, and how many words follow with the number one, two, and more. Grams lie
+with their contexts, sorted by hash. For a word that makes up more than an eighth of a shard, pairs
+are spread by the pair's hash, and that word's sums are kept apart; longer grams are spread by context.
 
-The order of the model is 2: pairs, backed by how many different words precede a word,
-backed by the uniform distribution over the vocabulary and one unknown word.
+A level backs off to the one with a context shorter by its first word, the last to the uniform
+distribution over the vocabulary and one unknown word. The first token of a text has the start as
+its whole context, the second has the start and the first, and so on.
 
 Defined results: a null text is an empty one and has its end as the only token; a word that was
 never seen has the unknown word's probability; a word never seen as a context backs off
@@ -30,7 +34,7 @@ from pyspark.sql import types as T
 
 from postmill.llm import store
 from postmill.llm import words as W
-from postmill.llm.session import arrow, fresh, saved, tune
+from postmill.llm.session import arrow, discard, fresh, release, saved, tune
 
 END, START = W.fmix(np.array([0xE0D], W.U64))[0], W.fmix(np.array([0x57A27], W.U64))[0]
 #: Tokens counted at once in a task.
@@ -69,6 +73,25 @@ def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return keys[start], np.add.reduceat(n, start) if len(start) else n[:0], order[start]
 
 
+def contexts(before: np.ndarray, at: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of the last 1, 2, ... order - 1 words before each token, and how many there are, the start included.
+    A hash of more words than there are means nothing."""
+    depth = np.arange(len(before)) - np.repeat(at[:-1], np.diff(at)) + 1
+    out = [before]
+    for _ in range(order - 2):
+        longer = np.empty_like(before)
+        longer[:1] = START
+        longer[1:] = pair(out[-1][:-1], before[1:])
+        out.append(longer)
+    return out, np.minimum(depth, order)
+
+
+def _slim(n: np.ndarray) -> np.ndarray:
+    """In the smallest type that holds all; a reader sees it by the file's size."""
+    top = int(n.max()) if n.size else 0
+    return n.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if top <= np.iinfo(t).max))
+
+
 def _pack(n: np.ndarray) -> bytes:
     """Counts: a byte each, those beyond 254 again in full."""
     big = n[n > 254].astype(np.int64)
@@ -134,9 +157,10 @@ def _merge_words(folder: str):
     return f
 
 
-def _where(h: np.ndarray, p: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each pair: its first word's, or for a hot one by the pair itself."""
-    return np.where(_in(h, hot), shard(p, shards), shard(h, shards))
+def _where(chain: list[np.ndarray], p: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each gram p whose contexts, the longest first, are chain: that of the word before the last;
+    for a hot one by the longest context, which for a pair would be that word again, so by the pair itself."""
+    return np.where(_in(chain[-1], hot), shard(chain[0] if len(chain) > 1 else p, shards), shard(chain[-1], shards))
 
 
 def _in(h: np.ndarray, names: np.ndarray) -> np.ndarray:
@@ -145,63 +169,98 @@ def _in(h: np.ndarray, names: np.ndarray) -> np.ndarray:
     return names[np.minimum(np.searchsorted(names, h), len(names) - 1)] == h
 
 
-def _count_pairs(shards: int, hot: np.ndarray):
+def _parts(chain: list[np.ndarray], word: np.ndarray, n: np.ndarray, p: np.ndarray, shards: int, hot: np.ndarray) -> pa.RecordBatch:
+    """Different grams of one level and their numbers, dealt out: contexts with all shorter ones, then words."""
+    by = _where(chain, p, hot, shards)
+    order = np.lexsort((chain[0], by))
+    by, word, n, chain = by[order], word[order], n[order], [c[order] for c in chain]
+
+    def build(x):
+        u = chain[0][x]
+        start = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+        runs = _pack(np.diff(np.concatenate([start, [len(u)]])))
+        head = np.array([len(chain) + 1, len(start), len(u), len(runs)], np.int64)
+        return head.tobytes() + b"".join(c[x][start].tobytes() for c in chain) + runs + word[x].tobytes() + _pack(n[x])
+
+    return _dealt(by, shards, build)
+
+
+def _unpacked(x: bytes) -> list[np.ndarray]:
+    """Contexts, the longest first, words and numbers of a part."""
+    level, heads, m, runs = np.frombuffer(x, np.int64, 4).tolist()
+    at = 32 + 8 * heads * (level - 1)
+    times = _counts(x[at : at + runs], heads)
+    chain = [np.repeat(np.frombuffer(x, W.U64, heads, 32 + 8 * heads * k), times) for k in range(level - 1)]
+    return [*chain, np.frombuffer(x[at + runs : at + runs + 8 * m], W.U64), _counts(x[at + runs + 8 * m :], m)]
+
+
+def _count_grams(shards: int, hot: np.ndarray, order: int):
+    """Grams of order words, and the shorter ones that begin a text: those have nothing before them to count."""
+
+    def take(text):
+        word, before, at = stream(text)
+        ctx, depth = contexts(before, at, order)
+        return (word, depth, *ctx)
+
     def done(cols):
-        word, before = cols
-        p, n, first = _sums(pair(before, word), np.ones(len(word), np.int64))
-        before, word = before[first], word[first]
-        by = _where(before, p, hot, shards)
-        order = np.lexsort((before, by))
-        by, before, word, n = by[order], before[order], word[order], n[order]
+        word, depth, *ctx = cols
+        got = []
+        for k in range(2, order + 1):
+            pick = np.flatnonzero(depth >= k - 1 if k == order else depth == k - 1)
+            p, n, first = _sums(pair(ctx[k - 2][pick], word[pick]), np.ones(len(pick), np.int64))
+            first = pick[first]
+            got.append(_parts([c[first] for c in ctx[k - 2 :: -1]], word[first], n, p, shards, hot))
+        return pa.Table.from_batches(got).combine_chunks().to_batches()
+
+    def f(batches):
+        for made in _flushed(batches, take, done):
+            yield from made
 
-        def build(x):
-            u = before[x]
-            start = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
-            m = np.diff(np.concatenate([start, [len(u)]]))
-            runs = _pack(m)
-            head = np.array([len(start), len(u), len(runs)], np.int64)
-            return head.tobytes() + u[start].tobytes() + runs + word[x].tobytes() + _pack(n[x])
+    return f
 
-        return _dealt(by, shards, build)
 
-    return lambda batches: _flushed(batches, lambda text: stream(text)[:2], done)
+_FOUND = "kind int, shard int, word bigint, x bigint, y bigint, z bigint, total bigint, part binary"
 
 
-def _merge_pairs(folder: str, shards: int, hot: np.ndarray):
-    """Writes pairs and followers; returns parts (kind 0) of predecessor numbers for each shard of words, the
-    hot words' followers (kind 1: word, three numbers) and how many pairs have each small count (kind 2)."""
+def _merge_grams(folder: str, shards: int, hot: np.ndarray, level: int):
+    """Writes a level's grams and contexts; returns parts of the next shorter level, or of predecessor numbers of words
+    (kind 0), the hot words' followers (kind 1: word, three numbers, sum) and how many grams have each small number (kind 2).
+    Parts of shorter levels pass through."""
 
     def f(batches):
-        rows: list[tuple[int, int, int, int, int, int, bytes | None]] = []
         for s, parts in _gathered(batches).items():
-            us, ws, ns = [], [], []
+            rows: list[tuple[int, int, int, int, int, int, int, bytes | None]] = []
+            own = []
             for x in parts:
-                heads, m, runs = np.frombuffer(x, np.int64, 3).tolist()
-                at = 24 + 8 * heads
-                us.append(np.repeat(np.frombuffer(x, W.U64, heads, 24), _counts(x[at : at + runs], heads)))
-                ws.append(np.frombuffer(x[at + runs : at + runs + 8 * m], W.U64))
-                ns.append(_counts(x[at + runs + 8 * m :], m))
-            u, w = np.concatenate(us), np.concatenate(ws)
-            p, n, first = _sums(pair(u, w), np.concatenate(ns))
-            u, w = u[first], w[first]
-            store.write(folder, f"pair-{s}", p)
-            store.write(folder, f"often-{s}", np.minimum(n, 2**32 - 1).astype(np.uint32))
-            follow = np.zeros((3, 0), np.int64)
-            kinds, which = np.unique(u, return_inverse=True)
-            follow = np.stack([np.bincount(which, weights=x, minlength=len(kinds)) for x in (n == 1, n == 2, n > 2)]).astype(np.int64) if len(kinds) else follow
-            apart = _in(kinds, hot)
-            own = kinds[~apart]
-            store.write(folder, f"follower-{s}", own)
-            store.write(folder, f"follow-{s}", np.ascontiguousarray(follow[:, ~apart].T).astype(np.uint32))
-            rows += [(1, 0, int(k), *x, None) for k, x in zip(kinds[apart].view(np.int64).tolist(), follow[:, apart].T.tolist(), strict=True)]
-            rows += [(2, s, k, int((n == k).sum()), 0, 0, None) for k in (1, 2, 3, 4)] + [(2, s, 0, len(n), 0, 0, None)]
-            h, m = np.unique(w, return_counts=True)
-            out = _dealt(shard(h, shards), shards, lambda x, h=h, m=m: np.int64(len(h[x])).tobytes() + h[x].tobytes() + _pack(m[x]))
-            rows += [(0, int(k), 0, 0, 0, 0, part) for k, part in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
+                if np.frombuffer(x, np.int64, 1)[0] == level:
+                    own.append(_unpacked(x))
+                else:
+                    rows.append((0, s, 0, 0, 0, 0, 0, x))
+            if own:
+                *chain, w, n = (np.concatenate(c) for c in zip(*own, strict=True))
+                own = []
+                p, n, first = _sums(pair(chain[0], w), n)
+                chain, w = [c[first] for c in chain], w[first]
+                store.write(folder, f"gram{level}-{s}", p)
+                store.write(folder, f"often{level}-{s}", _slim(n))
+                kinds, which = np.unique(chain[0], return_inverse=True)
+                sums = [np.bincount(which, weights=x, minlength=len(kinds)).astype(np.int64) for x in (n == 1, n == 2, n > 2, n)]
+                follow = np.stack(sums, axis=1)
+                apart = _in(kinds, hot) if level == 2 else np.zeros(len(kinds), bool)
+                store.write(folder, f"context{level}-{s}", kinds[~apart])
+                store.write(folder, f"follow{level}-{s}", np.ascontiguousarray(_slim(follow[~apart])))
+                rows += [(1, 0, int(k), *x, None) for k, x in zip(kinds[apart].view(np.int64).tolist(), follow[apart].tolist(), strict=True)]
+                rows += [(2, s, k, int((n == k).sum()), 0, 0, 0, None) for k in (1, 2, 3, 4)] + [(2, s, 0, len(n), 0, 0, 0, None)]
+                if level == 2:
+                    h, m = np.unique(w, return_counts=True)
+                    out = _dealt(shard(h, shards), shards, lambda x, h=h, m=m: np.int64(len(h[x])).tobytes() + h[x].tobytes() + _pack(m[x]))
+                else:
+                    q, m, first = _sums(pair(chain[1], w), np.ones(len(w), np.int64))
+                    out = _parts([c[first] for c in chain[1:]], w[first], m, q, shards, hot)
+                rows += [(0, int(k), 0, 0, 0, 0, 0, part) for k, part in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
             cols = list(zip(*rows, strict=True))
-            kind = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kind, strict=True)], names=["kind", "shard", "word", "x", "y", "z", "part"])
-            rows = []
+            kind = [pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kind, strict=True)], names=["kind", "shard", "word", "x", "y", "z", "total", "part"])
 
     return f
 
@@ -244,16 +303,21 @@ class Model:
     kinds: int
     texts: int
     pairs: int
-    pair_discounts: tuple[float, float, float]
+    #: Of grams of two words, of three, and so on.
+    gram_discounts: list[tuple[float, float, float]]
     word_discounts: tuple[float, float, float]
     #: Share of the uniform distribution in the words' own.
     rest: float
     hot: np.ndarray
     hot_follow: np.ndarray
     _files: dict[str, np.ndarray] = field(default_factory=dict)
-    #: Shards that have words, and those that have pairs.
+    #: Shards that have words, and those that have grams of two words, of three, and so on.
     word_shards: set[int] = field(default_factory=set)
-    pair_shards: set[int] = field(default_factory=set)
+    gram_shards: list[set[int]] = field(default_factory=list)
+
+    @property
+    def order(self) -> int:
+        return len(self.gram_discounts) + 1
 
     def __getstate__(self):
         return self.__dict__ | {"_files": {}}
@@ -264,13 +328,18 @@ class Model:
             self._files[key] = store.read(self.folder, key, dtype)
         return self._files[key]
 
-    def look(self, h: np.ndarray, where: np.ndarray, name: str, values: dict[str, tuple[type, int]]) -> dict[str, np.ndarray]:
-        """Values beside the hashes h in the shards where, 0 for those that aren't there. h is ascending."""
-        out = {k: np.zeros((len(h), width) if width > 1 else len(h), np.int64) for k, (_, width) in values.items()}
+    def slim(self, name: str, s: int, n: int) -> np.ndarray:
+        """What _slim made for n values."""
+        raw = self.file(name, s, np.uint8)
+        return raw.view({1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[len(raw) // n])
+
+    def look(self, h: np.ndarray, where: np.ndarray, held: set[int], name: str, values: dict[str, int]) -> dict[str, np.ndarray]:
+        """Values (name: width) beside the hashes h in the shards where, 0 for those that aren't there. h is ascending."""
+        out = {k: np.zeros((len(h), width) if width > 1 else len(h), np.int64) for k, width in values.items()}
         order = np.argsort(where, kind="stable")
         ends = np.searchsorted(where[order], np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(ends)).tolist():
-            if s not in (self.word_shards if name == "word" else self.pair_shards):
+            if s not in held:
                 continue
             pick = order[ends[s] : ends[s + 1]]
             names = self.file(name, s, W.U64)
@@ -278,44 +347,54 @@ class Model:
                 continue
             at = np.minimum(np.searchsorted(names, h[pick]), len(names) - 1)
             hit = names[at] == h[pick]
-            for k, (dtype, width) in values.items():
-                table = self.file(k, s, dtype)
+            for k, width in values.items():
+                table = self.slim(k, s, len(names) * width)
                 out[k][pick[hit]] = (table.reshape(-1, width) if width > 1 else table)[at[hit]]
         return out
 
-    def probabilities(self, word: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """P(word | before) of each token, and the token's training count."""
-        d, e = np.array([0.0, *self.pair_discounts]), np.array([0.0, *self.word_discounts])
+    def probabilities(self, word: np.ndarray, ctx: list[np.ndarray], depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """P(word | contexts) of each token, and the token's training count."""
+        e = np.array([0.0, *self.word_discounts])
         h, back = np.unique(word, return_inverse=True)
-        own = self.look(h, shard(h, self.shards), "word", {"count": (np.int64, 1), "before": (np.int64, 1)})
+        own = self.look(h, shard(h, self.shards), self.word_shards, "word", {"count": 1, "before": 1})
         n = own["before"]
         uniform = 1.0 / (self.kinds + 1)
-        lower = np.maximum(n - e[np.minimum(n, 3)], 0.0) / max(self.pairs, 1) + (self.rest if self.pairs else 1.0) * uniform
-        u, to = np.unique(before, return_inverse=True)
-        total = self.look(u, shard(u, self.shards), "word", {"count": (np.int64, 1)})["count"]
-        total[u == START] = self.texts
-        follow = self.look(u, shard(u, self.shards), "follower", {"follow": (np.uint32, 3)})["follow"]
-        if len(self.hot):
-            apart = _in(u, self.hot)
-            follow[apart] = self.hot_follow[np.searchsorted(self.hot, u[apart])]
-        p = pair(before, word)
-        q, first, again = np.unique(p, return_index=True, return_inverse=True)
-        c = self.look(q, _where(before[first], q, self.hot, self.shards), "pair", {"often": (np.uint32, 1)})["often"][again]
-        seen = np.maximum(total, 1)[to]
-        left = np.where(total > 0, follow @ d[1:] / np.maximum(total, 1), 1.0)[to]
-        return np.where(total[to] > 0, np.maximum(c - d[np.minimum(c, 3)], 0.0) / seen, 0.0) + left * lower[back], own["count"][back]
+        p = (np.maximum(n - e[np.minimum(n, 3)], 0.0) / max(self.pairs, 1) + (self.rest if self.pairs else 1.0) * uniform)[back]
+        known = np.ones(len(word), bool)
+        for k, (ds, held) in enumerate(zip(self.gram_discounts, self.gram_shards, strict=True), 2):
+            # A context that was never seen has no longer one that was.
+            d, pick = np.array([0.0, *ds]), np.flatnonzero(known & (depth >= k - 1))
+            u, first, to = np.unique(ctx[k - 2][pick], return_index=True, return_inverse=True)
+            first = pick[first]
+            where = _where([ctx[k - 2][first], ctx[0][first]], u, self.hot, self.shards) if k > 2 else shard(u, self.shards)
+            follow = self.look(u, where, held, f"context{k}", {f"follow{k}": 4})[f"follow{k}"]
+            if k == 2 and len(self.hot):
+                apart = _in(u, self.hot)
+                follow[apart] = self.hot_follow[np.searchsorted(self.hot, u[apart])]
+            hit = follow[to, 3] > 0
+            known = np.zeros(len(word), bool)
+            pick, to = pick[hit], to[hit]
+            known[pick] = True
+            q, first, again = np.unique(pair(ctx[k - 2][pick], word[pick]), return_index=True, return_inverse=True)
+            at = _where([c[pick[first]] for c in ctx[k - 2 :: -1]], q, self.hot, self.shards)
+            c = self.look(q, at, held, f"gram{k}", {f"often{k}": 1})[f"often{k}"][again]
+            total = np.maximum(follow[:, 3], 1)
+            p[pick] = np.maximum(c - d[np.minimum(c, 3)], 0.0) / total[to] + (follow[:, :3] @ d[1:] / total)[to] * p[pick]
+        return p, own["count"][back]
 
     def score(self, text: pa.Array) -> pa.Array:
         word, before, at = stream(text)
-        p, count = self.probabilities(word, before)
+        p, count = self.probabilities(word, *contexts(before, at, self.order))
         doc, n = np.repeat(np.arange(len(text)), np.diff(at)), len(text)
         base = np.bincount(doc, weights=np.log10((count + 1) / (self.tokens + self.kinds + 1)), minlength=n)
         score = np.bincount(doc, weights=np.log10(p), minlength=n)
         return pa.StructArray.from_arrays([pa.array(np.diff(at)), pa.array(W.per_doc(count > 0, at)), pa.array(base), pa.array(score)], names=["n_tokens", "n_known", "base", "score"])
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> Model:
-    """Counts all of docs and stores the model in the shared folder."""
+def fit(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
+    """Counts all of docs, grams of up to order words, and stores the model in the shared folder."""
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     spark = tune(docs.sparkSession)
     folder = fresh(spark, "ngram-lm")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -330,20 +409,33 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     if tokens / (8 * shards) < texts:
         hot = np.union1d(hot, np.array([START]))
     sent = spark.sparkContext.broadcast(hot)
-    found = text.mapInArrow(lambda b: _count_pairs(shards, sent.value)(b), deal).repartition(parts, "shard")
-    found = saved(found.mapInArrow(lambda b: _merge_pairs(folder, shards, sent.value)(b), "kind int, shard int, word bigint, x bigint, y bigint, z bigint, part binary"), "lm-pairs")
-    follow = {r.word: (r.x, r.y, r.z) for r in found.where("kind = 1").groupBy("word").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("z").alias("z")).collect()}
-    often = {r.word: r.x for r in found.where("kind = 2").groupBy("word").agg(F.sum("x").alias("x")).collect()}
+    held = {r.shard for r in told.select("shard").distinct().collect()}
+    discard(told)
+    release(spark)
+    found = text.mapInArrow(lambda b: _count_grams(shards, sent.value, order)(b), deal)
+    gram_discounts, gram_shards, above = [], [], None
+    for level in range(order, 1, -1):
+        merge = lambda b, level=level: _merge_grams(folder, shards, sent.value, level)(b)
+        found = saved(found.repartition(parts, "shard").mapInArrow(merge, _FOUND), f"lm-grams{level}")
+        if above:
+            discard(above)
+        release(spark)
+        above = found
+        often = {r.word: r.x for r in found.where("kind = 2").groupBy("word").agg(F.sum("x").alias("x")).collect()}
+        gram_discounts.insert(0, discounts(*(often.get(k, 0) for k in (1, 2, 3, 4))))
+        gram_shards.insert(0, {r.shard for r in found.where("kind = 2").select("shard").distinct().collect()})
+        pairs = often.get(0, 0)
+        if level > 2:
+            found = found.where("kind = 0").select("shard", "part")
+    follow = {r.word: (r.x, r.y, r.z, r.total) for r in found.where("kind = 1").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("x", "y", "z", "total"))).collect()}
     before = found.where("kind = 0").select("shard", "part").repartition(parts, "shard").mapInArrow(_merge_before(folder), "k bigint, n bigint")
     rare = {r.k: r.n for r in saved(before, "lm-before").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    discard(above)
+    release(spark)
     e = discounts(*(rare.get(k, 0) for k in (1, 2, 3, 4)))
-    pairs = often.get(0, 0)
     rest = sum(d * n for d, n in zip(e, (rare.get(1, 0), rare.get(2, 0), rare.get(-1, 0)), strict=True)) / max(pairs, 1)
-    hot_follow = np.array([follow.get(k, (0, 0, 0)) for k in hot.view(np.int64).tolist()], np.int64).reshape(-1, 3)
-    held = {r.shard for r in told.select("shard").distinct().collect()}
-    model = Model(folder, shards, tokens, kinds, texts, pairs, discounts(*(often.get(k, 0) for k in (1, 2, 3, 4))), e, rest, hot, hot_follow)
-    model.word_shards, model.pair_shards = held, {r.shard for r in found.where("kind = 2").select("shard").distinct().collect()}
-    return model
+    hot_follow = np.array([follow.get(k, (0, 0, 0, 0)) for k in hot.view(np.int64).tolist()], np.int64).reshape(-1, 4)
+    return Model(folder, shards, tokens, kinds, texts, pairs, gram_discounts, e, rest, hot, hot_follow, word_shards=held, gram_shards=gram_shards)
 
 
 _here: dict[str, Model] = {}

@@ -56,7 +56,7 @@ def op8_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = ngram_lm.fit(docs.where(~held_out("doc_id", 7, 2)))
+    model = ngram_lm.fit(docs.where(~held_out("doc_id", 7, 2)), order=3)
     return _with_held_out(ngram_lm.score(docs, model), 7, 2)
 
 

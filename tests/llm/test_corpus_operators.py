@@ -253,6 +253,38 @@ def test_kneser_ney(docs_of):
     assert ngram_lm.score(docs_of([(1, "a b"), (2, None)]), empty).agg(F.sum("score"), F.sum("base_score")).first()[:] == (0.0, 0.0)
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_kneser_ney_of_longer_contexts(docs_of, order):
+    rng = random.Random(order)
+    often, rare = "a b c d e".split(), [f"w{n}" for n in range(60)]  # of hot words, and of others
+    train = [(i, " ".join(rng.choice(often if rng.random() < 0.8 else rare) for _ in range(rng.randrange(0, 30)))) for i in range(80)] + [(100, None), (101, "a b c d"), (102, "d c b a")]
+    test = train[:20] + [(200, "a unseen b c d e"), (201, None), (202, "e e e e e e")]
+    model = ngram_lm.fit(docs_of(train), order=order)
+    raw = {k: Counter() for k in range(1, order + 1)}
+    for _, t in train:
+        w = ["<s>", *words_of(t), "</s>"]
+        for k in raw:
+            raw[k].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    number = {order: raw[order]}
+    for k in range(order - 1, 0, -1):
+        number[k] = Counter(g[1:] for g in raw[k + 1]) + Counter({g: n for g, n in raw[k].items() if k > 1 and g[0] == "<s>"})
+    d = {k: ngram_lm.discounts(*(sum(x == m for x in c.values()) for m in (1, 2, 3, 4))) for k, c in number.items()}
+
+    def p(ctx, w):
+        own = {g: n for g, n in number[len(ctx) + 1].items() if g[:-1] == ctx}
+        low = p(ctx[1:], w) if ctx else 1 / (len(raw[1]) - 1 + 1)
+        if not own:
+            return low
+        n, total, off = own.get((*ctx, w), 0), sum(own.values()), d[len(ctx) + 1]
+        return (n and max(n - off[min(n, 3) - 1], 0)) / total + sum(off[min(x, 3) - 1] for x in own.values()) / total * low
+
+    assert abs(sum(p(("a", "b", "c")[: order - 1], w) for (w,) in raw[1] if w != "<s>") + p(("a", "b", "c")[: order - 1], "<unk>") - 1) < 1e-9
+    found = {r.doc_id: r.score for r in ngram_lm.score(docs_of(test), model).collect()}
+    for i, t in test:
+        w = ["<s>", *words_of(t), "</s>"]
+        assert math.isclose(found[i], sum(math.log10(p(tuple(w[max(0, j - order + 1) : j]), w[j])) for j in range(1, len(w))), rel_tol=1e-9)
+
+
 # --- pipeline
 
 
