@@ -132,8 +132,7 @@ def recency_window(spark, d):
 
 
 def early_stop_prefix(spark, d):
-    events = _read(spark, d, "events").where("event_id < 5000")
-    stopped = base.until_stale(events, "event_id", "value", F.lit(0.05), most=400)
+    stopped = base.until_stale(_read(spark, d, "events"), "event_id", "value", F.lit(0.05), most=400)
     return stopped.select("event_id", "value")
 
 

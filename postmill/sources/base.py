@@ -70,9 +70,15 @@ def sitemap_entries(xml: F.Column, pattern: str) -> F.Column:
 
 def until_stale(df: DataFrame, order: str, time: str, since: F.Column, most: int | None = None, group: str | None = None) -> DataFrame:
     """The rows in order up to the first one older than since; undated rows don't stop it. most bounds
-    the positions looked at. A list is one crawl's sitemap, so one task holds it; group separates lists."""
-    w = Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))
+    the positions looked at. group separates lists, each of which is one crawl's sitemap that one task holds;
+    without it the one list may be of any length, and its bounded start is taken before the window."""
     stale = F.coalesce(F.col(time) < since, F.lit(False))
+    if not group and most is None:
+        first = df.where(stale).agg(F.min(F.struct(order)).alias("__first"))
+        return df.join(F.broadcast(first)).where(F.col("__first").isNull() | (F.struct(order) < F.col("__first"))).drop("__first")
+    if not group:
+        df, most = df.orderBy(order).limit(most), None
+    w = Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))
     seen = F.max(stale).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     rows = df.withColumn("__stale", seen)
     if most is not None:

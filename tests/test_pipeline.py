@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from postmill.functions import display
 from postmill.operators import dedup
 from postmill.operators.store import Store
-from postmill.plans import ingest, jobs, social
+from postmill.plans import catalog, ingest, jobs, social
 from postmill.schema import JOBS, PUBLIC
 from postmill.sources import base
 from postmill.sources.base import get_source, run
@@ -197,3 +197,15 @@ def test_early_stop(spark):
     df = spark.createDataFrame(rows, "pos int, ts timestamp")
     assert [r.pos for r in base.until_stale(df, "pos", "ts", F.lit(AS_OF - dt.timedelta(hours=24))).orderBy("pos").collect()] == [0, 1]
     assert base.until_stale(df, "pos", "ts", F.lit(AS_OF - dt.timedelta(hours=48)), most=3).count() == 3
+
+
+def test_early_stop_of_any_ids(spark, tmp_path):
+    values = {9_000 + i: 1.0 for i in range(500)}
+    for stop, n in ((9_499, 400), (9_030, 30)):  # beyond the positions looked at, and within
+        values[stop] = 0.01
+        spark.createDataFrame(list(values.items()), "event_id long, value double").repartition(5).write.parquet(f"{tmp_path}/{n}/events.parquet")
+        got = catalog.early_stop_prefix(spark, f"{tmp_path}/{n}").collect()
+        assert sorted(r.event_id for r in got) == list(range(9_000, 9_000 + n))
+        events = spark.read.parquet(f"{tmp_path}/{n}/events.parquet")
+        assert base.until_stale(events, "event_id", "value", F.lit(0.05)).count() == stop - 9_000
+    assert base.until_stale(events, "event_id", "value", F.lit(0.0)).count() == 500
