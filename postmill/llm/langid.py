@@ -31,7 +31,7 @@ from postmill.llm.session import arrow, tune
 
 #: The bound of the labelled sample: documents of each language, symbols of each, and symbols in all.
 SAMPLE_DOCS, DOC_SYMBOLS, TRAIN_SYMBOLS = 60, 2_000, 30_000
-#: Distinct letters with transitions of their own; rarer ones match nothing.
+#: Distinct letters with a column in the tables of transitions; those of rarer ones are found by sorted keys.
 ALPHABET = 94
 LANE = 512
 PREDICTED = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -65,8 +65,9 @@ def symbols(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return low[keep], kept[at]
 
 
-def automaton(text: list[int], size: int) -> np.ndarray:
-    """Transitions of the suffix automaton of text, a row for each state, -1 where there is none."""
+def automaton(text: list[int], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Transitions of the suffix automaton of text: for symbols below size a row for each state, -1 where there is none,
+    for others rows of state, symbol and next state."""
     moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text:
@@ -93,27 +94,52 @@ def automaton(text: list[int], size: int) -> np.ndarray:
                 link[q] = link[new] = twin
         last = new
     table = np.full((len(moves), size), -1, dtype=np.int32)
+    rare = []
     for state, out in enumerate(moves):
         for c, to in out.items():
-            table[state, c] = to
-    return table
+            if c < size:
+                table[state, c] = to
+            else:
+                rare.append((state, c, to))
+    return table, np.array(rare, np.int64).reshape(-1, 3)
 
 
 @dataclass(frozen=True)
 class Model:
     langs: list[str]
-    #: Letters by symbol number less 2; 0 is the space, 1 any other letter.
+    #: Learned letters in order, and their symbol numbers, the most frequent letter's first; 0 is the space, 1 any other letter.
     letters: np.ndarray
+    codes: np.ndarray
     #: All automata one below the other, then a state without transitions; roots[k] is the first state of language k.
     table: np.ndarray
     roots: np.ndarray
     #: Bits that a phrase costs in each language.
     bits: np.ndarray
+    #: Transitions by symbols beyond the table's columns: state * span + symbol in order, and the next state.
+    keys: np.ndarray
+    goes: np.ndarray
+
+    @property
+    def span(self) -> int:
+        return len(self.letters) + 2
 
     def numbers(self, low: np.ndarray) -> np.ndarray:
         k = np.minimum(np.searchsorted(self.letters, low), max(0, len(self.letters) - 1))
         known = self.letters[k] == low if len(self.letters) else np.zeros(len(low), bool)
-        return np.where(low == 0, 0, np.where(known, k + 2, 1)).astype(np.int64)
+        code = self.codes[k] if len(self.letters) else np.ones(len(low), np.int64)
+        return np.where(low == 0, 0, np.where(known, code, 1)).astype(np.int64)
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Next states of the columns of state by the symbols c, -1 where there is none."""
+        width = self.table.shape[1]
+        rare = c >= width
+        if not rare.any():
+            return self.table.ravel()[state * width + c]
+        to = self.table.ravel()[state * width + np.where(rare, 1, c)]
+        key = state[:, rare].astype(np.int64) * self.span + c[rare]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        to[:, rare] = np.where(self.keys[at] == key, self.goes[at], -1)
+        return to
 
 
 def train(texts: list[tuple[str, str]], limit: int = TRAIN_SYMBOLS) -> Model:
@@ -128,18 +154,24 @@ def train(texts: list[tuple[str, str]], limit: int = TRAIN_SYMBOLS) -> Model:
     langs = sorted(k for k, own in by.items() if own)
     joined = {k: np.concatenate(by[k]) for k in langs}
     letters, count = np.unique(np.concatenate([v[v > 0] for v in joined.values()]) if langs else np.zeros(0, np.uint32), return_counts=True)
-    letters = np.sort(letters[np.argsort(-count, kind="stable")[:ALPHABET]])
-    model = Model(langs, letters, np.zeros((0, 0), np.int32), np.zeros(0, np.int64), np.zeros(0))
-    tables, roots = [], []
+    codes = np.empty(len(letters), np.int64)
+    codes[np.argsort(-count, kind="stable")] = np.arange(len(letters)) + 2
+    width = min(len(letters), ALPHABET) + 2
+    none = np.zeros(0, np.int64)
+    model = Model(langs, letters, codes, np.zeros((0, 0), np.int32), none, np.zeros(0), none, none)
+    tables, roots, rare = [], [], [np.zeros((0, 3), np.int64)]
     for k in langs:
-        t = automaton(model.numbers(joined[k]).tolist(), len(letters) + 2)
-        t[:, 1] = -1
+        t, more = automaton(model.numbers(joined[k]).tolist(), width)
         base = sum(map(len, tables))
         roots.append(base)
+        rare.append(more + np.array([base, 0, base]))
         tables.append(np.where(t >= 0, t + base, -1).astype(np.int32))
     bits = np.array([np.log2(max(2, len(joined[k]))) for k in langs])
-    tables.append(np.full((1, len(letters) + 2), -1, np.int32))  # where a letter leads that no text has: to no match
-    return Model(langs, letters, np.concatenate(tables), np.array(roots, np.int64), bits)
+    tables.append(np.full((1, width), -1, np.int32))  # where a letter leads that no text has: to no match
+    state, c, to = np.concatenate(rare).T
+    keys = state * model.span + c
+    order = np.argsort(keys)
+    return Model(langs, letters, codes, np.concatenate(tables), np.array(roots, np.int64), bits, keys[order], to[order].astype(np.int32))
 
 
 def phrases(m: Model, low: np.ndarray, at: np.ndarray, lane: int = LANE) -> np.ndarray:
@@ -153,18 +185,18 @@ def phrases(m: Model, low: np.ndarray, at: np.ndarray, lane: int = LANE) -> np.n
     order = np.argsort(-length, kind="stable")
     start, length, owner = start[order], length[order], owner[order]
     sym = m.numbers(low)
-    flat, width, roots = m.table.ravel(), m.table.shape[1], m.roots
+    roots = m.roots
     state = np.repeat(roots[:, None], len(start), axis=1)
     count = np.ones((len(roots), len(start)), dtype=np.int64)
     active = np.searchsorted(-length, -np.arange(lane), side="left")  # pieces longer than t
     for t in range(int(length[0]) if len(length) else 0):
         n = active[t]
         c = sym[start[:n] + t]
-        to = flat[state[:, :n] * width + c]
+        to = m.step(state[:, :n], c)
         miss = to < 0
         if miss.any():
             count[:, :n] += miss if t else 0
-            fresh = flat[roots[:, None] * width + c[None, :]]
+            fresh = m.step(np.repeat(roots[:, None], n, axis=1), c)
             to = np.where(miss, np.where(fresh < 0, len(m.table) - 1, fresh), to)
         state[:, :n] = to
     out = np.zeros((len(size), len(roots)), dtype=np.int64)
@@ -206,7 +238,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, lang_pred, score."""
-    sent = tune(docs.sparkSession).sparkContext.broadcast(model)  # bounded by TRAIN_SYMBOLS and ALPHABET a language
+    sent = tune(docs.sparkSession).sparkContext.broadcast(model)  # bounded by TRAIN_SYMBOLS a language
     p = arrow(lambda text: predict(text, sent.value), PREDICTED)
     out = docs.select(F.col(id_col).alias("doc_id"), p(F.col(text_col).cast("string")).alias("p"))
     return out.select("doc_id", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))

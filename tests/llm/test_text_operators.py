@@ -106,6 +106,29 @@ def test_cross_parsing(train, text):
     assert langid.phrases(model, low, at, lane=7).sum() >= count
 
 
+def parsed(own, other):
+    count, i = 0, 0
+    while i < len(other):
+        n = 1
+        while i + n < len(other) and other[i : i + n + 1] in own:
+            n += 1
+        count, i = count + 1, i + n
+    return count
+
+
+def test_cross_parsing_of_many_letters():
+    rng = random.Random(4)
+    letters = [chr(0x4E00 + k) for k in range(400)] + list("abcdefgh")
+    words = ["".join(rng.choice(letters) for _ in range(4)) for _ in range(150)]
+    own = {"ja": "".join(rng.choice(words) for _ in range(300)), "zh": "".join(rng.choice(words)[::-1] for _ in range(300))}
+    model = langid.train(list(own.items()))
+    assert len(model.letters) > 2 * langid.ALPHABET
+    other = ["".join(rng.choice(words) for _ in range(60)), "".join(rng.choice(words)[::-1] for _ in range(60)), "\u9fa0" * 5, "abc"]
+    low, at = langid.symbols(pa.array(other))
+    assert langid.phrases(model, low, at).tolist() == [[parsed(own[k], x) for k in ("ja", "zh")] for x in other]
+    assert [x["lang"] for x in langid.predict(pa.array(other[:2]), model).to_pylist()] == ["ja", "zh"]
+
+
 def test_toxicity(spark, docs_of):
     rng = random.Random(3)
     plain = [sentences(rng, ["ba", "ke", "lo", "mi", "nu"], 1) for _ in range(3000)]
