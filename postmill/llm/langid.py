@@ -29,8 +29,9 @@ from pyspark.sql import types as T
 from postmill.llm import words as W
 from postmill.llm.session import arrow, tune
 
-#: The bound of the labelled sample: documents of each language, symbols of each, and symbols in all.
-SAMPLE_DOCS, DOC_SYMBOLS, TRAIN_SYMBOLS = 60, 2_000, 30_000
+#: The bound of the labelled sample: documents of each language, and symbols in all. Documents are learned in pieces of
+#: so many characters, as they are parsed; if not all fit, those of the smallest hash, from wherever in the documents.
+SAMPLE_DOCS, TRAIN_SYMBOLS, PIECE = 60, 30_000, 512
 #: Distinct letters with a column in the tables of transitions; those of rarer ones are found by sorted keys.
 ALPHABET = 94
 LANE = 512
@@ -143,14 +144,14 @@ class Model:
 
 
 def train(texts: list[tuple[str, str]], limit: int = TRAIN_SYMBOLS) -> Model:
-    """texts: (language, text), in the order in which they fill each language's limit."""
+    """texts: (language, text), in the order in which they fill each language's limit; what doesn't fit whole is left out."""
     by: dict[str, list[np.ndarray]] = {}
     low, at = symbols(pa.array([t for _, t in texts], pa.large_string()))
     for k, (lang, _) in enumerate(texts):
         own = by.setdefault(lang, [])
         room = limit - sum(map(len, own))
-        if room > 0 and at[k + 1] > at[k]:
-            own.append(np.append(low[at[k] : at[k + 1]][: room - 1], np.uint32(0)))
+        if 0 < at[k + 1] - at[k] < room:
+            own.append(np.append(low[at[k] : at[k + 1]], np.uint32(0)))
     langs = sorted(k for k, own in by.items() if own)
     joined = {k: np.concatenate(by[k]) for k in langs}
     letters, count = np.unique(np.concatenate([v[v > 0] for v in joined.values()]) if langs else np.zeros(0, np.uint32), return_counts=True)
@@ -227,12 +228,18 @@ def held_out(id_col: str, parts: int, part: int):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learns from the labelled rows of docs: for each language the SAMPLE_DOCS of the smallest id hash."""
+    """Learns from the labelled rows of docs: for each language the SAMPLE_DOCS of the smallest id hash, in pieces."""
     tune(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.substring(F.col(text_col).cast("string"), 1, DOC_SYMBOLS).alias("t"))
+    rows = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
     rows = rows.where("l is not null and length(t) > 0").withColumn("h", F.xxhash64("i"))
-    first = F.row_number().over(Window.partitionBy("l").orderBy("h", "i", "t"))
-    got = rows.withColumn("n", first).where(F.col("n") <= SAMPLE_DOCS).select("l", "n", "t").collect()  # SAMPLE_DOCS a language
+    first = F.row_number().over(Window.partitionBy("l").orderBy("h", "i", F.md5("t")))
+    kept = rows.withColumn("n", first).where(F.col("n") <= SAMPLE_DOCS)
+    at = F.explode(F.sequence(F.lit(1), F.length("t"), F.lit(PIECE)))
+    pieces = kept.select("l", "n", "t", at.alias("at")).select("l", F.xxhash64("n", "at").alias("h"), "n", "at", F.substring("t", F.col("at"), F.lit(PIECE)).alias("t"))
+    letters = F.length(F.regexp_replace("t", r"\P{L}+", ""))
+    # Letters of the pieces before: as many as fill the limit, and as many again, for those left out.
+    before = F.sum(letters).over(Window.partitionBy("l").orderBy("h", "n", "at").rowsBetween(Window.unboundedPreceding, -1))
+    got = pieces.where(letters > 0).withColumn("before", before).where(F.coalesce("before", F.lit(0)) < 2 * TRAIN_SYMBOLS).select("l", "h", "n", "at", "t").collect()
     return train([(r.l, r.t) for r in sorted(got)])
 
 

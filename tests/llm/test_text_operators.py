@@ -129,6 +129,17 @@ def test_cross_parsing_of_many_letters():
     assert [x["lang"] for x in langid.predict(pa.array(other[:2]), model).to_pylist()] == ["ja", "zh"]
 
 
+def test_language_of_whole_texts(docs_of):
+    word = lambda rng, letters: "".join(rng.choice(letters) for _ in range(5))
+    rng = random.Random(6)
+    late = " ".join(word(rng, "tuvwxyz") for _ in range(1500))
+    model = langid.fit(docs_of([(1, "same " * 420 + late, "aa", "s"), (2, "same " * 420 + " ".join(word(rng, "klmnopq") for _ in range(1500)), "bb", "s")]))
+    assert set("tuvwxyz") <= {chr(c) for c in model.letters}
+    assert langid.identify(docs_of([(3, late[2000:4000])]), model).first().lang_pred == "aa"
+    long = langid.fit(docs_of([(k, " ".join(word(rng, "abcdef") for _ in range(20_000)) + " " + "z" * 60_000, "aa", "s") for k in range(3)]))
+    assert ord("z") in long.letters.tolist() and 2 ** long.bits[0] > 0.98 * langid.TRAIN_SYMBOLS
+
+
 def test_toxicity(spark, docs_of):
     rng = random.Random(3)
     plain = [sentences(rng, ["ba", "ke", "lo", "mi", "nu"], 1) for _ in range(3000)]
