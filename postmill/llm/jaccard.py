@@ -329,10 +329,14 @@ def _multiplied(batches):
 
 
 def _all_grams(text: pa.Array) -> pa.Array:
-    """The upper 48 bits of each gram, in six bytes: enough to tell the few million grams of a task apart."""
-    g, at, _ = sets(text)
+    """Each text's key, and the upper 48 bits of each gram, in six bytes: enough to tell the few million grams of a task apart."""
+    g, at, keys = sets(text)
     packed = np.ascontiguousarray(g.view(np.uint8).reshape(-1, 8)[:, 2:])
-    return pa.array([packed[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+    lists = pa.array([packed[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+    return pa.StructArray.from_arrays([pa.array(keys.view(np.int64)), lists], names=["key", "grams"])
+
+
+WHOLE = T.StructType([T.StructField("key", T.LongType()), T.StructField("grams", T.BinaryType())])
 
 
 def _six(raw: bytes) -> np.ndarray:
@@ -358,7 +362,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     groups = components(_pairs(found).union(stars))  # node: key, label: group
     discard(found)
 
-    # Whole sets of the candidates: one document of each key is read again.
+    # Whole sets of the candidates: one document of each key is read again. Its id finds it, and its key tells it from
+    # others of that id; where no document of a key has an id, those without are searched by the key alone.
     reps = first.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     wanted = saved(groups.withColumnRenamed("node", "key").withColumnRenamed("label", "group").join(reps, "key"), "wanted")
     sizes = wanted.groupBy("group").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
@@ -368,7 +373,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     wanted = saved(wanted.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), "wanted")
     few = wanted.count() <= MAX_BROADCAST
     ids = wanted.select(F.col("rep").alias("doc_id"), F.col("key").alias("own"), "group", "blocks", "block")
-    whole = own.join(F.broadcast(ids) if few else ids, "doc_id").select("own", "group", "blocks", "block", arrow(_all_grams, T.BinaryType())("text").alias("grams"))
+    grams = arrow(_all_grams, WHOLE)("text").alias("s")
+    whole = own.join(F.broadcast(ids) if few else ids, "doc_id").select("own", "group", "blocks", "block", grams).where("s.key = own")
+    nameless = ids.where("doc_id is null").drop("doc_id")
+    if not nameless.isEmpty():
+        again = own.where("doc_id is null").select(grams).join(F.broadcast(nameless) if few else nameless, F.col("s.key") == F.col("own"))
+        whole = whole.union(again.select("own", "group", "blocks", "block", "s"))
+    whole = whole.select("own", "group", "blocks", "block", F.col("s.grams").alias("grams"))
     other = whole.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = other.select("group", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), F.col("own").alias("key"), "block", "grams")
     links = saved(tasks.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j", "key").mapInArrow(_multiplied, "a bigint, b bigint"), "links")

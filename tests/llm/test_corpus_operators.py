@@ -183,6 +183,17 @@ def test_jaccard(docs_of, monkeypatch, tight):
     assert got == Counter(classes(rows))
 
 
+def test_jaccard_of_missing_and_repeated_ids(docs_of):
+    rng = random.Random(17)
+    base = [[f"b{k}_{i}" for i in range(120)] for k in range(4)]
+    rows = [(None, near(rng, base[0], 1)), (None, near(rng, base[0], 1)), (4, near(rng, base[0], 1))]
+    rows += [(k, near(rng, base[1], 1)) for k in (5, 6)] + [(k, near(rng, base[2], 1)) for k in (5, 6)]
+    rows += [(5, near(rng, base[3], 1)), (None, near(rng, base[3], 1)), (None, "of no other's words at all")]
+    got = Counter(tuple(r) for r in jaccard.classes(docs_of(rows)).collect())
+    assert got == Counter(classes(rows))
+    assert sum(n for (_, _, component), n in got.items() if component == 4) == 3
+
+
 def test_jaccard_keeps_one_of_each_class(docs_of):
     t = " ".join(f"w{i}" for i in range(30))
     rows = [(3, t), (1, t), (2, "other text of some words here"), (2, "other text of some words here"), (None, t), (4, None), (5, "")]
