@@ -140,6 +140,15 @@ def test_language_of_whole_texts(docs_of):
     assert ord("z") in long.letters.tolist() and 2 ** long.bits[0] > 0.98 * langid.TRAIN_SYMBOLS
 
 
+@pytest.mark.parametrize("text", ["(d a m n)", "so d a m n, no", '"d.a.m.n"', "d a m n!", "d-- a-- m-- n--", "_d a m n_", "that's d a m n"])
+def test_spaced_words_are_joined_beside_any_other_character(text):
+    assert "damn" in toxicity.tokens(text)
+
+
+def test_words_beside_spaced_ones_keep_their_letters():
+    assert toxicity.tokens("don't a b c's x") == {"don't", "a", "b", "c's", "x"}
+
+
 def test_toxicity(spark, docs_of):
     rng = random.Random(3)
     plain = [sentences(rng, ["ba", "ke", "lo", "mi", "nu"], 1) for _ in range(3000)]
