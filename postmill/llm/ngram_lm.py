@@ -404,10 +404,7 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
     told = saved(text.mapInArrow(_count_words(shards), deal).repartition(parts, "shard").mapInArrow(_merge_words(folder), "shard int, kinds bigint, total bigint, word bigint, n bigint"), "lm-words")
     kinds, tokens = (x or 0 for x in told.groupBy("shard").agg(F.first("kinds").alias("k"), F.first("total").alias("t")).agg(F.sum("k"), F.sum("t")).first())
     hot = np.sort(np.array([r.word for r in told.where(F.col("n") > tokens / (8 * shards)).select("word").collect()], np.int64).view(W.U64))  # 8 a shard at most
-    ends = told.where(F.col("word") == int(np.array([END]).view(np.int64)[0])).select("n").first()  # one end a text
-    texts = ends.n if ends else 0
-    if tokens / (8 * shards) < texts:
-        hot = np.union1d(hot, np.array([START]))
+    hot = np.union1d(hot, np.array([START]))  # whose sum is the number of texts
     sent = spark.sparkContext.broadcast(hot)
     held = {r.shard for r in told.select("shard").distinct().collect()}
     discard(told)
@@ -428,6 +425,7 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
         if level > 2:
             found = found.where("kind = 0").select("shard", "part")
     follow = {r.word: (r.x, r.y, r.z, r.total) for r in found.where("kind = 1").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("x", "y", "z", "total"))).collect()}
+    texts = follow.get(int(np.array([START]).view(np.int64)[0]), (0, 0, 0, 0))[3]
     before = found.where("kind = 0").select("shard", "part").repartition(parts, "shard").mapInArrow(_merge_before(folder), "k bigint, n bigint")
     rare = {r.k: r.n for r in saved(before, "lm-before").groupBy("k").agg(F.sum("n").alias("n")).collect()}
     discard(above)

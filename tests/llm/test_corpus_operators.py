@@ -296,6 +296,16 @@ def test_kneser_ney_of_longer_contexts(docs_of, order):
         assert math.isclose(found[i], sum(math.log10(p(tuple(w[max(0, j - order + 1) : j]), w[j])) for j in range(1, len(w))), rel_tol=1e-9)
 
 
+def test_kneser_ney_counts_few_long_texts(spark, docs_of):
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        for order in (2, 3):
+            assert ngram_lm.fit(docs_of([(1, " ".join(f"w{i % 700}" for i in range(1400)))]), order=order).texts == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 # --- pipeline
 
 
