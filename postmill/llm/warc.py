@@ -5,7 +5,9 @@ are derived for each: a metadata record with what was learned about the response
 record with its plain text. Both refer to the response (WARC-Refers-To, with its URI and date), carry the
 digest of the source payload and of their own block, and have ids made of what they
 are derived from, so that a repeated task writes the same ids. Records are DataFrame rows;
-``serialised`` makes their WARC/1.1 bytes, and ``parse`` reads such bytes back.
+``serialised`` makes their WARC/1.1 bytes, with the response's HTTP headers as a JSON string in the field
+WARC-Source-HTTP-Headers, and ``parse`` reads such bytes back. A payload digest that the response has is
+carried; without one, the bytes are hashed as they were, before any decoding.
 
 The derivation is DataFrame functions alone. Its plain text is the HTML without comments,
 scripts, styles and tags, with block-level ends as line ends, the common character references
@@ -19,7 +21,9 @@ reader to drop; an empty table gives no records. Payloads of any length are read
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
+import json
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,10 +77,12 @@ def derive(records: DataFrame, carry: tuple[str, ...] = ("page_id",)) -> DataFra
     """Two rows for each response: record_type, record_id, refers_to, target_uri, date, source_headers,
     source_digest, content_type, block, block_digest, content_length."""
     payload = F.coalesce(F.col("payload").cast("string"), F.lit(""))
-    r = records.select(*carry, F.coalesce("record_id", urn(F.lit("response"), F.coalesce("target_uri", F.lit("")), payload)).alias("refers_to"), "target_uri", "date", F.coalesce("http_headers", F.lit("")).alias("source_headers"), digest(payload).alias("source_digest"), payload.alias("payload"))
+    # What parse found out from the bytes, which a string may not show.
+    own, length = (F.col(c) if c in records.columns else F.lit(None) for c in ("payload_digest", "payload_length"))
+    r = records.select(*carry, F.coalesce("record_id", urn(F.lit("response"), F.coalesce("target_uri", F.lit("")), F.coalesce(own, payload))).alias("refers_to"), "target_uri", "date", F.coalesce("http_headers", F.lit("")).alias("source_headers"), F.coalesce(own, digest(payload)).alias("source_digest"), payload.alias("payload"), F.coalesce(length, F.octet_length(payload)).alias("length"))
     r = r.withColumn("text", plain_text(F.col("payload")))
     fields = F.concat(
-        F.lit("source-content-length: "), F.octet_length("payload").cast("string"),
+        F.lit("source-content-length: "), F.col("length").cast("string"),
         F.lit("\r\nsource-payload-digest: "), F.col("source_digest"),
         F.lit("\r\ntext-length: "), F.length("text").cast("string"),
         F.lit("\r\nlinks: "), F.regexp_count("payload", F.lit(r"(?i)<a\b[^>]*\bhref\s*=")).cast("string"),
@@ -95,6 +101,7 @@ def header(record: dict[str, str | None]) -> str:
     pairs = [
         ("WARC-Type", record["record_type"]), ("WARC-Record-ID", f"<{record['record_id']}>"), ("WARC-Refers-To", f"<{record['refers_to']}>"),
         ("WARC-Refers-To-Target-URI", record["target_uri"]), ("WARC-Refers-To-Date", record["date"]), ("WARC-Target-URI", record["target_uri"]), ("WARC-Date", record["date"]),
+        ("WARC-Source-HTTP-Headers", json.dumps(record["source_headers"]) if record["source_headers"] else None),
         ("WARC-Source-Payload-Digest", record["source_digest"]), ("WARC-Block-Digest", record["block_digest"]), ("Content-Type", record["content_type"]), ("Content-Length", str(record["content_length"])),
     ]
     return "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in pairs if v is not None) + "\r\n"
@@ -103,7 +110,7 @@ def header(record: dict[str, str | None]) -> str:
 def serialised(records: DataFrame) -> DataFrame:
     """One gzip member for each derived record; members in a row are a WARC file."""
     tune(records.sparkSession)
-    names = ["record_type", "record_id", "refers_to", "target_uri", "date", "source_digest", "block_digest", "content_type", "content_length", "block"]
+    names = ["record_type", "record_id", "refers_to", "target_uri", "date", "source_headers", "source_digest", "block_digest", "content_type", "content_length", "block"]
 
     def f(s: pa.Array) -> pa.Array:
         return pa.array([gzip.compress(header(x).encode() + x["block"].encode() + b"\r\n\r\n", mtime=0) for x in s.to_pylist()], pa.binary())
@@ -129,7 +136,14 @@ def members(stream) -> list[tuple[dict[str, str], bytes]]:
     return out
 
 
-PARSED = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("record_type", "record_id", "target_uri", "date", "http_headers", "payload")]))
+PARSED = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("record_type", "record_id", "target_uri", "date", "http_headers", "payload", "payload_digest")] + [T.StructField("payload_length", T.LongType())]))
+
+
+def _header_text(raw: bytes) -> str:
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return raw.decode("latin-1")
 
 
 def parse(spark: SparkSession, path: str) -> DataFrame:
@@ -143,9 +157,9 @@ def parse(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for head, block in members(io.BufferedReader(io.BytesIO(raw))):
                 http, _, body = block.partition(b"\r\n\r\n") if head.get("warc-type") == "response" else (b"", b"", block)
-                rows.append({"record_type": head.get("warc-type"), "record_id": head.get("warc-record-id", "").strip("<>") or None, "target_uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "http_headers": http.decode("utf-8", "replace"), "payload": body.decode("utf-8", "replace")})
+                rows.append({"record_type": head.get("warc-type"), "record_id": head.get("warc-record-id", "").strip("<>") or None, "target_uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "http_headers": _header_text(http), "payload": body.decode("utf-8", "replace"), "payload_digest": head.get("warc-payload-digest") or f"sha256:{hashlib.sha256(body).hexdigest()}", "payload_length": len(body)})
             out.append(rows)
-        kind = pa.list_(pa.struct([(n, pa.string()) for n in ("record_type", "record_id", "target_uri", "date", "http_headers", "payload")]))
+        kind = pa.list_(pa.struct([(n, pa.string()) for n in ("record_type", "record_id", "target_uri", "date", "http_headers", "payload", "payload_digest")] + [("payload_length", pa.int64())]))
         return pa.array(out, kind)
 
     files = spark.read.format("binaryFile").load(path).select("content")

@@ -1,6 +1,8 @@
 """Operators 1, 2, 3, 7, 9 and the pipeline on small tables, against brute force."""
 
+import hashlib
 import io
+import json
 import math
 import random
 import re
@@ -220,6 +222,23 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+# --- 2, bytes that are no UTF-8
+
+
+def test_warc_keeps_headers_and_digests(spark, tmp_path):
+    head = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{}>\r\n{}Content-Length: {}\r\n\r\n"
+    body = b"HTTP/1.1 200 OK\r\nX: caf\xe9\r\n\r\n<p>caf\xe9</p>"
+    with (tmp_path / "a.warc").open("wb") as out:
+        for name, said in (("a", ""), ("b", "WARC-Payload-Digest: sha1:ABC\r\n")):
+            out.write(head.format(name, said, len(body)).encode() + body + b"\r\n\r\n")
+    made = warc.serialised(warc.derive(warc.parse(spark, str(tmp_path)), ()))
+    back = warc.members(io.BufferedReader(io.BytesIO(b"".join(bytes(r.member) for r in made.collect()))))
+    raw = "sha256:" + hashlib.sha256(b"<p>caf\xe9</p>").hexdigest()
+    assert sorted((h["warc-refers-to"], h["warc-source-payload-digest"]) for h, _ in back) == [("<urn:a>", raw)] * 2 + [("<urn:b>", "sha1:ABC")] * 2
+    assert {json.loads(h["warc-source-http-headers"]) for h, _ in back} == {"HTTP/1.1 200 OK\r\nX: caf\xe9"}
+    assert all(b"source-content-length: 11\r\n" in b for h, b in back if h["warc-type"] == "metadata")
+
+
 # --- 9
 
 
