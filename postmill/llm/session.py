@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-#: Rows in an Arrow batch: bounds a Python worker's memory even where every text is long.
-BATCH_ROWS = 512
+#: Rows and bytes in an Arrow batch: bound a Python worker's memory even where every text is long.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+#: Bytes of input for each partition of a shuffle, and partitions at most.
+PARTITION_BYTES, MAX_PARTITIONS = 16 << 20, 50_000
 
 
 #: The folder that holds this package, for Python workers that start elsewhere.
@@ -22,12 +24,19 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 def tune(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     return spark
 
 
+def partitions(df: DataFrame) -> int:
+    """Partitions for what is made of df: as many as the session says, and more where the input's size asks for it."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MAX_PARTITIONS, -(-size // PARTITION_BYTES)))
+
+
 def arrow(f, kind: DataType):
     """f, from Arrow arrays to an Arrow array, as a function of columns. Marked nondeterministic so that
     the optimiser never evaluates it twice for one row."""

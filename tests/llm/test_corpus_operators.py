@@ -200,10 +200,24 @@ def test_jaccard_keeps_one_of_each_class(docs_of):
     t = " ".join(f"w{i}" for i in range(30))
     rows = [(3, t), (1, t), (2, "other text of some words here"), (2, "other text of some words here"), (None, t), (4, None), (5, "")]
     out = jaccard.keep(docs_of(rows, ("component_id",)))
-    assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "2", "4", "5", "None"] and out.columns[-1] == "component_id"
+    assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "2", "4", "5"] and out.columns[-1] == "component_id"
     assert jaccard.classes(docs_of([])).count() == 0
 
 
+def test_jaccard_keeps_by_id_and_text(docs_of):
+    a, b, c, d = ([f"{x}{i}" for i in range(60)] for x in "abcd")
+    one = lambda words, k: " ".join([*words[:-1], f"z{k}"])
+    rows = [(0, one(c, 0)), (1, one(c, 0)), (1, one(b, 0)), (2, one(a, 0)), (2, one(a, 1)), (2, one(d, 0)), (None, one(d, 1)), (None, None), (None, "lone words")]
+    rows += [(None, "null ids only, with enough words"), (None, "null ids only, with enough words"), (2, ""), (2, "")]
+    left = Counter((r.doc_id, r.text) for r in jaccard.keep(docs_of(rows)).collect())
+    own = Counter(rows)
+    assert all(n <= own[r] for r, n in left.items())
+    assert left[(0, one(c, 0))] == 1 and left[(1, one(c, 0))] == 0 and left[(1, one(b, 0))] == 1  # a copy goes, its namesake stays
+    assert left[(2, one(a, 0))] + left[(2, one(a, 1))] == 1 and left[(2, one(d, 0))] == 1 and left[(None, one(d, 1))] == 0
+    assert left[(None, None)] == 1 and left[(None, "lone words")] == 1 and left[(None, "null ids only, with enough words")] == 1 and left[(2, "")] == 2
+    assert jaccard.keep(docs_of([])).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(100 + i, 101 + i) for i in range(40)] + [(300, 300)]
