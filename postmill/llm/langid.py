@@ -5,8 +5,9 @@ A document is parsed greedily into longest matches against each automaton; the l
 that needs the fewest phrases, each weighted by the bits of a position in its labelled
 text, wins. Thousands of text pieces walk the automata at once as numpy columns.
 
-Texts are read whole: letters are lower-cased, everything else becomes one space, and a
-parse starts anew every LANE symbols, for every language alike.
+Texts are read whole: letters are lower-cased, everything else becomes one space. A long text is parsed
+in lanes of LANE symbols at once; then the parse of each lane goes on into the next, until a phrase of it
+begins where one begins there, from where on both are the same. So the phrases are those of the whole text.
 
 Defined results: ``und`` with score 0 for a null text or one without letters, and where no
 labelled text exists; rows without a language, or with an empty text, teach nothing; equal
@@ -34,7 +35,8 @@ from postmill.llm.session import arrow, tune
 SAMPLE_DOCS, TRAIN_SYMBOLS, PIECE = 60, 30_000, 512
 #: Distinct letters with a column in the tables of transitions; those of rarer ones are found by sorted keys.
 ALPHABET = 94
-LANE = 512
+#: Symbols of a lane, and of the texts parsed at once, a longer one alone.
+LANE, CHUNK = 512, 1 << 21
 PREDICTED = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
@@ -131,17 +133,26 @@ class Model:
         return np.where(low == 0, 0, np.where(known, code, 1)).astype(np.int64)
 
     def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Next states of the columns of state by the symbols c, -1 where there is none."""
+        """Next states by the symbols c, one for each column, -1 where there is none."""
         width = self.table.shape[1]
         rare = c >= width
         if not rare.any():
             return self.table.ravel()[state * width + c]
         to = self.table.ravel()[state * width + np.where(rare, 1, c)]
-        key = state[:, rare].astype(np.int64) * self.span + c[rare]
+        key = state[..., rare].astype(np.int64) * self.span + c[rare]
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        to[:, rare] = np.where(self.keys[at] == key, self.goes[at], -1)
+        to[..., rare] = np.where(self.keys[at] == key, self.goes[at], -1)
         return to
 
+    def walk(self, state: np.ndarray, root: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states by the symbols c, and where a new phrase begins with them."""
+        to = self.step(state, c)
+        miss = to < 0
+        if miss.any():
+            fresh = self.step(np.broadcast_to(root, state.shape), c)
+            to = np.where(miss, np.where(fresh < 0, len(self.table) - 1, fresh), to)
+        return to, miss
+
 
 def train(texts: list[tuple[str, str]], limit: int = TRAIN_SYMBOLS) -> Model:
     """texts: (language, text), in the order in which they fill each language's limit; what doesn't fit whole is left out."""
@@ -177,33 +188,53 @@ def train(texts: list[tuple[str, str]], limit: int = TRAIN_SYMBOLS) -> Model:
 
 def phrases(m: Model, low: np.ndarray, at: np.ndarray, lane: int = LANE) -> np.ndarray:
     """Phrases that each text (row) needs in each language (column)."""
-    size = np.diff(at)
+    size, roots = np.diff(at), m.roots
     pieces = -(-size // lane)
     owner = np.repeat(np.arange(len(size)), pieces)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     start = at[owner] + nth * lane
     length = np.minimum(lane, at[owner + 1] - start)
     order = np.argsort(-length, kind="stable")
-    start, length, owner = start[order], length[order], owner[order]
+    start, length = start[order], length[order]
+    place = np.empty(len(order), np.int64)  # a lane's column
+    place[order] = np.arange(len(order))
     sym = m.numbers(low)
-    roots = m.roots
+    steps = int(length[0]) if len(length) else 0
     state = np.repeat(roots[:, None], len(start), axis=1)
-    count = np.ones((len(roots), len(start)), dtype=np.int64)
-    active = np.searchsorted(-length, -np.arange(lane), side="left")  # pieces longer than t
-    for t in range(int(length[0]) if len(length) else 0):
+    begins = np.zeros((steps, len(roots), len(start)), bool)  # a phrase, at a symbol, in a language, in a lane
+    active = np.searchsorted(-length, -np.arange(steps), side="left")  # lanes longer than t
+    for t in range(steps):
         n = active[t]
-        c = sym[start[:n] + t]
-        to = m.step(state[:, :n], c)
-        miss = to < 0
-        if miss.any():
-            count[:, :n] += miss if t else 0
-            fresh = m.step(np.repeat(roots[:, None], n, axis=1), c)
-            to = np.where(miss, np.where(fresh < 0, len(m.table) - 1, fresh), to)
-        state[:, :n] = to
-    out = np.zeros((len(size), len(roots)), dtype=np.int64)
-    for k in range(len(roots)):
-        out[:, k] = np.bincount(owner, weights=count[k], minlength=len(size))
-    return out
+        state[:, :n], begins[t, :, :n] = m.walk(state[:, :n], roots[:, None], sym[start[:n] + t])
+    begins[:1] = True
+
+    def carried(lang: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Carries the phrase at the end of the lane before into lane k; those lanes that it runs through without meeting a beginning."""
+        col, s = place[k], state[lang, place[k - 1]]
+        live, through = np.arange(len(k)), []
+        for t in range(steps):
+            over = length[col[live]] <= t
+            through.append(live[over])
+            live = live[~over]
+            if not len(live):
+                break
+            x, y = lang[live], col[live]
+            s[live], miss = m.walk(s[live], roots[x], sym[start[y] + t])
+            same = miss & begins[t, x, y]
+            begins[t, x, y] = miss
+            live = live[~same]
+        through = np.concatenate([*through, live])
+        state[lang[through], col[through]] = s[through]
+        return lang[through], k[through]
+
+    later = np.flatnonzero(nth > 0)
+    lang, k = np.repeat(np.arange(len(roots)), len(later)), np.tile(later, len(roots))
+    while len(k):
+        lang, k = carried(lang, k)
+        on = np.append(nth[1:], 0)[k] > 0  # whose end has changed, so the next lane's beginning has
+        lang, k = lang[on], k[on] + 1
+    count = begins.sum(axis=0)
+    return np.stack([np.bincount(owner, weights=count[x, place], minlength=len(size)) for x in range(len(roots))], axis=1).astype(np.int64)
 
 
 def predict(text: pa.Array, m: Model) -> pa.Array:
@@ -213,7 +244,8 @@ def predict(text: pa.Array, m: Model) -> pa.Array:
         lettered[:] = False
         cost = np.zeros((len(at) - 1, 1))
     else:
-        cost = phrases(m, low, at) * m.bits
+        parsed = [phrases(m, low[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in W.chunks(at, CHUNK)]
+        cost = np.concatenate([np.zeros((0, len(m.langs))), *parsed]) * m.bits
     best = cost.argmin(axis=1)
     least = cost[np.arange(len(cost)), best]
     # The costs' excess, in standard deviations of a count of phrases, as odds against the others.

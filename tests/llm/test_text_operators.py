@@ -103,7 +103,8 @@ def test_cross_parsing(train, text):
             n += 1
         count, i = count + 1, i + n
     assert langid.phrases(model, low, at).tolist() == [[count]]
-    assert langid.phrases(model, low, at, lane=7).sum() >= count
+    for lane in (1, 2, 7):
+        assert langid.phrases(model, low, at, lane).tolist() == [[count]]
 
 
 def parsed(own, other):
@@ -129,6 +130,28 @@ def test_cross_parsing_of_many_letters():
     assert [x["lang"] for x in langid.predict(pa.array(other[:2]), model).to_pylist()] == ["ja", "zh"]
 
 
+def test_lanes_of_several_texts_and_languages():
+    rng = random.Random(31)
+    own = {k: "".join(rng.choice(k) for _ in range(300)) for k in ("aab", "abc", "bcc")}
+    model = langid.train(list(own.items()))
+    # The second phrase of the last text runs through many lanes.
+    other = ["".join(rng.choice("abc") for _ in range(rng.randrange(90))) for _ in range(40)] + ["c" + own["aab"][5:250] + "c" * 9]
+    low, at = langid.symbols(pa.array(other))
+    want = [[parsed(own[k] + " ", x) for k in model.langs] for x in other]
+    for lane in (1, 3, 10, 64, 512):
+        assert langid.phrases(model, low, at, lane).tolist() == want
+
+
+def test_language_of_nine_scripts(docs_of):
+    rng = random.Random(32)
+    scripts = {"en": 0x61, "el": 0x3B1, "ru": 0x430, "hy": 0x561, "he": 0x5D0, "hi": 0x915, "th": 0xE01, "ja": 0x4E00, "ko": 0xAC00}
+    words = {k: ["".join(chr(c + rng.randrange(400 if k in ("ja", "ko") else 20)) for _ in range(rng.randrange(2, 6))) for _ in range(300)] for k, c in scripts.items()}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(60)), k, "s") for i, k in enumerate(sorted(scripts) * 50)]
+    model = langid.fit(docs_of(rows[:270]))
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs_of([(i, t) for i, t, _, _ in rows[270:]]), model).collect()}
+    assert sum(got[i] == k for i, _, k, _ in rows[270:]) >= 0.97 * 180
+
+
 def test_language_of_whole_texts(docs_of):
     word = lambda rng, letters: "".join(rng.choice(letters) for _ in range(5))
     rng = random.Random(6)
@@ -173,6 +196,46 @@ def test_toxicity(spark, docs_of):
     assert {r.score for r in toxicity.report(docs_of(odd), none).collect()} == {0.0}
 
 
+def likeliest(token, model):
+    """Every way through the lattice, by its cost."""
+    ways = [("", 0.0)]
+    for options in toxicity.lattice(token):
+        ways = [(text + letters, cost + channel) for text, cost in ways for letters, channel in options]
+    out = {}
+    for text, cost in ways:
+        spelt = f"^^{text}$"
+        cost += sum(model.step(spelt[i - 2 : i], spelt[i]) for i in range(2, len(spelt)))
+        out[text] = min(cost, out.get(text, cost))
+    return out
+
+
+def test_decoding_is_that_of_all_ways():
+    rng = random.Random(33)
+    seen = {}
+    for w in ["trash", "idiot", "clown", "glass", "boot", "seller", "little"] * 3:
+        text = f"^^{w}$"
+        for i in range(2, len(text)):
+            for k in range(3):
+                at = seen.setdefault(text[i - k : i], {})
+                at[text[i]] = at.get(text[i], 0) + 1
+    model = toxicity.CharModel.learn(seen)
+    for token in ["tr4$h", "1d10t", "g|a55", "b00t!", "l1ttl3", "ttrraashh", "c-l-o-w-n", "0", "$$", "a1!2b"] + ["".join(rng.choice("ab1l!0$-ee") for _ in range(rng.randrange(1, 10))) for _ in range(60)]:
+        ways = likeliest(token, model)
+        assert ways[toxicity.decode(token, model)] <= min(ways.values()) + 1e-9
+    assert [toxicity.decode(t, model) for t in ("tr4$h", "1d10t", "c-l-0-w-n")] == ["trash", "idiot", "clown"]
+    long = "tr4$h" * 40  # as a whole, not in pieces
+    assert toxicity.decode(long, model).startswith("tr") and len(toxicity.decode(long, model)) >= 160
+
+
+def test_held_out_toxicity(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = "pmod(crc32(cast(doc_id as string)), 4) = 2"
+    model = toxicity.fit(docs, labels.where(f"not ({held})"))
+    got = toxicity.report(docs.where(held), model).join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r.toxic, r.predicted): r["count"] for r in got}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n[1, 1] >= 0.85 * (n[1, 1] + n.get((0, 1), 0))
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_fm_index(seed):
     rng = np.random.default_rng(seed)
