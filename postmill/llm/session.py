@@ -16,6 +16,8 @@ from pyspark.sql.types import DataType
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 #: Bytes of input for each partition of a shuffle, and partitions at most.
 PARTITION_BYTES, MAX_PARTITIONS = 16 << 20, 50_000
+#: A size beyond this is what Spark says of tables of which it knows none.
+MAX_KNOWN = 1 << 50
 
 
 #: The folder that holds this package, for Python workers that start elsewhere.
@@ -32,8 +34,9 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def partitions(df: DataFrame) -> int:
-    """Partitions for what is made of df: as many as the session says, and more where the input's size asks for it."""
+    """Partitions for what is made of df: as many as the session says, and more where the input's size, if known, asks for it."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = 0 if size > MAX_KNOWN else size
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MAX_PARTITIONS, -(-size // PARTITION_BYTES)))
 
 

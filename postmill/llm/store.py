@@ -37,4 +37,4 @@ def read(folder: str, name: str, dtype) -> np.ndarray:
         with system.open_input_stream(f"{base}/{name}") as source:
             return np.frombuffer(source.read(), dtype)
     file = f"{path}/{name}"
-    return np.memmap(file, dtype, "r") if os.path.getsize(file) else np.zeros(0, dtype)
+    return np.memmap(file, dtype, "r").view(np.ndarray) if os.path.getsize(file) else np.zeros(0, dtype)
