@@ -29,7 +29,12 @@ def with_url_key(rows: DataFrame) -> DataFrame:
 def _matches(rows: DataFrame, leaders: DataFrame, key: str, name: str) -> DataFrame:
     """rows with ``name``: the leader with the same key, null without one. leaders: (key, leader)."""
     side = leaders.where(F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.col("leader").alias(name))
-    return rows.join(side, rows[key] == F.col("__k"), "left").drop("__k")
+    return rows.join(side, _spread(key) == F.col("__k"), "left").drop("__k")
+
+
+def _spread(key: str):
+    """The key, or, where it is null, something of the row's own that no key equals: else all such rows would meet in one task."""
+    return F.coalesce(F.col(key), F.concat(F.lit("\0"), F.col("seq").cast("string")))
 
 
 def first_stored(stored: DataFrame, key: str) -> DataFrame:
@@ -46,13 +51,13 @@ def leaders(rows: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
         marked = left
         for k in keys:
             least = left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("seq").alias(f"least_{k}")).withColumnRenamed(k, "__k")
-            marked = marked.join(least, marked[k] == F.col("__k"), "left").drop("__k")
+            marked = marked.join(least, _spread(k) == F.col("__k"), "left").drop("__k")
         first = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"least_{k}"), F.col("seq")) == F.col("seq") for k in keys])
         marked = written(marked.withColumn("leads", first), "round")
         new = marked.where("leads").select("seq", *keys)
         rest = marked.where("not leads").select("seq", *keys)
         for k in keys:
-            rest = rest.join(new.where(F.col(k).isNotNull()).select(F.col(k).alias("__k")).distinct(), rest[k] == F.col("__k"), "left_anti")
+            rest = rest.join(new.where(F.col(k).isNotNull()).select(F.col(k).alias("__k")).distinct(), _spread(k) == F.col("__k"), "left_anti")
         left = written(rest, "undecided")
         done = new if done is None else done.union(new)
     return done if done is not None else rows.select("seq", *keys).limit(0)

@@ -34,7 +34,7 @@ def recheck(rows: DataFrame) -> DataFrame:
 
 
 def run_stats(rows: DataFrame, totals: bool = True) -> DataFrame:
-    """Counters for each source, and over all with a null source. Needs the flags is_valid, was_external,
+    """Counters for each source, and over all with a null source; ``error`` is 0, see with_errors. Needs the flags is_valid, was_external,
     is_external, and outcome (inserted or merged, else null)."""
     grouped = rows.rollup("source") if totals else rows.groupBy("source")
     n = lambda test: F.count_if(F.coalesce(test, F.lit(False)))
@@ -42,5 +42,15 @@ def run_stats(rows: DataFrame, totals: bool = True) -> DataFrame:
     return grouped.agg(
         F.count("*").alias("fetched"), n(c("is_valid")).alias("normalized"), n(~c("is_valid")).alias("dropped_invalid"), n(c("was_external")).alias("external_kept"),
         n(c("was_external") & ~c("is_external")).alias("downgraded_after_resolution"), n(c("outcome") == "inserted").alias("inserted"), n(c("outcome") == "merged").alias("merged_duplicates"),
-        n((c("outcome") == "inserted") & c("rewritten_description").isNotNull()).alias("rewritten"),
+        n((c("outcome") == "inserted") & c("rewritten_description").isNotNull()).alias("rewritten"), F.lit(0).cast("bigint").alias("error"),
     )
+
+
+def with_errors(stats: DataFrame, names: list[str]) -> DataFrame:
+    """stats with a row for each source that failed, and their number in the total."""
+    if not names:
+        return stats
+    counts = [c for c in stats.columns if c not in ("source", "error")]
+    failed = stats.sparkSession.createDataFrame([(n,) for n in sorted(names)], "source string").select("source", *[F.lit(0).cast("bigint").alias(c) for c in counts], F.lit(1).cast("bigint").alias("error"))
+    known = stats.withColumn("error", F.when(F.col("source").isNull(), len(names)).otherwise(F.col("error")).cast("bigint"))
+    return known.unionByName(failed)

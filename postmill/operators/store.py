@@ -1,8 +1,9 @@
 """A versioned store: every change writes a new snapshot, then moves a pointer.
 
 Parquet tables have no MERGE; a snapshot is computed by joins, written to a new folder partitioned by
-source, and becomes current when the pointer file is renamed into place. Readers of older
-versions are not disturbed, and a failed or repeated write leaves the current one as it is.
+source and dealt by a hash of the id within it, and becomes current when its pointer, an empty file named by a number and
+the version, is created: the greatest number counts. Nothing is moved or overwritten, so a crash at any point leaves the
+current version as it is. Pointers of named versions stay when old snapshots are removed, so a batch is never applied twice.
 """
 
 from __future__ import annotations
@@ -16,22 +17,23 @@ from postmill.schema import JOBS, conform
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+        """buckets: tasks, and files, of one source."""
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def history(self) -> list[tuple[int, str]]:
+        """(number, version) of all that were ever current, in order."""
+        fs, p = self._fs(f"{self.path}/_versions")
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted((int(n.partition("=")[0]), n.partition("=")[2]) for n in names if "=" in n)
+
     def version(self) -> str | None:
-        fs, p = self._fs(f"{self.path}/_current")
-        if not fs.exists(p):
-            return None
-        stream = fs.open(p)
-        try:
-            return bytes(stream.readAllBytes()).decode().strip()
-        finally:
-            stream.close()
+        told = self.history()
+        return told[-1][1] if told else None
 
     def read(self, version: str | None = None) -> DataFrame:
         version = version or self.version()
@@ -40,21 +42,28 @@ class Store:
         return conform(self.spark.read.schema(JOBS).parquet(f"{self.path}/{version}"))
 
     def write(self, jobs: DataFrame, name: str | None = None) -> str:
-        """A new snapshot; the same name given again is the same change, and is not repeated."""
+        """A new snapshot; the same name given again, at any later time, is the same change, and is not repeated."""
         version = f"v-{name or uuid.uuid4().hex}"
-        if self.version() == version:
+        told = self.history()
+        if any(v == version for _, v in told):
             return version
-        conform(jobs).repartition("source").write.mode("overwrite").partitionBy("source").parquet(f"{self.path}/{version}")
-        fs, part = self._fs(f"{self.path}/_current-{uuid.uuid4().hex}")
-        stream = fs.create(part)
-        stream.write(version.encode())
-        stream.close()
-        _, current = self._fs(f"{self.path}/_current")
-        if not fs.rename(part, current):  # some stores don't rename onto a file
-            fs.delete(current, False)
-            fs.rename(part, current)
+        bucket = F.pmod(F.xxhash64("id"), F.lit(self.buckets))
+        conform(jobs).repartition("source", bucket).write.mode("overwrite").partitionBy("source").parquet(f"{self.path}/{version}")
+        self._point(told[-1][0] + 1 if told else 0, version)
         return version
 
+    def _point(self, number: int, version: str) -> None:
+        fs, p = self._fs(f"{self.path}/_versions/{number:012d}={version}")
+        fs.create(p, False).close()
+
+    def expire(self, keep: int = 10) -> list[str]:
+        """Removes all but the newest snapshots; their names stay known."""
+        gone = [v for _, v in self.history()[:-max(1, keep)]]
+        for v in gone:
+            fs, p = self._fs(f"{self.path}/{v}")
+            fs.delete(p, True)
+        return gone
+
     def deactivate(self, ids: DataFrame) -> str:
         gone = ids.select("id").distinct().withColumn("__gone", F.lit(True))
         return self.write(self.read().join(gone, "id", "left").withColumn("is_active", F.col("is_active") & F.col("__gone").isNull()).drop("__gone"))

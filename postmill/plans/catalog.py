@@ -6,6 +6,7 @@ There is no jobs table among them, so each operator runs over a table of the rig
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,8 +14,11 @@ from pyspark.sql import functions as F
 from postmill.functions import classify, digest, display, text, url
 from postmill.functions.salary import parse_salary
 from postmill.operators import dedup, network, records
+from postmill.operators.store import Store
+from postmill.plans import ingest, social
 from postmill.plans import jobs as J
-from postmill.plans import social
+from postmill.runtime import shared_dir
+from postmill.schema import conform
 from postmill.sources import base
 
 c = F.col
@@ -99,14 +103,15 @@ def job_id(spark, d):
 
 
 def dedup_exact(spark, d):
-    docs = _read(spark, d, "documents")
-    return docs.groupBy(F.md5("text").alias("key")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
+    docs = _read(spark, d, "documents").select(F.md5("text").alias("key"), c("doc_id").alias("first_doc"), "source")
+    return dedup.first_by(docs, "key", ["first_doc"])
 
 
 def dedup_sources(spark, d):
-    docs = _read(spark, d, "documents").select(F.md5("text").alias("key"), "source", "doc_id")
-    per = docs.groupBy("key", "source").agg(F.min("doc_id").alias("first"))
-    return per.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "source"))), lambda x: x["source"]), ",").alias("sources"))
+    docs = _read(spark, d, "documents").select(F.md5("text").alias("fingerprint"), "source", c("doc_id").cast("bigint").alias("seq"), c("doc_id").cast("string").alias("id"), F.lit(None).cast("string").alias("url_key"), F.lit(dt.datetime(2024, 1, 1)).alias("scraped_at"))
+    stored = docs.select("id", "fingerprint", "url_key", "source", "scraped_at", F.array().cast("array<string>").alias("merged_sources")).limit(0)
+    kept = dedup.merged(dedup.assign(docs, stored), stored)
+    return kept.select(c("fingerprint").alias("key"), F.concat_ws(",", "source", "merged_sources").alias("sources"))
 
 
 def _arrivals(spark, d) -> DataFrame:
@@ -132,7 +137,7 @@ def recency_window(spark, d):
 
 
 def early_stop_prefix(spark, d):
-    stopped = base.until_stale(_read(spark, d, "events"), "event_id", "value", F.lit(0.05), most=400)
+    stopped = base.until_stale(_read(spark, d, "events"), "event_id", "value", F.lit(0.05))
     return stopped.select("event_id", "value")
 
 
@@ -193,8 +198,10 @@ def similar_top4(spark, d):
 
 
 def run_stats(spark, d):
-    e = _read(spark, d, "events")
-    return e.rollup("event_type").agg(F.count("*").alias("fetched"), F.count_if(c("value") > 50).alias("kept"), F.count_if(c("value") <= 50).alias("dropped"))
+    outcome = F.when(c("value") > 70, "inserted").when(c("value") > 50, "merged")
+    flags = [(c("value") > 10).alias("is_valid"), (c("value") > 30).alias("was_external"), (c("value") > 50).alias("is_external"), outcome.alias("outcome"), F.when(c("event_id") % 2 == 0, "new").alias("rewritten_description")]
+    stats = records.run_stats(_read(spark, d, "events").select(c("event_type").alias("source"), *flags))
+    return records.with_errors(stats, ["down"])
 
 
 def display_fields(spark, d):
@@ -227,11 +234,59 @@ def digest_post(spark, d):
 
 
 def upsert_snapshot(spark, d):
+    """orders as jobs: two thirds are stored, the even ones arrive later from another source, and some are then deactivated."""
     o = _read(spark, d, "orders")
-    stored, new = o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 2 = 0").withColumn("o_totalprice", c("o_totalprice") + 1)
-    kept = stored.join(new.select("o_orderkey", c("o_totalprice").alias("new_price")), "o_orderkey", "left").withColumn("o_totalprice", F.coalesce("new_price", "o_totalprice"))
-    inserted = new.join(stored.select("o_orderkey"), "o_orderkey", "left_anti")
-    return kept.select("o_orderkey", "o_totalprice").union(inserted.select("o_orderkey", "o_totalprice"))
+    key = c("o_orderkey").cast("string")
+    jobs = o.select(key.alias("id"), F.lit("a").alias("source"), key.alias("external_id"), c("o_orderpriority").alias("title"), F.lit("x").alias("company"), F.lit("https://x/").alias("raw_apply_url"), F.concat(F.lit("https://x.example.com/"), key).alias("apply_url"), F.lit("x.example.com").alias("resolved_domain"), F.lit(dt.datetime(2024, 1, 1)).alias("scraped_at"), F.concat(F.lit("f"), key).alias("fingerprint"))
+    store = Store(spark, f"{shared_dir(spark)}/orders-{uuid.uuid4().hex}")
+    store.write(jobs.where(c("id").cast("bigint") % 3 != 0), "first")
+    stored = dedup.with_url_key(store.read())
+    new = jobs.where(c("id").cast("bigint") % 2 == 0).withColumns({"seq": c("id").cast("bigint"), "id": F.concat(F.lit("b"), "id"), "source": F.lit("b"), "scraped_at": F.lit(dt.datetime(2024, 1, 2))})
+    arriving = dedup.with_url_key(conform(new).withColumn("seq", c("external_id").cast("bigint")))
+    for _ in range(2):  # a batch that comes again changes nothing
+        store.write(dedup.merged(dedup.assign(arriving, stored), stored), "second")
+    store.deactivate(store.read().where(c("external_id").cast("bigint") % 7 == 0))
+    store.write(store.read().where("false"), "second")
+    store.expire(1)
+    return store.read().select(c("external_id").cast("bigint").alias("o_orderkey"), "id", "source", F.array_join("merged_sources", ",").alias("others"), "scraped_at", "is_active")
+
+
+def _pages(spark, d) -> DataFrame:
+    """part as pages of the flat source: a job object in a streamed script chunk."""
+    k = c("p_partkey")
+    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (k % len(xs) + 1).cast("int"))
+    job = F.struct(
+        F.concat(F.lit("Engineer "), (F.floor(k / 2)).cast("string")).alias("title"), F.concat(F.lit("part-"), k.cast("string")).alias("slug"), F.lit('Say "A\\B"').alias("companyName"),
+        pick("full-time", "").alias("jobType"), F.when(k % 5 != 0, F.concat((k % 12).cast("string"), F.lit(" years"))).otherwise("").alias("experience"), F.lit("Engineering").alias("domain"),
+        F.lit("Pune").alias("location"), F.when(k % 9 != 0, " India").otherwise("Nepal").alias("country"), F.replace("p_type", F.lit(" "), F.lit(" , ")).alias("skills"),
+        F.when(k % 11 == 0, "").when(k % 6 == 0, F.concat(F.lit("https://www.jobfound.org/x/"), k.cast("string"))).otherwise(F.concat(F.lit("https://careers.example.com/"), k.cast("string"), F.lit("/?a=b"))).alias("applyUrl"),
+        pick("remote", "On-site", "").alias("workplaceType"), F.when(k % 13 != 0, "2024-01-01T12:00:00Z").otherwise("2023-12-01").alias("postedAt"),
+        F.when(k % 4 != 0, F.concat((k % 20).cast("string"), F.lit("-"), (k % 20 + 5).cast("string"), F.lit(" LPA"))).otherwise("").alias("salary"),
+    )
+    chunk = F.regexp_replace(F.concat(F.lit('5:["x",{"initialJob":'), F.to_json(job), F.lit(',"similarJobs":[]}]')), r'(["\\])', r"\\$1")
+    html = F.when(k % 17 == 0, "<p>no job</p>").otherwise(F.concat(F.lit('<script>self.__next_f.push([1,"'), chunk, F.lit('"])</script>')))
+    return _read(spark, d, "part").select(F.concat(F.lit("https://jobfound.org/job/"), k.cast("string")).alias("url"), html.alias("html"))
+
+
+_AS_OF = dt.datetime(2024, 1, 2, tzinfo=dt.UTC)
+
+
+def page_records(spark, d):
+    rows = records.finalize(base.run(base.get_source("jobfound"), _pages(spark, d), _AS_OF), _AS_OF)
+    columns = ["external_id", "id", "fingerprint", "title", "company", "location", "is_remote", "employment_type", "seniority", "salary_min", "salary_max", "salary_period", "salary_raw", "has_salary", "apply_type", "raw_apply_url", "posted_at", "is_valid"]
+    return rows.select(*columns, F.array_join("tags", "|").alias("tags"), F.array_join("source_fields_missing", ",").alias("missing"))
+
+
+def ingest_run(spark, d):
+    """From pages to the store and its public rows."""
+    store = Store(spark, f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}")
+    ingest.ingest(_pages(spark, d), store, _AS_OF, names=["jobfound"]).collect()
+    return J.public(store.read()).select("source", "title", "apply_url", "seniority", "is_active", "is_rewritten", "scraped_at")
+
+
+def ingest_stats(spark, d):
+    store = Store(spark, f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}")
+    return ingest.ingest(_pages(spark, d), store, _AS_OF, names=["jobfound"])
 
 
 def liveness(spark, d):
@@ -243,7 +298,13 @@ def liveness(spark, d):
 
 def resolve_memo(spark, d):
     p = _read(spark, d, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("raw_apply_url"))
-    return network.resolve(p).select("page_id", "apply_url", "resolved_domain")
+
+    def call(u: str) -> tuple[str, str]:  # asked once for each URL
+        if u.startswith("https:"):
+            raise OSError("unreachable")
+        return u + "#end", "final.example.com"
+
+    return network.resolve(p, call).select("page_id", "apply_url", "resolved_domain")
 
 
 def flagship(spark, d):
@@ -258,7 +319,7 @@ def flagship(spark, d):
 QUERIES = {f.__name__: f for f in (
     flagship, list_filter_page, list_total, sort_oldest_first, lookup_by_id, search_or, tags_contains, url_host, url_path_key, aggregator_flag, apply_type, recheck_resolved, fingerprint, job_id,
     dedup_exact, dedup_sources, dedup_greedy, recency_window, early_stop_prefix, html_title_links, html_text, json_field, salary_parse, seniority_bucket, employment_map, remote_scope,
-    missing_fields, similar_top4, run_stats, display_fields, display_times, digest_lines, digest_post, upsert_snapshot, liveness, resolve_memo,
+    missing_fields, similar_top4, run_stats, display_fields, display_times, digest_lines, digest_post, upsert_snapshot, liveness, resolve_memo, page_records, ingest_run, ingest_stats,
 )}
 
 _HOST = r"nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '')"
@@ -283,10 +344,10 @@ SQL = {
     "recheck_resolved": "SELECT page_id, page_id % 3 <> 0 AND page_id % 5 <> 0 AS is_external FROM pages",
     "fingerprint": f"SELECT p_partkey, sha256({_SLUG.format('p_name')} || '|' || {_SLUG.format('p_brand')} || '|' || CASE WHEN p_partkey % 2 = 0 THEN {_SLUG.format('p_type')} ELSE 'unknown' END) AS fingerprint FROM part",
     "job_id": "SELECT o_orderkey, sha256(o_orderstatus || ':' || o_orderkey) AS id FROM orders",
-    "dedup_exact": "SELECT md5(text) AS key, min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY 1",
+    "dedup_exact": "SELECT md5(text) AS key, min(doc_id) AS first_doc, arg_min(source, doc_id) AS source FROM documents GROUP BY 1",
     "dedup_sources": "SELECT key, string_agg(source, ',' ORDER BY first) AS sources FROM (SELECT md5(text) AS key, source, min(doc_id) AS first FROM documents GROUP BY 1, 2) GROUP BY 1",
     "recency_window": "SELECT event_id AS id, ts AS scraped_at FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR AND event_type <> 'error'",
-    "early_stop_prefix": "SELECT event_id, value FROM (SELECT event_id, value, row_number() OVER (ORDER BY event_id) AS n, max(CASE WHEN value < 0.05 THEN 1 ELSE 0 END) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS stale FROM events WHERE event_id < 5000) WHERE n <= 400 AND stale = 0",
+    "early_stop_prefix": "SELECT event_id, value FROM (SELECT event_id, value, max(CASE WHEN value < 0.05 THEN 1 ELSE 0 END) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS stale FROM events) WHERE stale = 0",
     "html_title_links": "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS links, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)[1] AS first_link FROM pages",
     "html_text": "SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', chr(10), 'g'), '\\s+', ' ', 'g')) AS text_md5 FROM pages",
     "json_field": "SELECT event_id, TRY_CAST(props::JSON->>'$.k' AS BIGINT) AS k FROM events",
@@ -300,7 +361,9 @@ SQL = {
     "remote_scope": "SELECT o_orderkey, o_orderkey % 5 IN (0, 4) AS is_remote, o_orderkey % 5 IN (0, 2, 4) AS in_scope FROM orders",
     "missing_fields": "SELECT d.doc_id, concat_ws(',', CASE WHEN quality IS NULL THEN 'quality' END, CASE WHEN toxic IS NULL THEN 'toxic' END, CASE WHEN lang <> 'en' THEN 'english' END) AS missing FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "similar_top4": "WITH r AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS n FROM part) SELECT p_partkey, position - 1 AS position, similar_id FROM (SELECT a.p_partkey, b.p_partkey AS similar_id, row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.n) AS position FROM r a JOIN r b ON a.p_brand = b.p_brand AND b.n <= 5 AND a.p_partkey <> b.p_partkey) WHERE position <= 4",
-    "run_stats": "SELECT event_type, count(*) AS fetched, count(*) FILTER (value > 50) AS kept, count(*) FILTER (value <= 50) AS dropped FROM events GROUP BY ROLLUP (event_type)",
+    "run_stats": """SELECT event_type AS source, count(*) AS fetched, count(*) FILTER (value > 10) AS normalized, count(*) FILTER (value <= 10) AS dropped_invalid, count(*) FILTER (value > 30) AS external_kept, count(*) FILTER (value > 30 AND value <= 50) AS downgraded_after_resolution,
+      count(*) FILTER (value > 70) AS inserted, count(*) FILTER (value > 50 AND value <= 70) AS merged_duplicates, count(*) FILTER (value > 70 AND event_id % 2 = 0) AS rewritten, CAST(CASE WHEN event_type IS NULL THEN 1 ELSE 0 END AS BIGINT) AS error FROM events GROUP BY ROLLUP (event_type)
+      UNION ALL SELECT 'down', 0, 0, 0, 0, 0, 0, 0, 0, 1""",
     "display_fields": f"""SELECT p_partkey, upper(p_name[1]) || p_name[2:] AS title, upper(p_name[1]) AS initial,
       CASE WHEN p_size % 5 = 0 THEN NULL WHEN a IS NULL AND b IS NULL THEN 'raw' WHEN a IS NOT NULL AND b IS NOT NULL THEN {_LPA.format('a')} || '-' || {_LPA.format('b')} || ' LPA' ELSE {_LPA.format('coalesce(a, b)')} || ' LPA' END AS salary,
       CASE p_size % 6 WHEN 0 THEN 'Fresher' WHEN 1 THEN '1-3 yrs' WHEN 2 THEN '3-6 yrs' WHEN 3 THEN '6+ yrs' WHEN 4 THEN 'Lead' ELSE 'Other' END AS experience,
@@ -308,9 +371,9 @@ SQL = {
       FROM (SELECT *, CASE WHEN p_size % 3 <> 0 THEN p_size * 50000 END AS a, CASE WHEN p_size % 4 <> 0 THEN (p_size + 6) * 50000 END AS b FROM part)""",
     "digest_lines": """SELECT p_partkey, '• ' || CASE WHEN length(t) <= 42 THEN t ELSE CASE WHEN contains(u, ' ') THEN regexp_extract(u, '(?s)^(.*) [^ ]*$', 1) ELSE u END || '…' END || CASE WHEN p_partkey % 3 <> 0 THEN ' — ' || p_brand ELSE '' END AS line
       FROM (SELECT *, trim(repeat(p_name, 3)) AS t, rtrim(left(trim(repeat(p_name, 3)), 41)) AS u FROM part)""",
-    "upsert_snapshot": "SELECT o_orderkey, o_totalprice + CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0",
+    "upsert_snapshot": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'b' ELSE '' END || o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'b' ELSE 'a' END AS source, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0 THEN 'b' ELSE '' END AS others, CASE WHEN o_orderkey % 2 = 0 THEN TIMESTAMP '2024-01-02' ELSE TIMESTAMP '2024-01-01' END AS scraped_at, o_orderkey % 7 <> 0 AS is_active FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0",
     "liveness": "SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 4 <> 0 AND (o_orderkey % 10 IN (0, 1) OR o_orderkey % 100 % 25 = 24)",
-    "resolve_memo": f"SELECT page_id, regexp_replace(url, '[?#].*$', '') AS apply_url, {_HOST} AS resolved_domain FROM pages",
+    "resolve_memo": "SELECT page_id, CASE WHEN u <> '' AND NOT starts_with(u, 'https:') THEN u || '#end' END AS apply_url, CASE WHEN u <> '' AND NOT starts_with(u, 'https:') THEN 'final.example.com' END AS resolved_domain FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u FROM pages)",
 }
 _AGO = "CAST({0} AS VARCHAR) || ' {1}' || CASE WHEN {0} = 1 THEN '' ELSE 's' END || ' ago'"
 SQL["display_times"] = (
@@ -318,3 +381,20 @@ SQL["display_times"] = (
     + _AGO.format("(s // 60)", "minute") + " WHEN s < 86400 THEN " + _AGO.format("(s // 3600)", "hour") + " WHEN s < 2592000 THEN " + _AGO.format("(s // 86400)", "day") + " ELSE " + _AGO.format("(s // 2592000)", "month")
     + " END AS ago FROM (SELECT *, CAST(floor(epoch(TIMESTAMP '2000-01-01') - epoch(o_orderdate)) AS BIGINT) AS s FROM orders)"
 )
+
+_PARTS = """SELECT p_partkey AS k, 'Engineer ' || p_partkey // 2 AS title, 'part-' || p_partkey AS external_id, p_type, p_partkey % 20 AS n, p_partkey % 12 AS y,
+  CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 6 = 0 THEN 'https://www.jobfound.org/x/' || p_partkey ELSE 'https://careers.example.com/' || p_partkey || '/?a=b' END AS u
+  FROM part WHERE p_partkey % 9 <> 0 AND p_partkey % 13 <> 0 AND p_partkey % 17 <> 0"""
+_YEARS = "CASE WHEN k % 5 = 0 THEN NULL WHEN y = 0 THEN 'fresher' WHEN y <= 2 THEN 'junior' WHEN y <= 5 THEN 'mid' WHEN y <= 8 THEN 'senior' ELSE 'lead' END"
+SQL["page_records"] = f"""SELECT external_id, sha256('jobfound:' || external_id) AS id, sha256('engineer-' || k // 2 || '|say-a-b|pune') AS fingerprint, title, 'Say "A\\B"' AS company, 'Pune' AS location, k % 3 = 0 AS is_remote,
+  CASE WHEN k % 2 = 0 THEN 'full-time' END AS employment_type, {_YEARS} AS seniority, CAST(CASE WHEN k % 4 <> 0 THEN n * 100000 END AS INTEGER) AS salary_min, CAST(CASE WHEN k % 4 <> 0 THEN (n + 5) * 100000 END AS INTEGER) AS salary_max,
+  CASE WHEN k % 4 <> 0 THEN 'annual' END AS salary_period, CASE WHEN k % 4 <> 0 THEN n || '-' || n + 5 || ' LPA' END AS salary_raw, k % 4 <> 0 AS has_salary, CASE WHEN u = '' THEN 'UNKNOWN' WHEN k % 6 = 0 THEN 'DIRECT' ELSE 'EXTERNAL' END AS apply_type, u AS raw_apply_url,
+  TIMESTAMP '2024-01-01 12:00:00' AS posted_at, u <> '' AS is_valid, replace(p_type, ' ', '|') || '|Engineering' AS tags,
+  concat_ws(',', CASE WHEN k % 3 = 2 THEN 'is_remote' END, CASE WHEN k % 2 = 1 THEN 'employment_type' END, CASE WHEN k % 5 = 0 THEN 'seniority' END, CASE WHEN k % 4 = 0 THEN 'salary_min,salary_max,salary_period,salary_raw' END, 'description_original', CASE WHEN u = '' THEN 'raw_apply_url' END) AS missing
+  FROM ({_PARTS})"""
+# Of two parts with the same title the one of the lesser id, a digest, arrives first.
+_FIRST = f"SELECT *, row_number() OVER (PARTITION BY title ORDER BY sha256('jobfound:' || external_id)) AS place FROM ({_PARTS}) WHERE u <> '' AND k % 6 <> 0"
+SQL["ingest_run"] = f"SELECT 'jobfound' AS source, title, u AS apply_url, {_YEARS} AS seniority, true AS is_active, false AS is_rewritten, TIMESTAMP '2024-01-02' AS scraped_at FROM ({_FIRST}) WHERE place = 1"
+_COUNTS = f"""SELECT (SELECT count(*) FROM ({_PARTS})) AS fetched, (SELECT count(*) FROM ({_PARTS}) WHERE u <> '') AS normalized, (SELECT count(*) FROM ({_PARTS}) WHERE u = '') AS dropped_invalid, count(*) AS external_kept,
+  CAST(0 AS BIGINT) AS downgraded_after_resolution, count(*) FILTER (place = 1) AS inserted, count(*) FILTER (place > 1) AS merged_duplicates, CAST(0 AS BIGINT) AS rewritten, CAST(0 AS BIGINT) AS error FROM ({_FIRST})"""
+SQL["ingest_stats"] = f"SELECT s.source, c.* FROM (VALUES ('jobfound'), (NULL)) s(source), ({_COUNTS}) c"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import logging
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -12,17 +13,25 @@ from postmill.config import Settings
 from postmill.operators import dedup, network, records
 from postmill.operators.store import Store
 from postmill.runtime import written
-from postmill.schema import JOBS
+from postmill.schema import JOBS, RECORD
 from postmill.sources.base import Source, all_sources, run
 
+log = logging.getLogger(__name__)
 
-def canonical(pages: DataFrame, sources: list[Source], as_of: dt.datetime, settings: Settings) -> DataFrame:
-    """Canonical records of all sources, finalised. pages may name a source; else each page is offered to every one."""
-    out = []
+
+def canonical(pages: DataFrame, sources: list[Source], as_of: dt.datetime, settings: Settings) -> tuple[DataFrame, dict[str, str]]:
+    """Canonical records of all sources, finalised, and what went wrong with those that failed: each source is a job of its own.
+    pages may name a source; else each page is offered to every one."""
+    out, failed = [pages.sparkSession.createDataFrame([], RECORD).withColumn("is_valid", F.lit(True))], {}
     for s in sources:
         own = pages.where(F.col("source") == s.source_name) if "source" in pages.columns else pages
-        out.append(records.finalize(run(s, own.select("url", "html"), as_of, settings.max_job_age_hours), as_of))
-    return reduce(DataFrame.unionByName, out)
+        try:
+            rows = records.finalize(run(s, own.select("url", "html"), as_of, settings.max_job_age_hours), as_of)
+            out.append(written(rows, f"records-{s.source_name}"))
+        except Exception as e:  # whatever a source does, the others' rows are stored
+            log.exception("source %s failed", s.source_name)
+            failed[s.source_name] = f"{type(e).__name__}: {e}"
+    return reduce(DataFrame.unionByName, out), failed
 
 
 def ingest(pages: DataFrame, store: Store, as_of: dt.datetime, settings: Settings | None = None, names: list[str] | None = None, resolve: network.Resolve | None = None, rewrite: network.Rewrite | None = None, name: str | None = None) -> DataFrame:
@@ -31,7 +40,7 @@ def ingest(pages: DataFrame, store: Store, as_of: dt.datetime, settings: Setting
     sources = [s for s in all_sources() if names is None or s.source_name in names]
     if not sources:
         raise ValueError(f"no such sources: {names}")
-    rows = written(canonical(pages, sources, as_of, settings), "records")
+    rows, failed = canonical(pages, sources, as_of, settings)
     kept = network.resolve(records.external(rows.where("is_valid")), resolve)
     kept = written(dedup.with_url_key(records.recheck(kept)), "resolved")
     stored = dedup.with_url_key(store.read())
@@ -51,7 +60,7 @@ def ingest(pages: DataFrame, store: Store, as_of: dt.datetime, settings: Setting
     lost = rows.where(~(F.col("is_valid") & is_external)).select("source", "is_valid", F.lit(False).alias("was_external"), "is_external", none, "rewritten_description")
     down = kept.where("not is_external").select("source", "is_valid", F.lit(True).alias("was_external"), "is_external", none, "rewritten_description")
     done = assigned.select("source", "is_valid", F.lit(True).alias("was_external"), "is_external", outcome.alias("outcome"), "rewritten_description")
-    return records.run_stats(lost.select(*flags).union(down.select(*flags)).union(done.select(*flags)))
+    return records.with_errors(records.run_stats(lost.select(*flags).union(down.select(*flags)).union(done.select(*flags))), list(failed))
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
