@@ -187,7 +187,7 @@ def _joined(found: list[pa.Array]) -> pa.Array:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str = "found", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with a struct column of FOUND: number of words, merged spans of hit words, item ids.
+    """docs with a struct column of FOUND, in place of any that docs has of that name: number of words, merged spans of hit words, item ids.
     Further blocks of a large benchmark are passes over the corpus, each with its own broadcast."""
     spark = tune(docs.sparkSession)
     names = []
@@ -198,7 +198,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str
         if k:
             docs = docs.withColumn(names[0], arrow(lambda a, b: _joined([a, b]), FOUND)(F.col(names[0]), F.col(names[k]))).drop(names[k])
             docs = saved(docs, "hits")
-    return docs.withColumnRenamed(names[0], out)
+    return docs.drop(out).withColumnRenamed(names[0], out)
 
 
 def n_hit(found: str):

@@ -55,7 +55,7 @@ def histogram(docs: DataFrame, text_col: str = "text", path: str = TOKENIZER, pa
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
-    """For every length: documents and tokens of at least that length, and the tokens left of all
+    """hist is read twice, so give a saved one. For every length: documents and tokens of at least that length, and the tokens left of all
     documents when each is cut at that length."""
     h = hist.withColumn("range", F.floor(F.col("length") / RANGE)).withColumn("tokens", F.col("length") * F.col("n_docs"))
     ranges = h.groupBy("range").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
@@ -71,13 +71,12 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
 
 def at_limits(hist: DataFrame, limits: list[int]) -> DataFrame:
-    """For any context limits: documents beyond each, tokens left when cut there, and tokens lost."""
-    n, s = F.col("n_docs"), F.col("length")
-    aggs = []
-    for x in limits:
-        aggs += [F.sum(F.when(s > x, n).otherwise(0)).alias(f"b{x}"), F.sum(F.least(s, F.lit(x)) * n).alias(f"k{x}"), F.sum(F.greatest(s - x, F.lit(0)) * n).alias(f"l{x}")]
-    one = hist.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(x).cast("bigint").alias("limit"), *[F.coalesce(F.col(f"{c}{x}"), F.lit(0)).alias(name) for c, name in (("b", "docs_beyond"), ("k", "tokens_kept"), ("l", "tokens_lost"))]) for x in limits])
+    """For any context limits: documents beyond each, tokens left when cut there, and tokens lost. The suffix sums of the
+    least length beyond a limit, which are the greatest ones beyond it, answer all three."""
+    beyond = lambda x, c: F.coalesce(F.max(F.when(F.col("length") > x, F.col(c))), F.lit(0))
+    one = suffix_sums(hist).agg(F.coalesce(F.max("tokens_from"), F.lit(0)).alias("all"), *[beyond(x, c).alias(f"{c}{x}") for x in limits for c in ("docs_from", "tokens_from")])
+    docs, tokens = (lambda x: F.col(f"docs_from{x}")), (lambda x: F.col(f"tokens_from{x}"))
+    rows = F.array(*[F.struct(F.lit(x).cast("bigint").alias("limit"), docs(x).alias("docs_beyond"), (F.col("all") - tokens(x) + docs(x) * x).alias("tokens_kept"), (tokens(x) - docs(x) * x).alias("tokens_lost")) for x in limits])
     return one.select(F.inline(rows))
 
 

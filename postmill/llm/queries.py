@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from postmill.llm import decontaminate, jaccard, langid, lengths, mixing, ngram_lm, quality, sql, toxicity, urlfilter, warc
 from postmill.llm.langid import held_out
-from postmill.llm.session import documents
+from postmill.llm.session import documents, saved
 
 
 def _with_held_out(rows: DataFrame, parts: int, part: int) -> DataFrame:
@@ -51,7 +51,7 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lengths.suffix_sums(lengths.histogram(documents(spark, sf_dir)))
+    return lengths.suffix_sums(saved(lengths.histogram(documents(spark, sf_dir)), "histogram"))
 
 
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -357,3 +357,25 @@ def test_pipeline(spark, tmp_path):
     assert 0 < counts[4] < counts[0]
     got = Counter(tuple(r) for r in corpus_pipeline.run(spark, sf).collect())
     assert got == Counter(tuple(r) for r in docs.collect())
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_odd_rows(spark, docs_of, k):
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[k]
+    base = "/root/testdata/sf0.001"
+    text = spark.read.parquet(f"{base}/documents.parquet").orderBy("doc_id").first().text
+    rows = [(1, None), (2, ""), (3, " \n"), (None, text), (None, None), (5, text), (5, text), (6, "x " * 60_000), (7, "lone")]
+    clash = ("found", "score", "kept", "key", "label", "n", "component_id", "epoch", "block", "s", "y")
+    got = stage(spark, docs_of(rows, clash), base)
+    own = Counter(r for r in rows)
+    if k < 4:
+        assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", *clash]
+        left = Counter((r.doc_id, r.text) for r in got.collect())
+        assert all(n <= own[r] for r, n in left.items())
+        if name == "ngram_jaccard":
+            assert left == Counter({(1, None): 1, (2, ""): 1, (3, " \n"): 1, (None, None): 1, (5, text): 1, (6, "x " * 60_000): 1, (7, "lone"): 1})
+    else:
+        assert {r.doc_id for r in got.collect()} <= {None, 5, 6, 7}
+    assert stage(spark, docs_of([], clash), base).count() == 0
