@@ -2,6 +2,12 @@
 
 Every stage reads what its predecessor kept. All but the last return the columns of documents; the
 last returns the mixture, a row for each use of a document.
+
+Defined results: a document whose text is null, empty or short goes at the quality stage; the other stages keep such texts,
+but that they are in no mixture. A stage that meets repeated rows, null ids or ids that several texts share judges each row by
+its own text; of equal or near texts the copy stage leaves one row, that of the least id, with ids before those without.
+Ties are settled by id, then by the text's key. An empty table stays one, and so does a stage without labels or benchmarks
+leave all that its own rules do. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
