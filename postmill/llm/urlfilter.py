@@ -1,17 +1,18 @@
 """URL filter by a blocked Bloom filter and an exact hash join (operator 1).
 
-Rules list a host and a beginning of a path; a rule fits its host and all subdomains. A URL's
-candidates are its host suffixes and path beginnings of the lengths that rules have. Those that
-a blocked Bloom filter (one block of 512 bits for each key) passes as possible hits go to an
-exact hash join with the rules, which removes false positives; the longest rule wins. URLs that
-no rule fits get the filter's own verdict: not listed, hence allowed.
-
-The filter is a table (block, eight words). It is broadcast where its size allows; beyond
-MAX_BROADCAST_MB it is joined by block. Distinct hosts and paths are looked up once.
-
-Defined results: a URL that is null or lacks ``://`` has an empty host and path, fits no rule and
-is allowed; of equal rules with different verdicts the one that blocks wins; null rules are left out; an empty rule table allows
-everything; repeated rows are judged each on their own and alike.
+Two lists: rules, a host and a beginning of a path, fit their host and all subdomains; and, where the caller has them, exact
+URLs, compared in canonical form. Candidates of a URL are its host's suffixes and, of hosts that rules name, the path
+beginnings of the lengths that rules of that host have; and the URL's own canonical form. Each kind of candidate
+passes a blocked Bloom filter (one block of 512 bits for each key), and possible hits go to an exact
+hash join with the list, which removes false positives. A listed URL wins over rules, and of rules the longest. URLs that
+nothing fits get the filter's own verdict: not listed, hence allowed.
+
+A filter is a table (block, eight words). It is broadcast where its size allows, as is the list of hosts; beyond
+MAX_BROADCAST_MB they are joined by shuffle. Distinct hosts and paths are looked up once.
+
+Defined results: a URL that is null or lacks ``://`` has an empty host and path, no canonical form, fits no rule but
+one of an empty host and path, and else is allowed; of equal rules or URLs with different verdicts the one that blocks wins;
+null ones are left out; an empty rule table allows everything; repeated rows are judged each on their own and alike.
 """
 
 from __future__ import annotations
@@ -66,29 +67,92 @@ def possible(rows: DataFrame, key: str, table: DataFrame, blocks: int) -> DataFr
     return both.where(test).select(*rows.columns)
 
 
-def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """One row a page: page_id, host, path, rule, verdict. rules: host, path, verdict (allow or block)."""
+def _percent(c: Column) -> Column:
+    """Escapes of unreserved characters decoded, the others in upper case; a bare percent sign stays."""
+
+    def one(x: Column) -> Column:
+        code, rest = F.conv(F.left(x, F.lit(2)), 16, 10).cast("int"), F.substr(x, F.lit(3))
+        said = F.char(code)
+        return F.when(~x.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.lit("%"), x)).when(said.rlike("[A-Za-z0-9._~-]"), F.concat(said, rest)).otherwise(F.concat(F.lit("%"), F.upper(F.left(x, F.lit(2))), rest))
+
+    parts = F.split(c, "%")
+    return F.when(F.contains(c, F.lit("%")), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))).otherwise(c)
+
+
+def _undotted(path: Column) -> Column:
+    """The path without its segments ``.`` and ``..``."""
+    steps = F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/")))
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda a, s: F.when(s == ".", a).when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(s))))
+    last = F.element_at(steps, -1).isin(".", "..")
+    whole = F.concat(F.lit("/"), F.array_join(F.when(last, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), whole).otherwise(path)
+
+
+def canonical(url: Column) -> Column:
+    """Scheme and host in lower case, no user, default port, last dot of the host, fragment or empty query; escapes and dot
+    segments resolved, ``/`` for an empty path. Null without ``://``."""
+    scheme = lower_ascii(F.regexp_extract(url, r"(?s)^(.*?)://", 1))
+    host = F.regexp_replace(F.regexp_replace(host_of(url), "(?s)^.*@", ""), ":$", "")
+    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
+    host = F.regexp_replace(host, r"\.(?=:\d+$|$)", "")
+    path = _undotted(_percent(path_of(url)))
+    query = _percent(F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]+)", 1))
+    return F.when(F.contains(url, F.lit("://")), F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), query))
+
+
+def _ends(host: Column, longest: int) -> Column:
+    """The host and its suffixes at dots, of at most ``longest`` characters."""
+    labels = F.split(F.right(host, F.lit(longest + 1)), r"\.")
+    first = F.when(F.length(host) > longest, 2).otherwise(1)  # what is cut off ends within a label, or at its dot
+    ends = F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return F.when(first <= F.size(labels), ends).otherwise(F.array().cast("array<string>"))
+
+
+def _small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    return F.broadcast(df) if rows * row_bytes <= MAX_BROADCAST_MB << 20 else df
+
+
+def _by_rules(own: DataFrame, listed: DataFrame, n: int) -> DataFrame:
+    """(host, path, best) of the distinct hosts and paths that rules fit."""
+    hosts = listed.groupBy("rule_host").agg(F.sort_array(F.collect_set(F.length("rule_path"))).alias("lengths"))  # a path's lengths are few
+    size = hosts.agg(F.count("*").alias("n"), F.max(F.length("rule_host")).alias("longest"), F.sum(F.size("lengths")).alias("cells"), F.sum(F.octet_length("rule_host")).alias("bytes")).first()
+    seen = own.select("host", "path").distinct()
+    ends = seen.withColumn("rule_host", F.explode(_ends(F.col("host"), size.longest)))
+    ends = possible(ends, "rule_host", *bloom(hosts, "rule_host", size.n))
+    ends = ends.join(_small(hosts, 1, size.n * 64 + size.cells * 8 + size.bytes), "rule_host")
+    tries = F.transform(F.filter("lengths", lambda p: p <= F.length("path")), lambda p: F.concat("rule_host", F.lit("\n"), F.left("path", p)))
+    tried = ends.select("host", "path", F.explode(tries).alias("key"))
+    hits = possible(tried, "key", *bloom(listed, "key", n)).join(listed, "key")
+    rule = F.concat("rule_host", "rule_path")
+    # At equal lengths, which cannot be of one URL unless hosts and paths differ, the longer host wins.
+    return hits.groupBy("host", "path").agg(F.max(F.struct(F.length(rule).alias("n"), F.length("rule_host").alias("h"), rule.alias("rule"), "verdict")).alias("best"))
+
+
+def _by_urls(own: DataFrame, urls: DataFrame) -> DataFrame:
+    """own, which has its url's canonical form as key, with ``exact``: the verdict of the listed URL that equals it, else null."""
+    listed = urls.where("verdict is not null").select(canonical(F.col("url").cast("string")).alias("key"), "verdict").where("key is not null").groupBy("key").agg(F.max("verdict").alias("exact"))
+    size = listed.agg(F.count("*").alias("n"), F.sum(F.octet_length("key")).alias("bytes")).first()
+    if not size.n:
+        return own.withColumn("exact", F.lit(None).cast("string"))
+    found = possible(own.where("key is not null").select("key").distinct(), "key", *bloom(listed, "key", size.n)).join(listed, "key")
+    # Rows without a canonical form never meet in one task.
+    none = own.where("key is null").withColumn("exact", F.lit(None).cast("string"))
+    return own.where("key is not null").join(_small(found, 1, size.n * 64 + size.bytes), "key", "left").select(*none.columns).unionByName(none)
+
+
+def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", urls: DataFrame | None = None) -> DataFrame:
+    """One row a page: page_id, host, path, rule, verdict. rules: host, path, verdict (allow or block). urls: url, verdict; a page
+    whose URL equals one of them has its canonical form as rule."""
     listed = rules.where("host is not null and path is not null and verdict is not null")
     listed = listed.select(lower_ascii(F.col("host")).alias("rule_host"), F.col("path").alias("rule_path"), "verdict")
     listed = listed.groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict"))  # block is the greater
     listed = listed.withColumn("key", F.concat("rule_host", F.lit("\n"), "rule_path"))
     n = listed.count()
-    # Pairs of lengths that rules have, for the candidates: a few, as hosts and paths are short.
-    shapes = [(r.h, r.p) for r in listed.groupBy(F.length("rule_host").alias("h"), F.length("rule_path").alias("p")).count().orderBy("h", "p").collect()]
-    own = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col).cast("string")).alias("host"), path_of(F.col(url_col).cast("string")).alias("path"))
+    url = F.col(url_col).cast("string")
+    own = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), *([] if urls is None else [canonical(url).alias("key")]))
+    out = own if urls is None else _by_urls(own, urls)
+    exact, key = (F.lit(None).cast("string"),) * 2 if urls is None else (F.col("exact"), F.when(F.col("exact").isNotNull(), F.col("key")))
     if not n:
-        return own.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit("allow"))
-    table, blocks = bloom(listed, "key", n)
-    host, path = F.col("host"), F.col("path")
-    tries = []
-    for h, p in shapes:
-        edge = (F.length(host) == h) | (F.substr(host, F.length(host) - h, F.lit(1)) == ".")
-        tries.append(F.when((F.length(host) >= h) & (F.length(path) >= p) & edge, F.concat(F.right(host, F.lit(h)) if h else F.lit(""), F.lit("\n"), F.left(path, F.lit(p)))))
-    seen = own.select("host", "path").distinct()
-    tried = seen.withColumn("key", F.explode(F.filter(F.array(*tries), lambda k: k.isNotNull())))
-    hits = possible(tried, "key", table, blocks).join(listed, "key")
-    rule = F.concat("rule_host", "rule_path")
-    # At equal lengths, which cannot be of one URL unless hosts and paths differ, the longer host wins.
-    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length(rule).alias("n"), F.length("rule_host").alias("h"), rule.alias("rule"), "verdict")).alias("best"))
-    out = own.join(best, ["host", "path"], "left")
-    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
+        return out.select("page_id", "host", "path", key.alias("rule"), F.coalesce(exact, F.lit("allow")).alias("verdict"))
+    out = out.join(_by_rules(own, listed, n), ["host", "path"], "left")
+    return out.select("page_id", "host", "path", F.coalesce(key, "best.rule").alias("rule"), F.coalesce(exact, "best.verdict", F.lit("allow")).alias("verdict"))

@@ -47,6 +47,37 @@ def test_url_filter(spark):
     assert urlfilter.judge(pages.limit(0), df).count() == 0
 
 
+def test_canonical_urls(spark):
+    same = {
+        "http://example.com/": ["HTTP://Example.COM", "http://user:pw@example.com:80/", "http://example.com.", "http://example.com:/#top", "http://example.com?", "http://example.com/a/.."],
+        "https://example.com/a/b?q=%2F~": ["https://example.com:443/a/./x/../b?q=%2f%7e", "https://example.com/%61/b?q=%2F~#f", "https://example.com/../a/b?q=%2F~"],
+        "http://example.com:443/A%20%zz/": ["http://example.com:443/A%20%zz/", "http://EXAMPLE.com:443/A%20%zz/b/%2e%2E"],
+        "ftp://h/a/.b/..c": ["FTP://h/a/.b/..c"],
+    }
+    cases = [(u, want) for want, us in same.items() for u in [want, *us]] + [(None, None), ("", None), ("no scheme", None)]
+    got = spark.createDataFrame(cases, "url string, want string").select("url", "want", urlfilter.canonical(F.col("url")).alias("got")).collect()
+    assert [(r.url, r.got) for r in got] == [(r.url, r.want) for r in got]
+
+
+def test_listed_urls_win_over_rules(spark):
+    pages = spark.createDataFrame([(0, "http://a.com/x/../y"), (1, "http://a.com/y/more"), (2, "https://b.com:443"), (3, None), (None, "http://a.com/y"), (5, "HTTP://A.com/y#z"), (6, "plain")], "page_id bigint, url string").withColumn("key", F.lit("clash"))
+    rules = spark.createDataFrame([("com", "/", "block")], "host string, path string, verdict string")
+    urls = spark.createDataFrame([("http://a.com/y", "allow"), ("https://B.com/", "allow"), ("https://b.com", "block"), ("no", "block"), (None, "block"), ("http://a.com/y", None)], "url string, verdict string")
+    got = sorted((str(r.page_id), r.rule, r.verdict) for r in urlfilter.judge(pages, rules, urls=urls).collect())
+    y, b = ("http://a.com/y", "allow"), ("https://b.com/", "block")
+    assert got == [("0", *y), ("1", "com/", "block"), ("2", *b), ("3", None, "allow"), ("5", *y), ("6", None, "allow"), ("None", *y)]
+    assert {r.rule for r in urlfilter.judge(pages, rules, urls=urls.limit(0)).collect()} == {"com/", None}
+    assert {r.verdict for r in urlfilter.judge(pages, rules.limit(0), urls=urls).collect()} == {"allow", "block"}
+
+
+def test_rules_of_many_lengths(spark):
+    rules = [(f"{'h' * (i % 40 + 1)}{i}.com", "/" + "p" * (i * 7 % 300), "block" if i % 2 else "allow") for i in range(4_000)]
+    urls = [f"http://www.{h}{p}/more" for h, p, _ in rules[::50]] + [f"http://x{h}{p}" for h, p, _ in rules[::90]]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    assert got == {i: judged(u, rules)[2:] for i, u in enumerate(urls)}
+
+
 def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
     keys = spark.range(2000).select(F.concat(F.lit("k"), "id").alias("key"))
     table, blocks = urlfilter.bloom(keys, "key", 2000)
