@@ -11,6 +11,8 @@ class Settings:
     max_job_age_hours: int = 24
     flat_max_pages: int = 500
     graph_max_pages: int = 400
+    flat_crawl_delay_seconds: float = 1.0
+    graph_crawl_delay_seconds: float = 1.5
     resolver_max_hops: int = 3
     resolver_timeout_seconds: float = 5.0
     rewriter_enabled: bool = False
@@ -27,6 +29,12 @@ class Settings:
     health_check_cron: str = ""
     store_path: str = ""
 
+    def max_pages(self, source: str, default: int) -> int:
+        return {"jobfound": self.flat_max_pages, "talentd": self.graph_max_pages}.get(source, default)
+
+    def crawl_delay(self, source: str, default: float) -> float:
+        return {"jobfound": self.flat_crawl_delay_seconds, "talentd": self.graph_crawl_delay_seconds}.get(source, default)
+
     @staticmethod
     def from_env(env: dict[str, str] | None = None) -> Settings:
         """Variables are the upper-case field names; blank ones are unset."""

@@ -15,11 +15,11 @@ from postmill.functions import classify, digest, display, text, url
 from postmill.functions.salary import parse_salary
 from postmill.operators import dedup, network, records
 from postmill.operators.store import Store
-from postmill.plans import ingest, social
+from postmill.plans import crawl, ingest, social
 from postmill.plans import jobs as J
 from postmill.runtime import shared_dir
 from postmill.schema import conform
-from postmill.sources import base
+from postmill.sources import base, html
 
 c = F.col
 
@@ -53,8 +53,94 @@ def sort_oldest_first(spark, d):
     return J.ordered(rows, "posted_at", "asc").limit(50).select("id", "posted_at")
 
 
+def _postings(spark, d) -> DataFrame:
+    """part as stored jobs, with values in every column that a filter or a page looks at."""
+    k = c("p_partkey")
+    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (k % len(xs) + 1).cast("int"))
+    return conform(_read(spark, d, "part").select(
+        k.cast("string").alias("id"), pick("a", "b", "c").alias("source"), k.cast("string").alias("external_id"), c("p_name").alias("title"), c("p_brand").alias("company"), F.when(k % 4 != 0, c("p_type")).otherwise("").alias("location"),
+        (k % 2 == 0).alias("is_remote"), pick("full-time", "contract").alias("employment_type"), pick("junior", "mid", "senior").alias("seniority"), F.when(k % 5 != 0, c("p_size") * 1000).alias("salary_min"), (c("p_size") * 2000).alias("salary_max"),
+        F.when(k % 2 == 0, "annual").alias("salary_period"), (k % 5 != 0).alias("has_salary"), F.split("p_name", " ").alias("tags"), F.concat(F.lit("Told: <b>"), "p_name").alias("description_original"), F.when(k % 6 == 0, F.lit("")).when(k % 6 == 1, F.concat(F.lit("New: "), "p_type")).alias("rewritten_description"),
+        F.concat(F.lit("https://raw.example.com/"), k).alias("raw_apply_url"), F.when(k % 3 != 0, F.concat(F.lit("https://end.example.com/"), k)).alias("apply_url"), F.timestamp_seconds(F.lit(1_704_067_200) + k).alias("scraped_at"), F.when(k % 10 != 0, F.timestamp_seconds(F.lit(1_704_000_000) + k % 97)).alias("posted_at"), (k % 8 != 0).alias("is_active"),
+    ))
+
+
 def lookup_by_id(spark, d):
-    return _customers(spark, d).where(c("id") == 7).select("id", "title").limit(1)
+    """The detail of one job through the store's own lookup."""
+    got = J.get(_postings(spark, d), "7")
+    return spark.createDataFrame([(got.id, got.title, got.description, got.apply_url)] if got else [], "id string, title string, description string, apply_url string")
+
+
+def job_filters(spark, d):
+    """A page by every kind of filter at once, from request parameters."""
+    query = J.JobQuery.from_params({"is_remote": "true", "has_salary": ["true", "x"], "tag": "red", "seniority": "", "min_salary": "5000", "q": "E", "limit": "100", "sort": "scraped_at", "order": "asc"})
+    return J.page(_postings(spark, d), query).select("id", "title", "company", "salary_min", "description", "is_rewritten", "apply_url")
+
+
+def page_texts(spark, d):
+    """What a job's page shows beside its fields."""
+    rows = J.public(_postings(spark, d))
+    ld = display.json_ld()
+    get = lambda path: F.get_json_object(ld, path)
+    return rows.select("id", display.page_title(c("title"), c("company"), c("is_remote"), c("location")).alias("page_title"), display.excerpt(c("description"), 12).alias("excerpt"), F.array_join(display.paragraphs(F.replace("title", F.lit(" "), F.lit(" \n\n"))), "|").alias("paragraphs"),
+                       get("$.employmentType").alias("ld_type"), get("$.jobLocationType").alias("ld_remote"), get("$.jobLocation.address.addressLocality").alias("ld_place"), get("$.baseSalary.value.maxValue").alias("ld_max"), get("$.baseSalary.value.unitText").alias("ld_unit"), F.contains(ld, F.lit("<")).alias("ld_open"))
+
+
+def similar_jobs(spark, d):
+    """Those of one job, by its first tag."""
+    return J.similar(_postings(spark, d), "7").select("id")
+
+
+def rewrite_new(spark, d):
+    def call(t: str) -> tuple[int, str | None]:  # one kind of text is refused, one can't be had, one comes back blank
+        kind = int(t.rsplit(" ", 1)[1]) % 4
+        return ((200, f" {t.upper()} "), (400, None), (503, None), (200, "  "))[kind]
+
+    rows = _read(spark, d, "part").select(c("p_partkey").cast("string").alias("id"), F.concat("p_brand", F.lit(" "), c("p_partkey").cast("string")).alias("description_original"))
+    return network.rewrite(rows, call, retries=0).select("id", "rewritten_description")
+
+
+def dedup_stored(spark, d):
+    """parts that arrive at a store that holds every third of them: by fingerprint, by URL key, or by neither."""
+    k = c("p_partkey")
+    of = lambda id_, fp, key: [id_.alias("id"), fp.alias("fingerprint"), key.alias("url_key"), F.lit(dt.datetime(2024, 1, 1)).alias("scraped_at")]
+    named = lambda letter: F.concat(F.lit(letter), k.cast("string"))
+    rows = _read(spark, d, "part")
+    stored = rows.where(k % 3 == 0).select(*of(named("old"), named("f"), named("u")))
+    new = rows.select(k.alias("seq"), *of(named("new"), F.when(k % 2 == 0, named("f")).otherwise(named("g")), F.when(k % 5 != 0, named("u"))))
+    return dedup.assign(new, stored).select(c("seq").alias("p_partkey"), "target", "new_seq")
+
+
+def crawl_flat(spark, d):
+    """The walk over a sitemap of all parts, newest first, until the page of the part that is too old; some pages fail."""
+    n = _read(spark, d, "part").count()
+    xml = "".join(f"<url><loc>https://jobfound.org/job/{k}</loc></url>" for k in range(1, n + 1))
+
+    def fetch(u: str) -> tuple[int, str | None]:
+        if u.endswith(".xml"):
+            return 200, xml
+        k = int(u.rsplit("/", 1)[1])
+        if k % 7 == 0:
+            raise OSError("unreachable")
+        when = "2023-12-01" if k == 100 else "" if k % 5 == 0 else "2024-01-01T12:00:00Z"
+        return (404 if k % 11 == 0 else 200), f'<script>self.__next_f.push([1,"{{\\"initialJob\\":{{\\"postedAt\\":\\"{when}\\"}},\\"similarJobs\\":[]}}"])</script>'
+
+    return crawl.walk(spark, base.get_source("jobfound"), fetch, _AS_OF, wait=lambda s: None).select("url")
+
+
+def link_check(spark, d):
+    """Links are checked through the store, and the jobs whose links are gone are inactive afterwards."""
+    store = Store(spark, f"{shared_dir(spark)}/checked-{uuid.uuid4().hex}")
+    store.write(_postings(spark, d))
+
+    def call(u: str) -> int | None:
+        n = int(u.rsplit("/", 1)[1])
+        if n % 9 == 0:
+            raise OSError("unreachable")
+        return 410 if n % 9 == 1 else 503 if n % 9 == 2 else 200
+
+    ingest.check_links(store, call=call)
+    return store.read().select("id", "is_active")
 
 
 def search_or(spark, d):
@@ -150,9 +236,7 @@ def html_title_links(spark, d):
 
 
 def html_text(spark, d):
-    pages = _read(spark, d, "pages")
-    bare = F.regexp_replace(F.regexp_replace("html", r"(?s)<(script|style)[^>]*>.*?</(script|style)>", " "), r"<[^>]+>", "\n")
-    return pages.select("page_id", F.md5(F.regexp_replace(bare, r"\s+", " ")).alias("text_md5"))
+    return _read(spark, d, "pages").select("page_id", F.md5(html.html_to_text(c("html"))).alias("text_md5"))
 
 
 def json_field(spark, d):
@@ -264,8 +348,29 @@ def _pages(spark, d) -> DataFrame:
         F.when(k % 4 != 0, F.concat((k % 20).cast("string"), F.lit("-"), (k % 20 + 5).cast("string"), F.lit(" LPA"))).otherwise("").alias("salary"),
     )
     chunk = F.regexp_replace(F.concat(F.lit('5:["x",{"initialJob":'), F.to_json(job), F.lit(',"similarJobs":[]}]')), r'(["\\])', r"\\$1")
-    html = F.when(k % 17 == 0, "<p>no job</p>").otherwise(F.concat(F.lit('<script>self.__next_f.push([1,"'), chunk, F.lit('"])</script>')))
-    return _read(spark, d, "part").select(F.concat(F.lit("https://jobfound.org/job/"), k.cast("string")).alias("url"), html.alias("html"))
+    page = F.when(k % 17 == 0, "<p>no job</p>").otherwise(F.concat(F.lit('<script>self.__next_f.push([1,"'), chunk, F.lit('"])</script>')))
+    return _read(spark, d, "part").select(F.concat(F.lit("https://jobfound.org/job/"), k.cast("string")).alias("url"), page.alias("html"))
+
+
+def _graph_pages(spark, d) -> DataFrame:
+    """part as pages of the graph source: a posting in JSON-LD, with link and description beside it."""
+    k = c("p_partkey")
+    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (k % len(xs) + 1).cast("int"))
+    kind, place = F.lit("JobPosting"), F.struct(F.struct(F.lit(" Pune ").alias("addressLocality"), F.when(k % 4 != 0, "MH").alias("addressRegion"), F.when(k % 7 != 0, " in").otherwise("NP").alias("addressCountry")).alias("address"))
+    pay = F.struct(F.when(k % 3 != 0, "USD").alias("currency"), F.struct((k % 10 + 1).alias("minValue"), F.when(k % 4 != 0, k % 10 + 1 + k % 4).alias("maxValue"), pick("year", "MONTH", "DAY").alias("unitText")).alias("value"))
+    posting = F.struct(kind.alias("@type"), F.concat(pick("Software Engineer ", "Fresher Developer ", "Sales Executive ", "Remote SDE "), k.cast("string")).alias("title"), F.lit("<p>Short</p>").alias("description"), pick("FULL_TIME, INTERN", "freelance", "contractor/x").alias("employmentType"),
+                       F.array(place).alias("jobLocation"), F.struct(F.lit("Acme").alias("name")).alias("hiringOrganization"), F.when(k % 13 != 0, "2024-01-01T20:00:00+05:30").otherwise("2023-12-01").alias("datePosted"), pay.alias("baseSalary"), F.lit("Java, SQL").alias("skills"),
+                       F.when(k % 4 != 1, F.struct((k % 150).alias("monthsOfExperience"))).alias("experienceRequirements"))
+    link = F.when(k % 5 == 0, '<a target="_blank" href="https://www.talentd.in/hub">Hub</a>').when(k % 5 == 1, '<a target="_blank" href="https://x.io/">Go</a>').otherwise('<a target="_blank" href="https://y.io/">Y</a><a href="https://no.io/" target="_blank"><b>Apply</b> now</a>')
+    block = F.when(k % 2 == 0, '<div class="x jobContent_jobContent__a"><p> Full </p><div>in<b>ner</b></div></div><p>after</p>').otherwise("")
+    page = F.concat(F.lit('<html><script type="application/ld+json">{"@graph":[{"@type":"Thing"},'), F.to_json(posting), F.lit("]}</script>"), link, block)
+    return _read(spark, d, "part").select(F.concat(F.lit("https://www.talentd.in/jobs/p-"), k.cast("string"), F.lit("/")).alias("url"), page.alias("html"))
+
+
+def graph_records(spark, d):
+    rows = records.finalize(base.run(base.get_source("talentd"), _graph_pages(spark, d), _AS_OF), _AS_OF)
+    columns = ["external_id", "title", "company", "location", "is_remote", "employment_type", "seniority", "salary_min", "salary_max", "salary_currency", "salary_period", "salary_raw", "has_salary", "description_original", "apply_type", "raw_apply_url", "posted_at", "is_valid"]
+    return rows.select(*columns, F.array_join("tags", "|").alias("tags"))
 
 
 _AS_OF = dt.datetime(2024, 1, 2, tzinfo=dt.UTC)
@@ -319,7 +424,7 @@ def flagship(spark, d):
 QUERIES = {f.__name__: f for f in (
     flagship, list_filter_page, list_total, sort_oldest_first, lookup_by_id, search_or, tags_contains, url_host, url_path_key, aggregator_flag, apply_type, recheck_resolved, fingerprint, job_id,
     dedup_exact, dedup_sources, dedup_greedy, recency_window, early_stop_prefix, html_title_links, html_text, json_field, salary_parse, seniority_bucket, employment_map, remote_scope,
-    missing_fields, similar_top4, run_stats, display_fields, display_times, digest_lines, digest_post, upsert_snapshot, liveness, resolve_memo, page_records, ingest_run, ingest_stats,
+    missing_fields, similar_top4, run_stats, display_fields, display_times, digest_lines, digest_post, upsert_snapshot, liveness, resolve_memo, page_records, ingest_run, ingest_stats, graph_records, job_filters, page_texts, similar_jobs, rewrite_new, dedup_stored, crawl_flat, link_check,
 )}
 
 _HOST = r"nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '')"
@@ -334,7 +439,7 @@ SQL = {
     "list_filter_page": f"SELECT c_custkey AS id, c_name AS title, c_acctbal AS salary_min FROM customer WHERE {_LIST_WHERE} ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 20 OFFSET 10",
     "list_total": f"SELECT count(*) AS total FROM customer WHERE {_LIST_WHERE}",
     "sort_oldest_first": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 50 <> 0 THEN o_orderdate END AS posted_at FROM orders ORDER BY posted_at ASC NULLS FIRST, id LIMIT 50",
-    "lookup_by_id": "SELECT c_custkey AS id, c_name AS title FROM customer WHERE c_custkey = 7",
+    "lookup_by_id": "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, 'New: ' || p_type AS description, 'https://end.example.com/7' AS apply_url FROM part WHERE p_partkey = 7",
     "search_or": "SELECT p_partkey, p_name, p_type FROM part WHERE p_name ILIKE '%re%' OR p_type ILIKE '%brass%'",
     "tags_contains": "SELECT p_partkey, array_to_string(string_split(p_name, ' '), '|') AS tags, string_split(p_name, ' ')[1] AS first FROM part WHERE list_contains(string_split(p_name, ' '), 'red') OR list_contains(string_split(p_name, ' '), 'blue') OR p_partkey % 10 = 0",
     "url_host": f"SELECT page_id, {_HOST} AS host FROM pages",
@@ -349,7 +454,7 @@ SQL = {
     "recency_window": "SELECT event_id AS id, ts AS scraped_at FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR AND event_type <> 'error'",
     "early_stop_prefix": "SELECT event_id, value FROM (SELECT event_id, value, max(CASE WHEN value < 0.05 THEN 1 ELSE 0 END) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS stale FROM events) WHERE stale = 0",
     "html_title_links": "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS links, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)[1] AS first_link FROM pages",
-    "html_text": "SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', chr(10), 'g'), '\\s+', ' ', 'g')) AS text_md5 FROM pages",
+    "html_text": r"""SELECT page_id, md5(nullif(array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '<>', 'g'), '<[^>]*>', chr(1), 'g'), chr(1)), lambda x: regexp_replace(replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&amp;', '&'), '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)), '')) AS text_md5 FROM pages""",
     "json_field": "SELECT event_id, TRY_CAST(props::JSON->>'$.k' AS BIGINT) AS k FROM events",
     "salary_parse": f"""SELECT p_partkey, CASE k WHEN 0 THEN n || '-' || m || ' LPA' WHEN 1 THEN n || ' LPA' WHEN 2 THEN n || 'k-' || m || 'k per month' WHEN 3 THEN n || 'k/month' WHEN 4 THEN n || ' - ' || m || ' per hour' WHEN 5 THEN 'Rs ' || n || '00000 to ' || m || '99999 per annum' WHEN 6 THEN 'Not disclosed' ELSE n || '.5 lakhs per annum' END AS raw,
       CAST(CASE k WHEN 0 THEN n * 100000 WHEN 1 THEN n * 100000 WHEN 2 THEN n * 1000 WHEN 3 THEN n * 1000 WHEN 4 THEN n WHEN 5 THEN n * 100000 WHEN 7 THEN n * 100000 + 50000 END AS INTEGER) AS salary_min,
@@ -398,3 +503,25 @@ SQL["ingest_run"] = f"SELECT 'jobfound' AS source, title, u AS apply_url, {_YEAR
 _COUNTS = f"""SELECT (SELECT count(*) FROM ({_PARTS})) AS fetched, (SELECT count(*) FROM ({_PARTS}) WHERE u <> '') AS normalized, (SELECT count(*) FROM ({_PARTS}) WHERE u = '') AS dropped_invalid, count(*) AS external_kept,
   CAST(0 AS BIGINT) AS downgraded_after_resolution, count(*) FILTER (place = 1) AS inserted, count(*) FILTER (place > 1) AS merged_duplicates, CAST(0 AS BIGINT) AS rewritten, CAST(0 AS BIGINT) AS error FROM ({_FIRST})"""
 SQL["ingest_stats"] = f"SELECT s.source, c.* FROM (VALUES ('jobfound'), (NULL)) s(source), ({_COUNTS}) c"
+_SHOWN = "CASE WHEN p_partkey % 6 = 1 THEN 'New: ' || p_type ELSE 'Told: <b>' || p_name END"
+SQL["job_filters"] = f"""SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, p_brand AS company, p_size * 1000 AS salary_min, {_SHOWN} AS description, p_partkey % 6 < 2 AS is_rewritten,
+  CASE WHEN p_partkey % 3 <> 0 THEN 'https://end.example.com/' ELSE 'https://raw.example.com/' END || p_partkey AS apply_url
+  FROM part WHERE p_partkey % 8 <> 0 AND p_partkey % 2 = 0 AND p_partkey % 5 <> 0 AND list_contains(string_split(p_name, ' '), 'red') AND p_size >= 5 AND (p_name ILIKE '%e%' OR p_brand ILIKE '%e%') ORDER BY p_partkey LIMIT 100"""
+SQL["page_texts"] = f"""SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || ' at ' || p_brand || ' — ' || CASE WHEN p_partkey % 2 = 0 THEN 'Remote' WHEN p_partkey % 4 <> 0 THEN p_type ELSE 'India' END AS page_title, left({_SHOWN}, 12) AS excerpt, replace(p_name, ' ', '|') AS paragraphs,
+  CASE WHEN p_partkey % 2 = 0 THEN 'FULL_TIME' ELSE 'CONTRACT' END AS ld_type, CASE WHEN p_partkey % 2 = 0 THEN 'TELECOMMUTE' END AS ld_remote, CASE WHEN p_partkey % 4 <> 0 THEN p_type END AS ld_place,
+  CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_size * 2000 AS VARCHAR) END AS ld_max, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 2 = 0 THEN 'YEAR' END AS ld_unit, false AS ld_open FROM part"""
+SQL["similar_jobs"] = """SELECT id FROM (SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 10 <> 0 THEN p_partkey % 97 END AS posted FROM part
+  WHERE p_partkey % 8 <> 0 AND list_contains(string_split(p_name, ' '), (SELECT string_split(p_name, ' ')[1] FROM part WHERE p_partkey = 7)) ORDER BY posted DESC NULLS LAST, id LIMIT 5) WHERE id <> '7' ORDER BY posted DESC NULLS LAST, id LIMIT 4"""
+SQL["rewrite_new"] = "SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 4 = 0 THEN upper(p_brand) || ' ' || p_partkey END AS rewritten_description FROM part"
+SQL["dedup_stored"] = "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND (p_partkey % 2 = 0 OR p_partkey % 5 <> 0) THEN 'old' || p_partkey END AS target, CAST(NULL AS BIGINT) AS new_seq FROM part"
+SQL["crawl_flat"] = "SELECT 'https://jobfound.org/job/' || p_partkey AS url FROM part WHERE p_partkey < 100 AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0"
+SQL["link_check"] = "SELECT CAST(p_partkey AS VARCHAR) AS id, p_partkey % 8 <> 0 AND p_partkey % 9 NOT IN (0, 1) AS is_active FROM part"
+# Titles with "Sales Executive" are out of scope; the zone of the date is its own.
+SQL["graph_records"] = """SELECT 'p-' || k AS external_id, title, 'Acme' AS company, CASE WHEN k % 4 <> 0 THEN 'Pune, MH' ELSE 'Pune' END AS location, k % 4 = 3 AS is_remote, CASE k % 3 WHEN 0 THEN 'full-time' WHEN 2 THEN 'contract' END AS employment_type,
+  CASE WHEN k % 4 = 1 THEN 'fresher' WHEN y = 0 THEN 'fresher' WHEN y <= 2 THEN 'junior' WHEN y <= 5 THEN 'mid' WHEN y <= 8 THEN 'senior' ELSE 'lead' END AS seniority,
+  CAST(CASE WHEN paid THEN low END AS INTEGER) AS salary_min, CAST(CASE WHEN paid THEN coalesce(high, low) END AS INTEGER) AS salary_max, CASE WHEN k % 3 <> 0 THEN 'USD' ELSE 'INR' END AS salary_currency, CASE WHEN paid THEN CASE k % 3 WHEN 0 THEN 'annual' ELSE 'monthly' END END AS salary_period,
+  CASE WHEN paid THEN low || CASE WHEN high IS NOT NULL THEN '-' || high ELSE '' END || CASE k % 3 WHEN 0 THEN ' per annum' ELSE ' per month' END END AS salary_raw, paid AS has_salary,
+  CASE WHEN k % 2 = 0 THEN 'Full' || chr(10) || 'in' || chr(10) || 'ner' ELSE 'Short' END AS description_original, CASE WHEN k % 5 = 0 THEN 'UNKNOWN' ELSE 'EXTERNAL' END AS apply_type,
+  CASE k % 5 WHEN 0 THEN '' WHEN 1 THEN 'https://x.io/' ELSE 'https://no.io/' END AS raw_apply_url, TIMESTAMP '2024-01-01 14:30:00' AS posted_at, k % 5 <> 0 AS is_valid, 'Java|SQL' AS tags
+  FROM (SELECT p_partkey AS k, p_partkey % 10 + 1 AS low, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 10 + 1 + p_partkey % 4 END AS high, p_partkey % 3 <> 2 AS paid, p_partkey % 150 // 12 AS y,
+    CASE p_partkey % 4 WHEN 0 THEN 'Software Engineer ' WHEN 1 THEN 'Fresher Developer ' ELSE 'Remote SDE ' END || p_partkey AS title FROM part WHERE p_partkey % 4 <> 2 AND p_partkey % 7 <> 0 AND p_partkey % 13 <> 0)"""

@@ -12,14 +12,22 @@ _registry: dict[str, Source] = {}
 
 
 class Source(Protocol):
-    """Three steps; only the one that provides pages does I/O.
+    """Three steps; only the one that provides pages, the walk over the sitemap, does I/O.
 
+    entry_time, peek: the date of a sitemap's entry and of a fetched page, null where that doesn't end the walk
     parse:     pages (url, html) to one raw record for each posting worth keeping
     normalize: raw records to canonical columns; odd values become nulls, never errors
     """
 
     source_name: str
     max_pages: int
+    sitemap_url: str
+    sitemap_pattern: str
+    crawl_delay_seconds: float
+
+    def entry_time(self, at: F.Column) -> F.Column: ...
+
+    def peek(self, html: F.Column) -> F.Column: ...
 
     def parse(self, pages: DataFrame, as_of: dt.datetime, max_age_hours: float) -> DataFrame: ...
 

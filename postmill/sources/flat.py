@@ -16,6 +16,7 @@ from postmill.sources.payload import buffer, text_row
 
 # The source's name and site, its sitemap's job locations, and where the object stands.
 NAME, SITE = "jobfound", "jobfound.org"
+SITEMAP_URL = "https://www.jobfound.org/sitemap.xml"
 SITEMAP = r"<loc>\s*(https?://(?:www\.)?jobfound\.org/job/[^<\s]+)\s*</loc>"
 OBJECT = r'(?s)"initialJob":(\{.*?\}),"similarJobs"'
 FIELDS = ("title", "slug", "companyName", "jobType", "experience", "domain", "location", "country", "skills", "applyUrl", "workplaceType", "postedAt", "salary", "description")
@@ -28,6 +29,14 @@ def _flag(test: Column, name: str) -> Column:
 class Flat:
     source_name = NAME
     max_pages = 500
+    sitemap_url, sitemap_pattern, crawl_delay_seconds = SITEMAP_URL, SITEMAP, 1.0
+
+    def entry_time(self, at: Column) -> Column:
+        return F.lit(None).cast("timestamp")  # its sitemap has no dates of jobs
+
+    def peek(self, html: Column) -> Column:
+        """The page's own date, which ends the walk."""
+        return classify.iso_time(F.get_json_object(or_null(F.regexp_extract(buffer(html), OBJECT, 1)), "$.postedAt"))
 
     def parse(self, pages: DataFrame, as_of: dt.datetime, max_age_hours: float = 24) -> DataFrame:
         rows = pages.select("url", buffer(F.col("html")).alias("buf"))

@@ -16,6 +16,7 @@ from postmill.sources.payload import job_posting
 
 # The source's name and site, and its sitemap's entries.
 NAME, SITE = "talentd", "talentd.in"
+SITEMAP_URL = "https://www.talentd.in/jobs/sitemap.xml"
 SITEMAP = r"<loc>(https://www\.talentd\.in/jobs/[^<]+)</loc>\s*<lastmod>([^<]+)</lastmod>"
 ADDRESS = "$.jobLocation[0].address"
 
@@ -52,6 +53,13 @@ def salary_text() -> Column:
 class Graph:
     source_name = NAME
     max_pages = 400
+    sitemap_url, sitemap_pattern, crawl_delay_seconds = SITEMAP_URL, SITEMAP, 1.5
+
+    def entry_time(self, at: Column) -> Column:
+        return classify.iso_time(at)
+
+    def peek(self, html: Column) -> Column:
+        return F.lit(None).cast("timestamp")  # the sitemap's dates end the walk, and parse judges the page's own
 
     def parse(self, pages: DataFrame, as_of: dt.datetime, max_age_hours: float = 24) -> DataFrame:
         rows = pages.select("url", "html", job_posting(F.col("html")).alias("posting")).where("posting is not null")

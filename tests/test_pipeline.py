@@ -7,10 +7,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from postmill.config import Settings
 from postmill.functions import display
 from postmill.operators import dedup
 from postmill.operators.store import Store
-from postmill.plans import catalog, ingest, jobs, social
+from postmill.plans import catalog, client, crawl, ingest, jobs, social
 from postmill.schema import JOBS, PUBLIC
 from postmill.sources import base
 from postmill.sources.base import get_source, run
@@ -236,3 +237,62 @@ def test_a_failing_source_leaves_the_others(spark, tmp_path, monkeypatch):
     stats = {r.source: r for r in ingest.ingest(pages_of(spark, flat_page(), graph_page()), store, AS_OF).collect()}
     assert stats["talentd"].error == 1 and stats["talentd"].fetched == 0 and stats[None].error == 1 and stats["jobfound"].error == 0
     assert [r.source for r in store.read().collect()] == ["jobfound"]
+
+
+def _site(xml, pages):
+    asked = []
+
+    def fetch(u):
+        asked.append(u)
+        if u.endswith("sitemap.xml"):
+            return 200, xml
+        got = pages[u]
+        if got is None:
+            raise OSError("unreachable")
+        return got
+
+    return fetch, asked
+
+
+def test_walk_stops_at_the_first_old_page(spark):
+    pages = {f"https://jobfound.org/job/{k}": (200, flat_page(postedAt=ago(40 if k in (6, 8) else 1) if k != 3 else None)) for k in range(12)}
+    pages["https://jobfound.org/job/1"], pages["https://jobfound.org/job/2"] = None, (404, "gone")
+    fetch, _ = _site("".join(f"<loc>{u}</loc>" for u in pages), pages)
+    got = crawl.walk(spark, get_source("jobfound"), fetch, AS_OF, block=4, wait=lambda s: None)
+    assert sorted(int(r.url[-1]) for r in got.collect()) == [0, 3, 4, 5] and got.columns == ["url", "html"]
+    capped = crawl.walk(spark, get_source("jobfound"), fetch, AS_OF, Settings(flat_max_pages=4), block=3, wait=lambda s: None)
+    assert sorted(int(r.url[-1]) for r in capped.collect()) == [0, 3]
+
+
+def test_walk_by_the_dates_of_the_sitemap(spark):
+    dates = {"hub": ago(0), "a": "bad", "b": ago(2), "c": ago(30), "d": ago(1)}
+    pages = {f"https://www.talentd.in/jobs/{k}": (200, graph_page()) for k in dates}
+    xml = "".join(f"<loc>https://www.talentd.in/jobs/{k}</loc><lastmod>{t}</lastmod>" for k, t in dates.items())
+    del pages["https://www.talentd.in/jobs/c"], pages["https://www.talentd.in/jobs/d"]  # asking for them would raise
+    fetch, _ = _site(xml, pages)
+    got = crawl.walk(spark, get_source("talentd"), fetch, AS_OF, wait=lambda s: None)
+    assert sorted(r.url.rsplit("/", 1)[1] for r in got.collect()) == ["a", "b", "hub"]
+    assert crawl.walk(spark, get_source("talentd"), lambda u: (200, ""), AS_OF).count() == 0
+    with pytest.raises(crawl.SitemapError):
+        crawl.walk(spark, get_source("talentd"), lambda u: (500, ""), AS_OF)
+
+
+def test_client():
+    asked = []
+
+    def send(u):
+        asked.append(u)
+        if "down" in u:
+            raise ConnectionError("refused")
+        return (404, "") if "none" in u else (503, "") if "hours" in u else (200, '{"total": 1}')
+
+    api = client.Client(send, "http://api")
+    assert api.jobs(q="c++ dev", tag="", source=None, has_salary=False, offset=0) == {"total": 1}
+    assert asked == ["http://api/jobs?q=c%2B%2B+dev&has_salary=false&offset=0"]
+    assert api.job("none") is None and api.job("a/b") == {"total": 1} and asked[-1] == "http://api/jobs/a%2Fb"
+    with pytest.raises(client.ApiError) as e:
+        api.digest(24)
+    assert e.value.status == 503
+    with pytest.raises(client.ApiError) as e:
+        client.Client(send, "http://down").jobs()
+    assert e.value.status is None
