@@ -5,21 +5,26 @@ key, else its id; a row that merges contributes no keys. So the rows that are st
 lexicographically first maximal independent set of the conflict graph. Each round settles, for
 all keys at once, rows that are the least of all undecided ones on each of their keys, and the
 rows that conflict with those. Rounds are few (chains that alternate keys in arrival order
-need one each); every round is two aggregations and joins, and is written to the shared folder.
+need one each); every round is two aggregations and joins, and is written to the shared folder. Once no more than
+FINISH rows are undecided, which is counted, one task takes them in their order: the rule itself, without a round for each link of a chain.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions.url import url_key
-from postmill.runtime import written
+from postmill.runtime import discard, written
 
 #: Keys in order of precedence.
 KEYS = ("fingerprint", "url_key", "id")
+#: Rows that one task may settle; with their keys some tens of megabytes.
+FINISH = 200_000
 
 
 def with_url_key(rows: DataFrame) -> DataFrame:
@@ -43,24 +48,44 @@ def first_stored(stored: DataFrame, key: str) -> DataFrame:
     return stored.where(F.col(key).isNotNull()).groupBy(key).agg(best).select(key, F.col("best.id").alias("leader"))
 
 
-def leaders(rows: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def _in_order(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The rows that are stored, found one after another by a single task."""
+
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken: list[set] = [set() for _ in keys]
+        for b in batches:
+            kept = []
+            for values in zip(*[b[k] for k in keys], strict=True):
+                own = [(t, v) for t, v in zip(taken, values, strict=True) if not pd.isna(v)]
+                free = not any(v in t for t, v in own)
+                kept.append(free)
+                if free:
+                    for t, v in own:
+                        t.add(v)
+            yield b[kept]
+
+    return rows.repartition(1).sortWithinPartitions("seq").mapInPandas(f, rows.schema)
+
+
+def leaders(rows: DataFrame, keys: tuple[str, ...] = KEYS, finish: int = FINISH) -> DataFrame:
     """The rows (seq and keys) that are stored when rows arrive by seq and nothing is stored before."""
     left = written(rows.select("seq", *keys), "undecided")
-    done = None
-    while not left.isEmpty():
+    done: list[DataFrame] = []
+    while left.count() > finish:
         marked = left
         for k in keys:
             least = left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("seq").alias(f"least_{k}")).withColumnRenamed(k, "__k")
             marked = marked.join(least, _spread(k) == F.col("__k"), "left").drop("__k")
         first = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"least_{k}"), F.col("seq")) == F.col("seq") for k in keys])
         marked = written(marked.withColumn("leads", first), "round")
+        discard(left)
         new = marked.where("leads").select("seq", *keys)
         rest = marked.where("not leads").select("seq", *keys)
         for k in keys:
             rest = rest.join(new.where(F.col(k).isNotNull()).select(F.col(k).alias("__k")).distinct(), _spread(k) == F.col("__k"), "left_anti")
         left = written(rest, "undecided")
-        done = new if done is None else done.union(new)
-    return done if done is not None else rows.select("seq", *keys).limit(0)
+        done.append(new)
+    return reduce(DataFrame.union, [*done, written(_in_order(left, keys), "settled")])
 
 
 def assign(incoming: DataFrame, stored: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -114,8 +114,9 @@ def random_rows(rng, n, keys):
     return [{"seq": i, "id": f"i{rng.randrange(3 * n)}", "fingerprint": f"f{pick()}", "url_key": None if rng.random() < 0.3 else f"u{pick()}", "scraped_at": dt.datetime(2026, 1, 1) + dt.timedelta(minutes=i), "source": f"s{pick() % 3}"} for i in range(n)]
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_dedup_is_the_sequential_rule(spark, seed):
+@pytest.mark.parametrize(("seed", "finish"), [(0, 0), (1, 0), (2, 12), (3, dedup.FINISH)])
+def test_dedup_is_the_sequential_rule(spark, monkeypatch, seed, finish):
+    monkeypatch.setattr(dedup.leaders, "__defaults__", (dedup.KEYS, finish))
     rng = random.Random(seed)
     rows = random_rows(rng, 40, 14)
     seen, stored = set(), []
@@ -134,7 +135,9 @@ def test_dedup_cases(spark):
     def case(*keys):
         rows = [{"seq": i, "id": f"i{i}", "fingerprint": f, "url_key": u} for i, (f, u) in enumerate(keys)]
         df = spark.createDataFrame([(r["seq"], r["fingerprint"], r["url_key"], r["id"]) for r in rows], "seq bigint, fingerprint string, url_key string, id string")
-        return sorted(r.seq for r in dedup.leaders(df).collect())
+        found = [sorted(r.seq for r in dedup.leaders(df, finish=n).collect()) for n in (0, dedup.FINISH)]
+        assert found[0] == found[1]
+        return found[0]
 
     assert case(("f1", "u1"), ("f2", "u1"), ("f2", "u2")) == [0, 2]
     assert case(("f1", None), ("f2", None)) == [0, 1]
