@@ -83,8 +83,8 @@ def link_of() -> F.Column:
     return or_else(F.col("apply_url"), F.col("raw_apply_url"))
 
 
-def statuses(jobs: DataFrame, call: Status, tasks: int = 8) -> DataFrame:
-    """(link, status, failed) for each distinct link of an active job."""
+def statuses(jobs: DataFrame, call: Status, tasks: int = 8, delay: float = 0.0) -> DataFrame:
+    """(link, status, failed) for each distinct link of an active job; a task waits for delay after each one."""
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -95,6 +95,8 @@ def statuses(jobs: DataFrame, call: Status, tasks: int = 8) -> DataFrame:
                 except Exception:
                     s = None
                 out.append((u, s, s is None))
+                if delay:
+                    time.sleep(delay)
             yield pd.DataFrame(out, columns=["link", "status", "failed"]).astype({"status": "Int32"})
 
     links = jobs.where("is_active").select(link_of().alias("link")).where("link <> ''").distinct().repartition(tasks)

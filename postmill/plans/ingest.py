@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import datetime as dt
 import logging
+import time
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postmill.config import Settings
 from postmill.operators import dedup, network, records
 from postmill.operators.store import Store
+from postmill.plans import crawl
 from postmill.runtime import written
-from postmill.schema import JOBS, RECORD
+from postmill.schema import JOBS, PAGES, RECORD
 from postmill.sources.base import Source, all_sources, run
 
 log = logging.getLogger(__name__)
@@ -34,8 +38,9 @@ def canonical(pages: DataFrame, sources: list[Source], as_of: dt.datetime, setti
     return reduce(DataFrame.unionByName, out), failed
 
 
-def ingest(pages: DataFrame, store: Store, as_of: dt.datetime, settings: Settings | None = None, names: list[str] | None = None, resolve: network.Resolve | None = None, rewrite: network.Rewrite | None = None, name: str | None = None) -> DataFrame:
-    """Runs all steps and writes a snapshot; returns the counters for each source and in total."""
+def ingest(pages: DataFrame, store: Store, as_of: dt.datetime, settings: Settings | None = None, names: list[str] | None = None, resolve: network.Resolve | None = None, rewrite: network.Rewrite | None = None, name: str | None = None, unfetched: dict[str, str] | None = None) -> DataFrame:
+    """Runs all steps and writes a snapshot; returns the counters for each source and in total. unfetched: sources that gave no
+    pages, and why; they count as errors too."""
     settings = settings or Settings()
     sources = [s for s in all_sources() if names is None or s.source_name in names]
     if not sources:
@@ -60,7 +65,31 @@ def ingest(pages: DataFrame, store: Store, as_of: dt.datetime, settings: Setting
     lost = rows.where(~(F.col("is_valid") & is_external)).select("source", "is_valid", F.lit(False).alias("was_external"), "is_external", none, "rewritten_description")
     down = kept.where("not is_external").select("source", "is_valid", F.lit(True).alias("was_external"), "is_external", none, "rewritten_description")
     done = assigned.select("source", "is_valid", F.lit(True).alias("was_external"), "is_external", outcome.alias("outcome"), "rewritten_description")
-    return records.with_errors(records.run_stats(lost.select(*flags).union(down.select(*flags)).union(done.select(*flags))), list(failed))
+    return records.with_errors(records.run_stats(lost.select(*flags).union(down.select(*flags)).union(done.select(*flags))), list({**(unfetched or {}), **failed}))
+
+
+def fetched(spark: SparkSession, fetch: crawl.Fetch, as_of: dt.datetime, settings: Settings, names: list[str] | None = None, wait: Callable[[float], None] = time.sleep) -> tuple[DataFrame, dict[str, str]]:
+    """Pages (url, html, source) of all sources, a few of them walked at a time, and what went wrong with those that failed."""
+    sources = [s for s in all_sources() if names is None or s.source_name in names]
+
+    def one(s: Source) -> DataFrame | str:
+        try:
+            return crawl.walk(spark, s, fetch, as_of, settings, wait=wait).withColumn("source", F.lit(s.source_name))
+        except Exception as e:  # whatever a site does, the others are walked
+            log.exception("source %s gave no pages", s.source_name)
+            return f"{type(e).__name__}: {e}"
+
+    with ThreadPoolExecutor(max_workers=max(1, settings.max_concurrent_sources)) as pool:
+        got = dict(zip([s.source_name for s in sources], pool.map(one, sources), strict=True))
+    none = spark.createDataFrame([], PAGES).withColumn("source", F.lit(""))
+    return reduce(DataFrame.union, [x for x in got.values() if isinstance(x, DataFrame)], none), {n: x for n, x in got.items() if isinstance(x, str)}
+
+
+def fetch_and_ingest(spark: SparkSession, fetch: crawl.Fetch, store: Store, as_of: dt.datetime, settings: Settings | None = None, names: list[str] | None = None, wait: Callable[[float], None] = time.sleep, **rest) -> DataFrame:
+    """A whole run, from the sitemaps to a snapshot; rest as of ingest."""
+    settings = settings or Settings()
+    pages, failed = fetched(spark, fetch, as_of, settings, names, wait)
+    return ingest(pages, store, as_of, settings, names, unfetched=failed, **rest)
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -75,11 +104,11 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return ranged.withColumn("__n", own).join(F.broadcast(counts), "__p").withColumn("seq", F.col("__before") + F.col("__n")).drop("__p", "__n", "__before")
 
 
-def check_links(store: Store, table: DataFrame | None = None, call: network.Status | None = None) -> dict:
-    """Deactivates jobs whose link is gone; counts what was checked and deactivated."""
+def check_links(store: Store, table: DataFrame | None = None, call: network.Status | None = None, delay: float = 0.0) -> dict:
+    """Deactivates jobs whose link is gone; counts what was checked and deactivated. With a delay, one task asks link after link."""
     jobs = store.read()
     if table is None:
-        table = network.statuses(jobs, call or (lambda u: 200))
+        table = network.statuses(jobs, call or (lambda u: 200), **({"tasks": 1, "delay": delay} if delay else {}))
     table = written(table, "statuses")
     dead = written(network.dead_ids(jobs, table), "dead")
     checked, gone = jobs.where("is_active").count(), dead.count()

@@ -299,3 +299,13 @@ def test_client():
     with pytest.raises(client.ApiError) as e:
         client.Client(send, "http://down").jobs()
     assert e.value.status is None
+
+
+def test_a_run_from_the_sitemaps(spark, tmp_path):
+    url = "https://jobfound.org/job/1"
+    fetch, _ = _site(f"<loc>{url}</loc>", {url: (200, flat_page())})
+    store, only = Store(spark, f"file://{tmp_path}/jobs"), lambda u: (503, None) if "talentd" in u else fetch(u)
+    stats = {r.source: r for r in ingest.fetch_and_ingest(spark, only, store, AS_OF, wait=lambda s: None).collect()}
+    assert (stats["jobfound"].inserted, stats["jobfound"].error, stats["talentd"].fetched, stats["talentd"].error, stats[None].error) == (1, 0, 0, 1, 1)
+    assert [r.title for r in store.read().collect()] == ["Backend Developer"]
+    assert ingest.check_links(store, call=lambda u: 404, delay=0.01) == {"checked": 1, "deactivated": 1}
