@@ -15,7 +15,8 @@ Defined results: a null source is a source of its own; documents without tokens
 texts) are part of no mixture; a source without tokens gets no weight; repeated rows are each
 dealt, next to one another; an empty table, or one without tokens, gives an empty mixture; with one
 source its weight is 1. A target entropy beyond log2 of the number of sources is met as nearly
-as exponent 0, equal weights, allows, and the limit of repetitions holds in any case.
+as exponent 0, equal weights, allows, and the limit of repetitions holds in any case: a budget beyond the limit
+times all tokens falls to that, and the weights are the natural shares.
 """
 
 from __future__ import annotations
@@ -47,13 +48,18 @@ class Target:
     budget: int | None = None
 
 
+def affordable(total: int, target: Target) -> int:
+    """The budget, or the most that the limit of repetitions allows of so many tokens."""
+    return min(target.budget or total, math.floor(target.repetitions * total))
+
+
 def weights(tokens: dict[str | None, int], target: Target) -> tuple[float, dict[str | None, float]]:
     """The exponent and the normalised weights. Shares are scaled by the greatest, so no power overflows."""
     positive = {s: n for s, n in tokens.items() if n}
     if not positive:
         return 1.0, {}
     total, top = sum(positive.values()), max(positive.values())
-    budget = target.budget or total
+    budget = affordable(total, target)
     aim = target.entropy * math.log2(len(positive))
 
     def at(x: float) -> dict[str | None, float]:
@@ -79,10 +85,7 @@ def weights(tokens: dict[str | None, int], target: Target) -> tuple[float, dict[
             mid = (low + high) / 2
             low, high = (low, mid) if repeats(at(mid)) <= target.repetitions else (mid, high)
         exponent = high
-    w = at(exponent)
-    if repeats(w) > target.repetitions:  # the budget itself is more than the limit allows
-        w = {s: min(p, target.repetitions * positive[s] / budget) for s, p in w.items()}
-    return exponent, w
+    return exponent, at(exponent)
 
 
 def _counted(text: pa.Array) -> pa.Array:
@@ -119,7 +122,7 @@ def mix(docs: DataFrame, target: Target | None = None, id_col: str = "doc_id", t
     own = saved(own.where("n_tokens > 0"), "tokens")
     totals = own.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")).collect()  # a row for each source
     _, share = weights({r.source: r.n for r in totals}, target)
-    budget = target.budget or sum(r.n for r in totals)
+    budget = affordable(sum(r.n for r in totals), target)
     blocks = max(1, -(-budget // block_tokens))
     plan = [(r.source, int(round(share[r.source] * budget)), r.n, max(1, -(-r.docs // BUCKET_DOCS))) for r in totals]
     plan = spark.createDataFrame(plan, "source string, quota bigint, supply bigint, buckets bigint")

@@ -127,6 +127,10 @@ def test_weights():
     assert max(w[s] * 1110 / tokens[s] for s in w) <= 3 + 1e-9
     x, w = mixing.weights(tokens, mixing.Target(entropy=0.0))
     assert x == 1.0 and w == pytest.approx({s: n / 1110 for s, n in tokens.items() if n})
+    # A budget that the limit doesn't allow falls to what it does, with normalised weights.
+    x, w = mixing.weights(tokens, mixing.Target(entropy=0.9, repetitions=2, budget=10**12))
+    assert mixing.affordable(sum(tokens.values()), mixing.Target(repetitions=2, budget=10**12)) == 2 * sum(tokens.values())
+    assert abs(sum(w.values()) - 1) < 1e-9 and all(abs(w[s] - n / sum(tokens.values())) < 1e-9 for s, n in tokens.items() if n)
     assert mixing.weights({}, mixing.Target()) == (1.0, {}) and mixing.weights({"a": 5}, mixing.Target())[1] == {"a": 1.0}
 
 
