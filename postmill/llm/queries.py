@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm import decontaminate, jaccard, langid, lengths, mixing, ngram_lm, quality, sql, toxicity, urlfilter, warc
+from postmill.llm import decontaminate, imatch, jaccard, langid, lengths, lloyd, mixing, ngram_lm, quality, sql, toxicity, urlfilter, warc, whitening
 from postmill.llm.langid import held_out
 from postmill.llm.session import documents, saved
 
@@ -64,5 +64,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_warc_derivatives, op3_temperature_mixing, op4_language_id, op5_quality_rules, op6_toxicity, op7_ngram_jaccard, op8_length_histogram, op9_kneser_ney, op10_decontamination)}
-SQL = {"op1_url_filter": sql.OP1, "op2_warc_derivatives": sql.OP2, "op7_ngram_jaccard": sql.OP7, "op10_decontamination": sql.OP10}
+def op11_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(documents(spark, sf_dir))
+
+
+def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(documents(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(documents(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", rows.deviation.cast("bigint"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_warc_derivatives, op3_temperature_mixing, op4_language_id, op5_quality_rules, op6_toxicity, op7_ngram_jaccard, op8_length_histogram, op9_kneser_ney, op10_decontamination, op11_imatch, op12_delta_lloyd, op13_whitening)}
+SQL = {"op1_url_filter": sql.OP1, "op2_warc_derivatives": sql.OP2, "op7_ngram_jaccard": sql.OP7, "op10_decontamination": sql.OP10, "op11_imatch": sql.OP11, "op12_delta_lloyd": sql.OP12}

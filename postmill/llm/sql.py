@@ -87,3 +87,52 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
 """
+
+_RATES = [32] * 8 + [128] * 24 + [512] * 40 + [2048] * 24
+_TERMS = "list_distinct(list_filter(string_split_regex(lower({0}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> ''))"
+
+
+def _likeness(a: str, b: str) -> str:
+    x, y = (f"string_split({c}, ' ')" for c in (a, b))
+    return f"""CASE WHEN {a} = {b} THEN 1.0 WHEN starts_with({a}, '=') OR starts_with({b}, '=') THEN 0.0 ELSE
+      len(list_intersect({x}, {y})) / len(list_distinct(list_transform({x} || {y}, lambda t: left(t, 2)))) END"""
+
+
+OP11 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+o AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS following,
+  coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), first_value(doc_id) OVER (ORDER BY doc_id DESC)) AS next FROM d),
+b AS (SELECT doc_id, next, n, text, left(text, n - n // 2) || left(following, n // 2) AS edited FROM o),
+w AS (SELECT doc_id, FALSE AS e, {_TERMS.format("text")} AS terms FROM b UNION ALL SELECT doc_id, TRUE, {_TERMS.format("edited")} FROM b),
+l AS (
+  SELECT term, list_filter(range({len(_RATES)}), lambda j: substring(md5(term || ':' || (j // 8)), j % 8 * 4 + 1, 4) < {[f"{65536 // r:04x}" for r in _RATES]}[j + 1]) AS subsets
+  FROM (SELECT unnest(terms) AS term, count(*) AS df FROM w WHERE NOT e GROUP BY 1) t
+  WHERE df * 4 <= (SELECT count(*) FROM d) AND df * 2048 >= (SELECT count(*) FROM d)),
+h AS (
+  SELECT doc_id, e, s, left(md5(string_agg(term, ' ' ORDER BY term)), 4) AS hash
+  FROM (SELECT doc_id, e, term, unnest(subsets) AS s FROM (SELECT doc_id, e, unnest(terms) AS term FROM w) u JOIN l USING (term)) x GROUP BY ALL),
+m AS (SELECT doc_id, e, string_agg(printf('%02x', s) || hash, ' ' ORDER BY s) AS f FROM h GROUP BY ALL),
+f AS (SELECT w.doc_id, w.e, coalesce(m.f, '=' || md5(array_to_string(list_sort(terms), ' '))) AS f FROM w LEFT JOIN m USING (doc_id, e)),
+g AS (SELECT doc_id, next, n, sha256(edited) AS edited_sha256, x.f AS a, y.f AS b, z.f AS c
+  FROM b JOIN f x USING (doc_id) JOIN f y USING (doc_id) JOIN f z ON z.doc_id = b.next WHERE NOT x.e AND y.e AND NOT z.e)
+SELECT doc_id, n AS n_chars, edited_sha256, a AS fingerprint, b AS edited_fingerprint, CAST({_likeness("a", "b")} AS DOUBLE) AS near_edited, CAST({_likeness("a", "c")} AS DOUBLE) AS near_next FROM g
+"""
+
+
+def _lloyd(rounds: int = 10) -> str:
+    out = [
+        "v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(CAST(e AS DOUBLE) * 1024) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x AS m FROM (SELECT sha256('3:' || vec_id) AS h, x FROM v ORDER BY h, x LIMIT 8) s)",
+    ]
+    for k in range(rounds + 1):
+        out.append(f"a{k} AS MATERIALIZED (SELECT vec_id, x, min({{'d': CAST(list_sum(list_transform(list_zip(x, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT), 'c': c}}) AS best FROM v, c{k} GROUP BY vec_id, x)")
+        if k == rounds:
+            break
+        out.append(f"s{k} AS (SELECT best.c AS c, j, sum(x[j]) AS s, count(*) AS n FROM a{k}, range(1, 65) r(j) GROUP BY ALL)")
+        out.append(f"c{k + 1} AS MATERIALIZED (SELECT c, coalesce(n.m, c{k}.m) AS m FROM c{k} LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS m FROM s{k} GROUP BY c) n USING (c))")
+    return f"""WITH {", ".join(out)}
+SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON c{rounds}.c = best.c"""
+
+
+OP12 = _lloyd()
