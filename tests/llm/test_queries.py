@@ -20,7 +20,7 @@ COLUMNS = {
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, name):
     d = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         d.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     got = QUERIES[name](spark, DIR)
     want = d.execute(SQL[name])
@@ -33,6 +33,9 @@ def test_same_as_sql(spark, name):
 def test_runs_whole(spark, name):
     got = QUERIES[name](spark, DIR)
     rows = got.count()
+    if name == "op13_whitening":
+        vectors = spark.read.parquet(f"{DIR}/embeddings.parquet").count()
+        assert got.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"] and rows == 32 * vectors
     if name in COLUMNS:
         assert got.columns[: len(COLUMNS[name])] == COLUMNS[name] and rows == spark.read.parquet(f"{DIR}/documents.parquet").count()
     assert rows > 0
