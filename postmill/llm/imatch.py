@@ -97,6 +97,7 @@ def _ring(keyed: DataFrame) -> DataFrame:
     of = lambda x, names: [x[k].alias(n) for k, n in zip(KEY, names, strict=True)]
     out = saved(near.select(*KEY, "copies", *of(f, NEXT), *of(b, BEFORE), b["n"].alias("before_n")), "ring")
     discard(ranged)
+    release(keyed.sparkSession)
     return out
 
 
@@ -132,6 +133,7 @@ def prints(docs: DataFrame, lex: DataFrame, id_col: str = "doc_id", text_col: st
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[int, int] = BAND, subsets=SUBSETS) -> DataFrame:
     """A row for each document: its fingerprint, that of its edited text, and how like it is to that and to the next document's."""
     lex = saved(lexicon(docs, text_col, band, subsets), "lexicon")
+    release(docs.sparkSession)
     found = prints(docs, lex.where(F.size("subsets") > 0), id_col, text_col, subsets)
     discard(lex)
     rows = found.join(found.select(*_renamed(KEY, NEXT), F.col("fingerprint").alias("following")), NEXT)
