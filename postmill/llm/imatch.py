@@ -9,7 +9,7 @@ survive large edits and long texts, dense ones tell short texts apart.
 The band bounds the lexicon: at most mean distinct terms a text x 2^most terms have that frequency, whatever the number of texts. It is
 broadcast while its rows, which are counted, are below BROADCAST_TERMS, and joined by a shuffle beyond.
 
-Defined results: a null text is an empty one; texts without any term of a subset (empty ones too) get ``=`` and the hash of all their distinct
+Defined results: a null text is an empty one; texts without any term of a subset (empty ones too) get ``ff`` and the hash of all their distinct
 terms, which is like nothing but itself. Equal texts have equal fingerprints. Documents stand in the order of falling doc_id, null
 ids last, then of the text's hash; after the last comes the first. Rows with the same id and text are one document in that order, and each gives a row of
 the result. An empty table gives no rows. Other columns are ignored.
@@ -29,8 +29,8 @@ SUBSETS = ((32, 8), (128, 24), (512, 40), (2048, 24))
 #: Rows of a lexicon that is broadcast; some hundred bytes each.
 BROADCAST_TERMS = 1_000_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Hex digits of a subset's hash.
-DIGITS = 4
+#: Hex digits of a subset's number and of its hash, and what stands for the number where all terms are hashed.
+NUMBER, DIGITS, NO_SUBSET = 2, 4, "ff"
 
 
 def terms(text: Column) -> Column:
@@ -56,15 +56,15 @@ def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[int, int] = BAN
 
 
 def whole(text: Column) -> Column:
-    """What stands for the signature of a text without terms of any subset."""
-    return F.concat(F.lit("="), F.md5(F.array_join(F.sort_array(terms(text)), " ")))
+    """What stands for the hashes of a text without terms of any subset."""
+    return F.concat(F.lit(NO_SUBSET), F.md5(F.array_join(F.sort_array(terms(text)), " ")))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    x, y = F.split(a, " "), F.split(b, " ")
-    subsets = lambda c: F.transform(c, lambda t: F.left(t, F.lit(2)))
+    x, y = (F.regexp_extract_all(c, F.lit(f".{{{NUMBER + DIGITS}}}"), F.lit(0)) for c in (a, b))
+    subsets = lambda c: F.transform(c, lambda t: F.left(t, F.lit(NUMBER)))
     share = F.size(F.array_intersect(x, y)) / F.size(F.array_union(subsets(x), subsets(y)))
-    return F.when(a == b, F.lit(1.0)).when(F.startswith(a, F.lit("=")) | F.startswith(b, F.lit("=")), F.lit(0.0)).otherwise(share)
+    return F.when(a == b, F.lit(1.0)).when(F.startswith(a, F.lit(NO_SUBSET)) | F.startswith(b, F.lit(NO_SUBSET)), F.lit(0.0)).otherwise(share)
 
 
 #: The key of a document, of the next one and of the one before: no id, the falling id, the text's hash. Never null, and plain
@@ -102,7 +102,7 @@ def _ring(keyed: DataFrame) -> DataFrame:
 
 
 def prints(docs: DataFrame, lex: DataFrame, id_col: str = "doc_id", text_col: str = "text", subsets=SUBSETS) -> DataFrame:
-    """Fingerprints of all texts and of their edited texts, the last half of each replaced by the start of the next document's."""
+    """Fingerprints, as bytes, of all texts and of their edited texts, the last half of each replaced by the start of the next document's."""
     keyed = _keyed(docs, id_col, text_col)
     ring = _ring(keyed)
     # One exchange of all texts by their key, read by every branch below; only the starts that others need move again.
@@ -111,18 +111,17 @@ def prints(docs: DataFrame, lex: DataFrame, id_col: str = "doc_id", text_col: st
     given = placed.select(*_renamed(BEFORE, KEY), F.left("text", F.floor(F.col("before_n") / 2).cast("int")).alias("given"))
     n = F.char_length("text")
     edited = F.concat(F.left("text", n - F.floor(n / 2).cast("int")), F.col("given"))
-    both = placed.join(given, KEY).select(*KEY, *NEXT, "copies", "text", edited.alias("edited"))
 
-    words = both.select(*KEY, F.explode(F.array(F.struct(F.lit(False).alias("e"), terms(F.col("text")).alias("w")), F.struct(F.lit(True).alias("e"), terms(F.col("edited")).alias("w")))).alias("x"))
+    words = texts.join(given, KEY).select(*KEY, F.explode(F.array(F.struct(F.lit(False).alias("e"), terms(F.col("text")).alias("w")), F.struct(F.lit(True).alias("e"), terms(edited).alias("w")))).alias("x"))
     words = words.select(*KEY, "x.e", F.explode("x.w").alias("term"))
     hits = words.join(F.broadcast(lex) if lex.count() <= BROADCAST_TERMS else lex, "term").select(*KEY, "e", F.explode("subsets").alias("s"), "term")
     hashed = hits.groupBy(*KEY, "e", "s").agg(F.left(F.md5(F.array_join(F.sort_array(F.collect_list("term")), " ")), F.lit(DIGITS)).alias("hash"))
-    listed = lambda e: F.array_join(F.sort_array(F.collect_list(F.when(F.col("e") == e, F.concat("s", "hash")))), " ")
+    listed = lambda e: F.array_join(F.sort_array(F.collect_list(F.when(F.col("e") == e, F.concat("s", "hash")))), "")
     told = hashed.groupBy(*KEY).agg(F.nullif(listed(False), F.lit("")).alias("own"), F.nullif(listed(True), F.lit("")).alias("other"))
-    facts = both.join(told, KEY, "left")
+    facts = placed.join(given, KEY).join(told, KEY, "left")
     done = facts.select(
-        *KEY, *NEXT, "copies", F.char_length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        F.coalesce("own", whole(F.col("text"))).alias("fingerprint"), F.coalesce("other", whole(F.col("edited"))).alias("edited_fingerprint"),
+        *KEY, *NEXT, "copies", n.cast("bigint").alias("n_chars"), F.unhex(F.sha2(edited, 256)).alias("edited_sha256"),
+        F.unhex(F.coalesce("own", whole(F.col("text")))).alias("fingerprint"), F.unhex(F.coalesce("other", whole(edited))).alias("edited_fingerprint"),
     )
     out = saved(done, "prints")
     discard(ring)
@@ -137,7 +136,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = prints(docs, lex.where(F.size("subsets") > 0), id_col, text_col, subsets)
     discard(lex)
     rows = found.join(found.select(*_renamed(KEY, NEXT), F.col("fingerprint").alias("following")), NEXT)
-    rows = rows.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    hexed = {c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint", "following")}
+    rows = rows.withColumns(hexed).withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return rows.select(
         F.when(~F.col(KEY[0]), F.bitwise_not(F.col(KEY[1]))).alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("following")).alias("near_next"),

@@ -93,8 +93,8 @@ _TERMS = "list_distinct(list_filter(string_split_regex(lower({0}), '[\\x00-\\x2F
 
 
 def _likeness(a: str, b: str) -> str:
-    x, y = (f"string_split({c}, ' ')" for c in (a, b))
-    return f"""CASE WHEN {a} = {b} THEN 1.0 WHEN starts_with({a}, '=') OR starts_with({b}, '=') THEN 0.0 ELSE
+    x, y = (f"regexp_extract_all({c}, '.{{6}}')" for c in (a, b))
+    return f"""CASE WHEN {a} = {b} THEN 1.0 WHEN starts_with({a}, 'ff') OR starts_with({b}, 'ff') THEN 0.0 ELSE
       len(list_intersect({x}, {y})) / len(list_distinct(list_transform({x} || {y}, lambda t: left(t, 2)))) END"""
 
 
@@ -111,8 +111,8 @@ l AS (
 h AS (
   SELECT doc_id, e, s, left(md5(string_agg(term, ' ' ORDER BY term)), 4) AS hash
   FROM (SELECT doc_id, e, term, unnest(subsets) AS s FROM (SELECT doc_id, e, unnest(terms) AS term FROM w) u JOIN l USING (term)) x GROUP BY ALL),
-m AS (SELECT doc_id, e, string_agg(printf('%02x', s) || hash, ' ' ORDER BY s) AS f FROM h GROUP BY ALL),
-f AS (SELECT w.doc_id, w.e, coalesce(m.f, '=' || md5(array_to_string(list_sort(terms), ' '))) AS f FROM w LEFT JOIN m USING (doc_id, e)),
+m AS (SELECT doc_id, e, string_agg(printf('%02x', s) || hash, '' ORDER BY s) AS f FROM h GROUP BY ALL),
+f AS (SELECT w.doc_id, w.e, coalesce(m.f, 'ff' || md5(array_to_string(list_sort(terms), ' '))) AS f FROM w LEFT JOIN m USING (doc_id, e)),
 g AS (SELECT doc_id, next, n, sha256(edited) AS edited_sha256, x.f AS a, y.f AS b, z.f AS c
   FROM b JOIN f x USING (doc_id) JOIN f y USING (doc_id) JOIN f z ON z.doc_id = b.next WHERE NOT x.e AND y.e AND NOT z.e)
 SELECT doc_id, n AS n_chars, edited_sha256, a AS fingerprint, b AS edited_fingerprint, CAST({_likeness("a", "b")} AS DOUBLE) AS near_edited, CAST({_likeness("a", "c")} AS DOUBLE) AS near_next FROM g

@@ -34,12 +34,12 @@ def prints_by_hand(rows, band, subsets):
             for j in inside.get(w, ()):
                 found.setdefault(j, []).append(w)
         md5 = lambda ws: hashlib.md5(" ".join(ws).encode()).hexdigest()
-        return " ".join(f"{j:02x}{md5(found[j])[:4]}" for j in sorted(found)) or "=" + md5(sorted(words(t)))
+        return "".join(f"{j:02x}{md5(found[j])[:4]}" for j in sorted(found)) or "ff" + md5(sorted(words(t)))
 
     def near(a, b):
-        if a == b or "=" in a[:1] + b[:1]:
+        if a == b or "ff" in (a[:2], b[:2]):
             return float(a == b)
-        x, y = set(a.split()), set(b.split())
+        x, y = ({c[i : i + 6] for i in range(0, len(c), 6)} for c in (a, b))
         return len(x & y) / len({t[:2] for t in x | y})
 
     out = {}
