@@ -2,11 +2,12 @@
 
 Rows arrive in the order of ``seq``. A row merges into a stored row with its fingerprint, else its URL
 key, else its id; a row that merges contributes no keys. So the rows that are stored are the
-lexicographically first maximal independent set of the conflict graph. Each round settles, for
+lexicographically first maximal independent set of the conflict graph. A round settles, for
 all keys at once, rows that are the least of all undecided ones on each of their keys, and the
-rows that conflict with those. Rounds are few (chains that alternate keys in arrival order
-need one each); every round is two aggregations and joins, and is written to the shared folder. Once no more than
-FINISH rows are undecided, which is counted, one task takes them in their order: the rule itself, without a round for each link of a chain.
+rows that conflict with those. What is left falls apart into connected components of shared keys, which don't
+touch one another: those of at most SHARE rows are dealt over tasks, each of which takes its rows in their order, the rule itself. Only larger components go
+through further rounds, as all rows do while each round settles most of them. All keys of a row are handled as rows (kind, key) of one table, so each step is one join and not one for each key;
+a row without any key conflicts with none.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from postmill.functions.url import url_key
@@ -23,33 +24,65 @@ from postmill.runtime import discard, written
 
 #: Keys in order of precedence.
 KEYS = ("fingerprint", "url_key", "id")
-#: Rows that one task may settle; with their keys some tens of megabytes.
-FINISH = 200_000
+#: Rows of a component that one task may settle, and about as many of all its components; with their keys some tens of megabytes.
+SHARE = 200_000
 
 
 def with_url_key(rows: DataFrame) -> DataFrame:
     return rows.withColumn("url_key", url_key(F.col("apply_url"), F.col("resolved_domain")))
 
 
-def _matches(rows: DataFrame, leaders: DataFrame, key: str, name: str) -> DataFrame:
-    """rows with ``name``: the leader with the same key, null without one. leaders: (key, leader)."""
-    side = leaders.where(F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.col("leader").alias(name))
-    return rows.join(side, _spread(key) == F.col("__k"), "left").drop("__k")
-
-
-def _spread(key: str):
-    """The key, or, where it is null, something of the row's own that no key equals: else all such rows would meet in one task."""
-    return F.coalesce(F.col(key), F.concat(F.lit("\0"), F.col("seq").cast("string")))
-
-
-def first_stored(stored: DataFrame, key: str) -> DataFrame:
-    """The oldest stored row of each key."""
-    best = F.min(F.struct("scraped_at", "id")).alias("best")
-    return stored.where(F.col(key).isNotNull()).groupBy(key).agg(best).select(key, F.col("best.id").alias("leader"))
-
-
-def _in_order(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """The rows that are stored, found one after another by a single task."""
+def _long(rows: DataFrame, keys: tuple[str, ...], *columns: str) -> DataFrame:
+    """(columns, kind, key): a row for each key that isn't null; kind is its place in the order of precedence."""
+    each = F.array(*[F.struct(F.lit(n).alias("kind"), F.col(k).alias("key")) for n, k in enumerate(keys)])
+    return rows.select(*columns, F.inline(each)).where("key is not null")
+
+
+def _kept(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """df as a written table, and its number of rows, counted on the way."""
+    seen = Observation()
+    return written(df.observe(seen, F.count("*").alias("n")), name), seen.get["n"]
+
+
+def _round(left: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame, int]:
+    """The rows that are settled as leaders, the rows still undecided, and the number of those."""
+    long = _long(left, keys, "seq")
+    least = long.groupBy("kind", "key").agg(F.min("seq").alias("least"))
+    seen = long.join(least, ["kind", "key"]).groupBy("seq").agg(F.collect_set("least").alias("least"))  # as many as there are keys
+    marked = written(left.join(seen, "seq", "left").withColumn("leads", F.coalesce(F.forall("least", lambda x: x == F.col("seq")), F.lit(True))), "round")
+    first = marked.where("leads").select("seq", *keys)
+    # Whoever shares a key with a leader finds it as the least of that key.
+    lost = marked.where("not leads").select("seq", F.explode("least").alias("least")).join(first.select(F.col("seq").alias("least")), "least", "left_semi")
+    rest, n = _kept(marked.where("not leads").join(lost.select("seq"), "seq", "left_anti").select("seq", *keys), "undecided")
+    return first, rest, n
+
+
+def components(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(seq, label): the least seq that shared keys lead to. Every pass takes the least label of all neighbours, lets the row that gave the
+    old label have it too, and then takes that label's own label, so that passes grow with the logarithm of the longest way."""
+    long = _long(rows, keys, "seq")
+    least = long.groupBy("kind", "key").agg(F.min("seq").alias("other"))
+    pairs = long.join(least, ["kind", "key"]).where("seq <> other").select("seq", "other").distinct()
+    edges = written(pairs.select(F.explode(F.array(F.struct("seq", "other"), F.struct(F.col("other").alias("seq"), F.col("seq").alias("other")))).alias("e")).select("e.*"), "edges")
+    labels = written(rows.select("seq", F.col("seq").alias("label")), "labels")
+    while True:
+        near = edges.join(labels.withColumnRenamed("seq", "other"), "other").groupBy("seq").agg(F.min("label").alias("near"))
+        told = labels.join(near, "seq", "left")
+        hook = told.where("near < label").groupBy(F.col("label").alias("seq")).agg(F.min("near").alias("hook"))  # a label hears of lower ones through all its rows
+        lower = told.join(hook, "seq", "left").select("seq", "label", F.least("label", F.coalesce("near", "label"), F.coalesce("hook", "label")).alias("low"))
+        jump = labels.select(F.col("seq").alias("low"), F.col("label").alias("next"))
+        seen = Observation()
+        moved = lower.join(jump, "low").select("seq", F.least("low", "next").alias("now"), "label").observe(seen, F.count_if(F.col("now") != F.col("label")).alias("n"))
+        after = written(moved.select("seq", F.col("now").alias("label")), "labels")
+        discard(labels)
+        labels = after
+        if not seen.get["n"]:
+            discard(edges)
+            return labels
+
+
+def _in_order(rows: DataFrame, keys: tuple[str, ...], tasks: int) -> DataFrame:
+    """The rows that are stored, found one after another within the tasks that hold their components."""
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         taken: list[set] = [set() for _ in keys]
@@ -62,70 +95,87 @@ def _in_order(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
                 if free:
                     for t, v in own:
                         t.add(v)
-            yield b[kept]
+            yield b[kept].drop(columns="label")
 
-    return rows.repartition(1).sortWithinPartitions("seq").mapInPandas(f, rows.schema)
+    columns = rows.select("seq", *keys)
+    return rows.select("seq", *keys, "label").repartition(tasks, "label").sortWithinPartitions("seq").mapInPandas(f, columns.schema)
 
 
-def leaders(rows: DataFrame, keys: tuple[str, ...] = KEYS, finish: int = FINISH) -> DataFrame:
+def leaders(rows: DataFrame, keys: tuple[str, ...] = KEYS, share: int = SHARE) -> DataFrame:
     """The rows (seq and keys) that are stored when rows arrive by seq and nothing is stored before."""
-    left = written(rows.select("seq", *keys), "undecided")
+    left, before = rows.select("seq", *keys), None
     done: list[DataFrame] = []
-    while left.count() > finish:
-        marked = left
-        for k in keys:
-            least = left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("seq").alias(f"least_{k}")).withColumnRenamed(k, "__k")
-            marked = marked.join(least, _spread(k) == F.col("__k"), "left").drop("__k")
-        first = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"least_{k}"), F.col("seq")) == F.col("seq") for k in keys])
-        marked = written(marked.withColumn("leads", first), "round")
-        discard(left)
-        new = marked.where("leads").select("seq", *keys)
-        rest = marked.where("not leads").select("seq", *keys)
-        for k in keys:
-            rest = rest.join(new.where(F.col(k).isNotNull()).select(F.col(k).alias("__k")).distinct(), _spread(k) == F.col("__k"), "left_anti")
-        left = written(rest, "undecided")
-        done.append(new)
-    return reduce(DataFrame.union, [*done, written(_in_order(left, keys), "settled")])
+    while True:
+        first, rest, n = _round(left, keys)
+        done.append(first)
+        if not n:
+            break
+        if before is None or 2 * n < before:  # rounds that settle most of the rows cost less than the search for components
+            left, before = rest, n
+            continue
+        labels = components(rest, keys)
+        large = labels.groupBy("label").count().where(F.col("count") > share).select("label")
+        placed = written(rest.join(labels, "seq").join(large.withColumn("large", F.lit(True)), "label", "left"), "placed")
+        tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // max(1, share)))
+        done.append(written(_in_order(placed.where("large is null"), keys, tasks), "settled"))
+        left, n = _kept(placed.where("large").select("seq", *keys), "undecided")
+        discard(rest, labels, placed)
+        if not n:
+            break
+        before = None
+    return reduce(DataFrame.union, done)
 
 
 def assign(incoming: DataFrame, stored: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """incoming with ``target``: the id of the stored row, or ``seq`` (as new_seq) of the earlier arrival, that it merges
-    into; both null for a row to insert. Both sides need scraped_at, id and the keys; incoming needs seq."""
-    rows = incoming
-    for k in keys:
-        rows = _matches(rows, first_stored(stored, k), k, f"stored_{k}")
-    known = reduce(lambda a, b: a | b, [F.col(f"stored_{k}").isNotNull() for k in keys])
-    rows = written(rows.withColumn("known", known), "matched")
-    new = written(leaders(rows.where("not known"), keys), "leaders")
-    for k in keys:
-        side = new.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("seq").alias("leader"))
-        rows = _matches(rows, side, k, f"new_{k}")
-    target, new_seq, free = F.lit(None).cast("string"), F.lit(None).cast("bigint"), F.lit(True)
-    for k in keys:
-        earlier = F.coalesce(F.col(f"new_{k}") < F.col("seq"), F.lit(False))
-        target = F.when(free & F.col(f"stored_{k}").isNotNull(), F.col(f"stored_{k}")).otherwise(target)
-        new_seq = F.when(free & F.col(f"stored_{k}").isNull() & earlier, F.col(f"new_{k}")).otherwise(new_seq)
-        free = free & F.col(f"stored_{k}").isNull() & ~earlier
-    return rows.withColumns({"target": target, "new_seq": new_seq}).drop("known", *[f"{s}_{k}" for k in keys for s in ("stored", "new")])
-
-
-def merged(assigned: DataFrame, stored: DataFrame) -> DataFrame:
-    """The store after the arrivals: stored rows and inserted ones, each with the time of its last
-    merge and the other sources that were merged into it, in order of arrival."""
+    into; both null for a row to insert. Both sides need scraped_at, id and the keys; incoming needs seq. Of the store only keys that arrive are looked at."""
+    long = _long(incoming, keys, "seq")
+    known = _long(stored.withColumn("stored_id", F.col("id")), keys, "stored_id", "scraped_at").join(long.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
+    known = known.groupBy("kind", "key").agg(F.min(F.struct("scraped_at", "stored_id")).alias("best"))
+    hits = written(long.join(known, ["kind", "key"]).select("seq", "kind", F.col("best.stored_id").alias("target")), "hits")
+    new = written(leaders(incoming.join(hits.select("seq"), "seq", "left_anti"), keys), "leaders")
+    led = _long(new, keys, "seq").groupBy("kind", "key").agg(F.min("seq").alias("new_seq"))
+    earlier = long.join(led, ["kind", "key"]).where("new_seq < seq")
+    # The first kind of key decides; for one kind, what is stored comes before what is new.
+    choice = F.struct("kind", F.col("new_seq").isNotNull().alias("new"), "target", "new_seq")
+    both = hits.withColumn("new_seq", F.lit(None).cast("bigint")).unionByName(earlier.select("seq", "kind", F.lit(None).cast("string").alias("target"), F.col("new_seq").cast("bigint")))
+    chosen = both.groupBy("seq").agg(F.min(choice).alias("best")).select("seq", "best.target", "best.new_seq")
+    return incoming.join(chosen, "seq", "left")
+
+
+def _told(assigned: DataFrame) -> DataFrame:
+    """(id, new_time, new_sources) of every row that others merge into."""
     inserts = assigned.where("target is null and new_seq is null")
     name = inserts.select(F.col("seq").alias("new_seq"), F.col("id").alias("new_id"))
     merges = assigned.where("target is not null or new_seq is not null").join(name, "new_seq", "left").select(F.coalesce("target", "new_id").alias("id"), "seq", F.col("scraped_at").alias("t"), F.col("source").alias("s"))
     # The first arrival of each source counts for the order, the last arrival of all for the time.
     per = merges.groupBy("id", "s").agg(F.min("seq").alias("first"), F.max(F.struct("seq", "t")).alias("last"))
     told = per.groupBy("id").agg(F.max("last").alias("last"), F.transform(F.array_sort(F.collect_list(F.struct("first", "s"))), lambda x: x["s"]).alias("sources"))  # a row for each source
-    told = told.select("id", F.col("last.t").alias("new_time"), F.col("sources").alias("new_sources"))
-    columns = stored.columns
-    rows = stored.unionByName(inserts.withColumn("merged_sources", F.array().cast("array<string>")).select(*columns))
-    rows = rows.join(told, "id", "left")
+    return told.select("id", F.col("last.t").alias("new_time"), F.col("sources").alias("new_sources"))
+
+
+def _after(rows: DataFrame, columns: list[str]) -> DataFrame:
     more = F.filter(F.coalesce("new_sources", F.array().cast("array<string>")), lambda s: s != F.col("source"))
     return rows.withColumns({"scraped_at": F.coalesce("new_time", "scraped_at"), "merged_sources": F.array_distinct(F.concat("merged_sources", more))}).select(*columns)
 
 
+def _inserted(assigned: DataFrame, columns: list[str]) -> DataFrame:
+    return assigned.where("target is null and new_seq is null").withColumn("merged_sources", F.array().cast("array<string>")).select(*columns)
+
+
+def merged(assigned: DataFrame, stored: DataFrame) -> DataFrame:
+    """The store after the arrivals: stored rows and inserted ones, each with the time of its last
+    merge and the other sources that were merged into it, in order of arrival."""
+    rows = stored.unionByName(_inserted(assigned, stored.columns))
+    return _after(rows.join(_told(assigned), "id", "left"), stored.columns)
+
+
+def changed(assigned: DataFrame, stored: DataFrame) -> DataFrame:
+    """Of ``merged`` only the rows that the arrivals change or add."""
+    told, columns = _told(assigned), stored.columns
+    return _after(stored.join(told, "id"), columns).unionByName(_after(_inserted(assigned, columns).join(told, "id", "left"), columns))
+
+
 def first_by(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first row of each key: the one-key case in one pass."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -1,7 +1,7 @@
 """What needs the network, behind functions the caller provides: resolving, rewriting, checking links.
 
-Each function is called once for each distinct input, in tasks, and never raises into the job. The
-defaults work offline.
+Each function is called once for each distinct input, in tasks, and never raises into the job. Answers are joined to all rows with
+that input; rows without one are spread over the join's tasks. The defaults work offline.
 """
 
 from __future__ import annotations
@@ -24,12 +24,18 @@ Rewrite = Callable[[str], tuple[int, str | None]]
 Status = Callable[[str], int | None]
 
 
+def _answered(rows: DataFrame, key: str, answers: DataFrame) -> DataFrame:
+    """rows with the answer to their key, if any: a blank one gets a key of its own that nothing equals, else all such rows would meet in one task."""
+    own = F.when(or_null(F.col(key)).isNotNull(), F.col(key)).otherwise(F.concat(F.lit("\0"), F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("string")))
+    return rows.withColumn("__k", own).join(answers.withColumnRenamed(key, "__k"), "__k", "left").drop("__k")
+
+
 def resolve(rows: DataFrame, call: Resolve | None = None, table: DataFrame | None = None, tasks: int = 8) -> DataFrame:
     """rows with apply_url and resolved_domain of their raw_apply_url: looked up in table (raw_apply_url,
     apply_url, resolved_domain), else asked of call, else the URL itself."""
     rows = rows.drop("apply_url", "resolved_domain")
     if table is not None:
-        return rows.join(table.select("raw_apply_url", "apply_url", "resolved_domain"), "raw_apply_url", "left")
+        return _answered(rows, "raw_apply_url", table.select("raw_apply_url", "apply_url", "resolved_domain"))
     if call is None:
         return rows.withColumns({"apply_url": or_null(F.col("raw_apply_url")), "resolved_domain": host(F.col("raw_apply_url"))})
 
@@ -45,7 +51,7 @@ def resolve(rows: DataFrame, call: Resolve | None = None, table: DataFrame | Non
 
     urls = rows.select("raw_apply_url").where("raw_apply_url <> ''").distinct().repartition(tasks)
     found = urls.mapInPandas(f, "raw_apply_url string, apply_url string, resolved_domain string")
-    return rows.join(found, "raw_apply_url", "left")
+    return _answered(rows, "raw_apply_url", found)
 
 
 def rewritten(text: str | None, call: Rewrite | None, retries: int = 2, wait: Callable[[float], None] = time.sleep) -> str | None:
@@ -75,8 +81,9 @@ def rewrite(rows: DataFrame, call: Rewrite | None = None, retries: int = 2, task
         for b in batches:
             yield b.assign(rewritten_description=[rewritten(t, call, retries) for t in b["description_original"]])
 
-    out = rows.select("id", "description_original").repartition(tasks).mapInPandas(f, "id string, description_original string, rewritten_description string")
-    return rows.drop("rewritten_description").join(out.select("id", "rewritten_description"), "id", "left")
+    texts = rows.select("description_original").where("description_original <> ''").distinct().repartition(tasks)
+    out = texts.mapInPandas(f, "description_original string, rewritten_description string")
+    return _answered(rows.drop("rewritten_description"), "description_original", out)
 
 
 def link_of() -> F.Column:

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions import text, url
-from postmill.schema import RECORD, conform, valid
+from postmill.schema import PARSED, conform, valid
 
 
 def finalize(rows: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Canonical records with id, fingerprint and scraped_at, and ``is_valid``; nothing is dropped here."""
+    """Canonical records with id, fingerprint and scraped_at, ``is_valid``, and url and ``corrupt`` of the source; nothing is dropped here."""
     c = F.col
     rows = rows.withColumns(
         {
@@ -21,7 +21,7 @@ def finalize(rows: DataFrame, as_of: dt.datetime) -> DataFrame:
             "id": text.job_id(c("source"), c("external_id")),
         }
     )
-    return conform(rows, RECORD).withColumn("is_valid", valid())
+    return conform(rows, PARSED).withColumn("is_valid", valid())
 
 
 def external(rows: DataFrame) -> DataFrame:
@@ -54,3 +54,39 @@ def with_errors(stats: DataFrame, names: list[str]) -> DataFrame:
     failed = stats.sparkSession.createDataFrame([(n,) for n in sorted(names)], "source string").select("source", *[F.lit(0).cast("bigint").alias(c) for c in counts], F.lit(1).cast("bigint").alias("error"))
     known = stats.withColumn("error", F.when(F.col("source").isNull(), len(names)).otherwise(F.col("error")).cast("bigint"))
     return known.unionByName(failed)
+
+
+#: The counters of a run, in the order of its report.
+COUNTERS = ("fetched", "normalized", "dropped_invalid", "external_kept", "downgraded_after_resolution", "inserted", "merged_duplicates", "rewritten", "error", "corrupt")
+
+
+def first_counters() -> list[F.Column]:
+    """What is counted of one source's records while they are written."""
+    read, valid = F.col("corrupt").isNull(), F.col("is_valid")
+    n = lambda test, name: F.count_if(F.coalesce(test, F.lit(False))).alias(name)
+    return [n(read, "fetched"), n(read & valid, "normalized"), n(read & ~valid, "dropped_invalid"), n(read & valid & (F.col("apply_type") == "EXTERNAL"), "external_kept"), n(~read, "corrupt")]
+
+
+def later_counters(name: str, test: F.Column, sources) -> list[F.Column]:
+    """What is counted of rows of several sources: a column for each one, ``name:source``."""
+    return [F.count_if(F.coalesce(test & (F.col("source") == s), F.lit(False))).alias(f"{name}:{s}") for s in sources] or [F.count("*").alias("rows")]
+
+
+def add(counts: dict[str, dict[str, int]], seen: dict[str, int]) -> None:
+    """Puts what later_counters counted into the sources' counts."""
+    for key, n in seen.items():
+        name, _, source = key.partition(":")
+        if source:
+            counts[source][name] = n
+
+
+def noted(counts: dict[str, dict[str, int]], failed: dict[str, str]) -> dict[str, dict[str, int]]:
+    """The counts with those of the sources that failed."""
+    return {s: {**dict(counts.get(s, {})), **({"error": 1} if s in failed else {})} for s in {**counts, **failed}}
+
+
+def counted(spark: SparkSession, counts: dict[str, dict[str, int]], failed: dict[str, str]) -> DataFrame:
+    """The report of a run: a row for each source, and the total with a null source."""
+    rows = {s: [n.get(c, 0) for c in COUNTERS] for s, n in sorted(noted(counts, failed).items())}
+    total = [sum(x) for x in zip(*rows.values(), strict=True)] or [0] * len(COUNTERS)
+    return spark.createDataFrame([(s, *n) for s, n in [*rows.items(), (None, total)]], "source string, " + ", ".join(f"{c} bigint" for c in COUNTERS))

@@ -17,7 +17,7 @@ from postmill.operators import dedup, network, records
 from postmill.operators.store import Store
 from postmill.plans import crawl, ingest, social
 from postmill.plans import jobs as J
-from postmill.runtime import shared_dir
+from postmill.runtime import shared_dir, written
 from postmill.schema import conform
 from postmill.sources import base, html
 
@@ -324,11 +324,15 @@ def upsert_snapshot(spark, d):
     jobs = o.select(key.alias("id"), F.lit("a").alias("source"), key.alias("external_id"), c("o_orderpriority").alias("title"), F.lit("x").alias("company"), F.lit("https://x/").alias("raw_apply_url"), F.concat(F.lit("https://x.example.com/"), key).alias("apply_url"), F.lit("x.example.com").alias("resolved_domain"), F.lit(dt.datetime(2024, 1, 1)).alias("scraped_at"), F.concat(F.lit("f"), key).alias("fingerprint"))
     store = Store(spark, f"{shared_dir(spark)}/orders-{uuid.uuid4().hex}")
     store.write(jobs.where(c("id").cast("bigint") % 3 != 0), "first")
-    stored = dedup.with_url_key(store.read())
     new = jobs.where(c("id").cast("bigint") % 2 == 0).withColumns({"seq": c("id").cast("bigint"), "id": F.concat(F.lit("b"), "id"), "source": F.lit("b"), "scraped_at": F.lit(dt.datetime(2024, 1, 2))})
     arriving = dedup.with_url_key(conform(new).withColumn("seq", c("external_id").cast("bigint")))
+
+    def change(stored: DataFrame) -> DataFrame:
+        stored = dedup.with_url_key(stored)
+        return dedup.changed(written(dedup.assign(arriving, stored), "assigned"), stored)
+
     for _ in range(2):  # a batch that comes again changes nothing
-        store.write(dedup.merged(dedup.assign(arriving, stored), stored), "second")
+        store.commit(change, "second")
     store.deactivate(store.read().where(c("external_id").cast("bigint") % 7 == 0))
     store.write(store.read().where("false"), "second")
     store.expire(1)
@@ -391,7 +395,7 @@ def ingest_run(spark, d):
 
 def ingest_stats(spark, d):
     store = Store(spark, f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}")
-    return ingest.ingest(_pages(spark, d), store, _AS_OF, names=["jobfound"])
+    return ingest.ingest(_pages(spark, d), store, _AS_OF, names=["jobfound"]).drop("corrupt")
 
 
 def liveness(spark, d):

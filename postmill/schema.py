@@ -45,6 +45,8 @@ _COLUMNS = [
 JOBS = T.StructType([T.StructField(n, t, True) for n, t, _, _ in _COLUMNS])
 #: A record in flight has every column but the sources merged into it.
 RECORD = T.StructType([f for f in JOBS if f.name != "merged_sources"])
+#: A record as its source gave it: with its page, and the reason why it is skipped.
+PARSED = T.StructType([*RECORD, T.StructField("url", _S), T.StructField("corrupt", _S)])
 PAGES = T.StructType([T.StructField("url", _S), T.StructField("html", _S)])
 APPLY_TYPES = ("EXTERNAL", "DIRECT", "UNKNOWN")
 
@@ -59,7 +61,7 @@ def conform(df: DataFrame, schema: T.StructType = JOBS) -> DataFrame:
     defaults = {n: d for n, _, _, d in _COLUMNS}
     have, out = set(df.columns), []
     for f in schema:
-        d = defaults[f.name]
+        d = defaults.get(f.name)
         lit = F.lit(None) if d is None else F.array().cast(f.dataType) if d == [] else F.lit(d)
         c = F.col(f.name).cast(f.dataType) if f.name in have else lit.cast(f.dataType)
         out.append((F.coalesce(c, lit.cast(f.dataType)) if d is not None else c).alias(f.name))

@@ -16,7 +16,8 @@ class Source(Protocol):
 
     entry_time, peek: the date of a sitemap's entry and of a fetched page, null where that doesn't end the walk
     parse:     pages (url, html) to one raw record for each posting worth keeping
-    normalize: raw records to canonical columns; odd values become nulls, never errors
+    normalize: raw records to canonical columns; odd values become nulls, never errors. A record that can't be read has the reason in
+               ``corrupt``, which is null for all others
     """
 
     source_name: str

@@ -11,7 +11,7 @@ from postmill.functions import classify, url
 from postmill.functions.salary import parse_salary
 from postmill.functions.text import comma_list, or_else, or_null, strip
 from postmill.sources.base import cutoff, register
-from postmill.sources.html import html_to_text
+from postmill.sources.html import text_of
 from postmill.sources.payload import buffer, text_row
 
 # The source's name and site, its sitemap's job locations, and where the object stands.
@@ -55,7 +55,7 @@ class Flat:
         tags = comma_list(c("skills"))
         role = or_null(c("domain"))
         tags = F.when(role.isNotNull() & ~F.coalesce(F.array_contains(tags, role), F.lit(False)), F.concat(tags, F.array(role))).otherwise(tags)
-        rows = raw.withColumns(
+        rows = raw.withColumn("body", text_of(c("description_html"))).withColumns(
             {
                 "title": or_else(c("title"), F.lit("")),
                 "company": or_else(c("companyName"), F.lit("")),
@@ -66,7 +66,7 @@ class Flat:
                 "seniority": classify.seniority(c("experience")),
                 "salary_raw": or_null(c("salary")),
                 "parsed": parse_salary(c("salary")),
-                "description_original": html_to_text(c("description_html")),
+                "description_original": c("body.text"),
                 "tags": tags,
                 "raw_apply_url": or_else(c("applyUrl"), F.lit("")),
                 "apply_type": url.apply_type(c("applyUrl"), SITE),
@@ -81,7 +81,7 @@ class Flat:
         return rows.select(
             F.lit(NAME).alias("source"), "url", "external_id", "title", "company", "location", "is_remote", "employment_type", "seniority", "parsed.salary_min", "parsed.salary_max", F.lit("INR").alias("salary_currency"),
             "parsed.salary_period", "salary_raw", "parsed.has_salary", "description_original", c("description_original").isNotNull().alias("description_available"), "tags", "apply_type", "raw_apply_url", "posted_at",
-            F.array_compact(F.array(*missing)).alias("source_fields_missing"),
+            F.array_compact(F.array(*missing)).alias("source_fields_missing"), c("body.error").alias("corrupt"),
         )
 
 

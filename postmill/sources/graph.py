@@ -11,7 +11,7 @@ from postmill.functions import classify, url
 from postmill.functions.salary import parse_salary
 from postmill.functions.text import comma_list, or_else, or_null, strip
 from postmill.sources.base import cutoff, register
-from postmill.sources.html import html_to_text, parts_of
+from postmill.sources.html import parts_of, text_of
 from postmill.sources.payload import job_posting
 
 # The source's name and site, and its sitemap's entries.
@@ -66,7 +66,8 @@ class Graph:
         rows = rows.withColumn("posted_at", classify.iso_time(_get("$.datePosted"))).withColumn("country", F.upper(strip(or_null(_get(f"{ADDRESS}.addressCountry")))))
         keep = classify.in_scope(_get("$.title"), _get("$.skills")) & (F.col("country").isNull() | (F.col("country") == "IN")) & (F.col("posted_at") >= cutoff(as_of, max_age_hours))
         rows = rows.where(keep).withColumn("parts", parts_of(F.col("html"), SITE))
-        return rows.select("url", "posting", "posted_at", url.slug(F.col("url")).alias("slug"), "parts.apply_url", "parts.description_html")
+        c = F.col
+        return rows.select("url", "posting", "posted_at", url.slug(F.col("url")).alias("slug"), "parts.apply_url", "parts.description_html", c("parts.error").alias("page_error"))
 
     def normalize(self, raw: DataFrame) -> DataFrame:
         c = F.col
@@ -81,8 +82,8 @@ class Graph:
                 "location": or_null(F.concat_ws(", ", city, region)),
                 "employment_raw": employment_text(),
                 "salary_raw": salary_text(),
-                "body": html_to_text(c("description_html")),
-                "snippet": html_to_text(_get("$.description")),
+                "body": text_of(c("description_html")),
+                "snippet": text_of(_get("$.description")),
                 "tags": comma_list(_get("$.skills")),
                 "raw_apply_url": or_else(c("apply_url"), F.lit("")),
                 "apply_type": url.apply_type(c("apply_url"), SITE),
@@ -94,7 +95,7 @@ class Graph:
                 "is_remote": classify.inferred_remote(c("title"), c("location"), c("slug"), c("employment_raw")),
                 "seniority": classify.seniority_or_title(text, F.when(text.isNull(), months()), c("title")),
                 "parsed": parse_salary(c("salary_raw")),
-                "description_original": F.coalesce("body", "snippet"),
+                "description_original": F.coalesce("body.text", "snippet.text"),
             }
         )
         none = ~c("parsed.has_salary")
@@ -106,7 +107,7 @@ class Graph:
         return rows.select(
             F.lit(NAME).alias("source"), "url", "external_id", "title", "company", "location", "is_remote", "employment_type", "seniority", "parsed.salary_min", "parsed.salary_max", "salary_currency",
             "parsed.salary_period", "salary_raw", "parsed.has_salary", "description_original", c("description_original").isNotNull().alias("description_available"), "tags", "apply_type", "raw_apply_url", "posted_at",
-            F.array_compact(F.array(*missing)).alias("source_fields_missing"),
+            F.array_compact(F.array(*missing)).alias("source_fields_missing"), F.coalesce("page_error", "body.error", F.when(c("body.text").isNull(), c("snippet.error"))).alias("corrupt"),
         )
 
 

@@ -1,7 +1,11 @@
-"""HTML trees in Arrow batches: texts, apply links and description blocks."""
+"""HTML trees in Arrow batches: texts, apply links and description blocks.
+
+Markup that the parser gives up on costs its own row only: the functions of columns return what they made and the error, of which one is null.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
@@ -117,19 +121,38 @@ def _host(url: str) -> str:
         return ""
 
 
-PARTS = T.StructType([T.StructField("apply_url", T.StringType()), T.StructField("description_html", T.StringType())])
+def attempted(f: Callable, x):
+    """(f(x), None), or (None, the error): whatever a page holds, the others of its batch are read."""
+    try:
+        return f(x), None
+    except Exception as e:
+        return None, f"{type(e).__name__}: {e}"
 
 
-def html_to_text(c: Column) -> Column:
+TEXT = T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())])
+PARTS = T.StructType([T.StructField("apply_url", T.StringType()), T.StructField("description_html", T.StringType()), T.StructField("error", T.StringType())])
+
+
+def text_of(c: Column) -> Column:
+    """(text, error) of a fragment."""
+
     def f(col: pa.Array) -> pa.Array:
-        return pa.array([to_text(x) for x in col.to_pylist()], pa.string())
+        got = [attempted(to_text, x) for x in col.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([a for a, _ in got], pa.string()), pa.array([e for _, e in got], pa.string())], names=["text", "error"])
+
+    return F.arrow_udf(f, TEXT)(c)
 
-    return F.arrow_udf(f, T.StringType())(c)
+
+def html_to_text(c: Column) -> Column:
+    return text_of(c)["text"]
 
 
 def parts_of(html: Column, own: str) -> Column:
+    """(apply_url, description_html, error) of a page."""
+
     def f(col: pa.Array) -> pa.Array:
-        got = [page_parts(x, own) for x in col.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.string())], names=["apply_url", "description_html"])
+        got = [attempted(lambda p: page_parts(p, own), x) for x in col.to_pylist()]
+        columns = zip(*[((a or (None, None))[0], (a or (None, None))[1], e) for a, e in got], strict=True) if got else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(v, pa.string()) for v in columns], names=["apply_url", "description_html", "error"])
 
     return F.arrow_udf(f, PARTS)(html)

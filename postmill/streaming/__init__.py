@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +20,23 @@ def page_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
     return spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark wrote into a checkpoint when its query was first started."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/metadata")
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["id"]
+    finally:
+        stream.close()
+
+
 def ingest_stream(pages: DataFrame, store: Store, checkpoint: str, clock: Callable[[], dt.datetime], settings: Settings | None = None, **network) -> DataStreamWriter:
-    """A writer to start with a trigger, as ``.trigger(availableNow=True)``. The batch id names the snapshot, so a batch
-    that is run again changes nothing. Postings are dropped by age at the clock, not by a watermark."""
+    """A writer to start with a trigger, as ``.trigger(availableNow=True)``. The query's id, which its checkpoint keeps, and the batch's number
+    name the change, so a batch that is run again changes nothing, and other streams on the same store are told apart.
+    Postings are dropped by age at the clock, not by a watermark."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        ingest(df, store, clock(), settings, name=f"batch-{batch_id}", **network)
+        ingest(df, store, clock(), settings, name=f"{query_id(df.sparkSession, checkpoint)}-{batch_id}", **network)
 
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 

@@ -6,13 +6,14 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postmill.config import Settings
 from postmill.functions import display
 from postmill.operators import dedup
 from postmill.operators.store import Store
 from postmill.plans import catalog, client, crawl, ingest, jobs, social
-from postmill.schema import JOBS, PUBLIC
+from postmill.schema import JOBS, PUBLIC, conform
 from postmill.sources import base
 from postmill.sources.base import get_source, run
 from postmill.sources.html import page_parts, to_text
@@ -114,9 +115,9 @@ def random_rows(rng, n, keys):
     return [{"seq": i, "id": f"i{rng.randrange(3 * n)}", "fingerprint": f"f{pick()}", "url_key": None if rng.random() < 0.3 else f"u{pick()}", "scraped_at": dt.datetime(2026, 1, 1) + dt.timedelta(minutes=i), "source": f"s{pick() % 3}"} for i in range(n)]
 
 
-@pytest.mark.parametrize(("seed", "finish"), [(0, 0), (1, 0), (2, 12), (3, dedup.FINISH)])
-def test_dedup_is_the_sequential_rule(spark, monkeypatch, seed, finish):
-    monkeypatch.setattr(dedup.leaders, "__defaults__", (dedup.KEYS, finish))
+@pytest.mark.parametrize(("seed", "share"), [(0, 0), (1, 1), (2, 4), (3, dedup.SHARE)])
+def test_dedup_is_the_sequential_rule(spark, monkeypatch, seed, share):
+    monkeypatch.setattr(dedup.leaders, "__defaults__", (dedup.KEYS, share))
     rng = random.Random(seed)
     rows = random_rows(rng, 40, 14)
     seen, stored = set(), []
@@ -135,7 +136,7 @@ def test_dedup_cases(spark):
     def case(*keys):
         rows = [{"seq": i, "id": f"i{i}", "fingerprint": f, "url_key": u} for i, (f, u) in enumerate(keys)]
         df = spark.createDataFrame([(r["seq"], r["fingerprint"], r["url_key"], r["id"]) for r in rows], "seq bigint, fingerprint string, url_key string, id string")
-        found = [sorted(r.seq for r in dedup.leaders(df, finish=n).collect()) for n in (0, dedup.FINISH)]
+        found = [sorted(r.seq for r in dedup.leaders(df, share=n).collect()) for n in (0, dedup.SHARE)]
         assert found[0] == found[1]
         return found[0]
 
@@ -193,7 +194,11 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # the second run finds no new files
         q = ingest_stream(page_stream(spark, f"{tmp_path}/in"), store, f"{tmp_path}/cp", lambda: AS_OF).trigger(availableNow=True).start()
         q.awaitTermination()
-    assert store.read().count() == 2 and store.version() == "v-batch-0"
+    assert store.read().count() == 2 and [n for n, _ in store.history()] == [0]
+    # A second stream on the same store, whose batches begin at 0 again.
+    pages_of(spark, flat_page(slug="other", title="Data Engineer", applyUrl="https://careers.acme.com/2")).write.parquet(f"{tmp_path}/in2")
+    ingest_stream(page_stream(spark, f"{tmp_path}/in2"), store, f"{tmp_path}/cp2", lambda: AS_OF).trigger(availableNow=True).start().awaitTermination()
+    assert store.read().count() == 3 and len({v for _, v in store.history()}) == 2
 
 
 def test_early_stop(spark):
@@ -217,9 +222,9 @@ def test_early_stop_of_any_ids(spark, tmp_path):
 
 def test_store_survives_a_crash_and_a_replay(spark, tmp_path, monkeypatch):
     store = Store(spark, f"file://{tmp_path}/jobs")
-    ingest.ingest(pages_of(spark, flat_page()), store, AS_OF, names=["jobfound"], name="one")
+    first = ingest.ingest(pages_of(spark, flat_page()), store, AS_OF, names=["jobfound"], name="one").collect()
     with monkeypatch.context() as m:
-        m.setattr(Store, "_point", lambda *a: (_ for _ in ()).throw(OSError("lost")))  # after the snapshot, before its pointer
+        m.setattr(Store, "_point", lambda *a: (_ for _ in ()).throw(OSError("lost")))  # after the rows, before the manifest
         with pytest.raises(OSError):
             store.write(store.read().limit(0), "two")
     assert store.version() == "v-one" and store.read().count() == 1
@@ -227,6 +232,109 @@ def test_store_survives_a_crash_and_a_replay(spark, tmp_path, monkeypatch):
     assert store.version() == "v-two" and store.read().count() == 0
     assert store.write(store.read("v-one"), "one") == "v-one" and store.version() == "v-two"  # known, though not current
     assert store.expire(1) == ["v-one"] and store.write(store.read(), "one") == "v-one" and store.version() == "v-two"
+    # A run that comes again isn't run: its counters are those of the first time.
+    monkeypatch.setattr(ingest, "canonical", None)
+    assert ingest.ingest(pages_of(spark, flat_page()), store, AS_OF, names=["jobfound"], name="one").collect() == first
+
+
+def jobs_of(spark, *ids, source="a"):
+    rows = [(i, source, i, "Engineer", "Acme", f"https://x.example.com/{i}", AS_OF, f"f{i}") for i in ids]
+    return conform(spark.createDataFrame(rows, "id string, source string, external_id string, title string, company string, raw_apply_url string, scraped_at timestamp, fingerprint string"))
+
+
+def test_a_name_is_marked_by_whoever_comes_next(spark, tmp_path, monkeypatch):
+    """A writer dies between its commit and its mark."""
+    store = Store(spark, f"file://{tmp_path}/jobs")
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_mark", lambda *a: None)
+        store.commit(lambda rows: jobs_of(spark, "1"), "one")
+    assert store.has("one")  # it is the last commit
+    store.commit(lambda rows: jobs_of(spark, "2"), "two")
+    calls = []
+    store.commit(lambda rows: calls.append(1) or jobs_of(spark, "1", source="b"), "one")
+    assert not calls and store.has("one") and sorted(r.source for r in store.read().collect()) == ["a", "a"]
+
+
+def test_two_writers_keep_both_rows(spark, tmp_path):
+    """The second writer commits between the first one's reading and writing."""
+    store, other = (Store(spark, f"file://{tmp_path}/jobs") for _ in range(2))
+    store.write(jobs_of(spark, *map(str, range(40))), "start")
+    seen = []
+
+    def change(rows):
+        seen.append(rows.count())
+        if len(seen) == 1:
+            other.commit(lambda r: jobs_of(spark, "q"), "q")
+        return jobs_of(spark, "p")
+
+    store.commit(change, "p")
+    assert seen == [40, 41] and {"p", "q"} <= {r.id for r in store.read().collect()}
+    assert [n for n, _ in store.history()] == [0, 1, 2] and store.read("v-q").count() == 41
+    assert not store._point(2, {}) and store.version() == "v-p"  # no number is given twice
+
+
+def test_a_change_copies_the_buckets_it_touches(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/jobs", buckets=8)
+    store.write(jobs_of(spark, *map(str, range(400))), "start")
+    before = set(store.read().inputFiles())
+    store.deactivate(spark.createDataFrame([("7",), ("none",)], "id string"))
+    after = set(store.read().inputFiles())
+    assert len(before) == 8 and len(before - after) == 1 == len(after - before)
+    assert [r.id for r in store.read().where("not is_active").collect()] == ["7"] and store.read().count() == 400
+    store.deactivate(spark.createDataFrame([("7",)], "id string"))  # nothing to change
+    assert set(store.read().inputFiles()) == after
+    assert store.expire(1) == ["v-start"] and store.read().count() == 400
+
+
+def test_a_lookup_skips_row_groups(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/jobs", buckets=4)
+    store.write(jobs_of(spark, *(f"{k:05d}" for k in range(0, 4000, 2))))
+    got = store.lookup("00006")
+    assert [r.id for r in got.collect()] == ["00006"] and len(got.inputFiles()) == 1
+
+    def scanned(df):
+        plan = df._jdf.queryExecution().executedPlan()
+        df._jdf.queryExecution().toRdd().count()
+        found = []
+
+        def walk(p):
+            if p.nodeName().startswith("Scan"):
+                found.append(p.metrics().apply("numOutputRows").value())
+            for i in range(p.children().size()):
+                walk(p.children().apply(i))
+
+        walk(plan)
+        return sum(found)
+
+    # An id within the file's range, and a fingerprint, that are not there: their Bloom filters leave no row group to read.
+    assert scanned(store.lookup("00007")) == 0 < scanned(store.lookup("00006"))
+    assert scanned(store.read().where("fingerprint = 'f00007'")) == 0 < scanned(store.read().where("fingerprint = 'f00006'"))
+
+
+def test_columns_are_resolved_at_reading(spark, tmp_path, monkeypatch):
+    """A store that was written before one column and after another."""
+    from postmill.operators import store as module
+
+    old = T.StructType([f for f in JOBS if f.name != "rewritten_description"] + [T.StructField("dropped", T.StringType())])
+    store = Store(spark, f"file://{tmp_path}/jobs")
+    with monkeypatch.context() as m:
+        m.setattr(module, "conform", lambda df, schema=None: conform(df, old))
+        store.write(jobs_of(spark, "1", "2", "3"))
+    assert store.read().columns == JOBS.names and store.read().where("rewritten_description is null").count() == 3
+    store.commit(lambda rows: rows.where("id = '2'").withColumn("rewritten_description", F.lit("new")))
+    assert sorted((r.id, r.rewritten_description) for r in store.read().collect()) == [("1", None), ("2", "new"), ("3", None)]
+
+
+def test_a_bad_page_costs_one_record(spark, tmp_path):
+    bad = "<p>a<![bogus[x]]>b"
+    pages = pages_of(spark, flat_page(), flat_page(body=bad, slug="bad"), flat_page(slug="c", title="QA Engineer", applyUrl="https://careers.acme.com/3"), graph_page(), graph_page(block=f'<div class="jobContent_jobContent__a">{bad}</div>'))
+    store = Store(spark, f"file://{tmp_path}/jobs")
+    stats = {r.source: r for r in ingest.ingest(pages, store, AS_OF, name="run").collect()}
+    assert [(stats[s].fetched, stats[s].corrupt, stats[s].inserted, stats[s].error) for s in ("jobfound", "talentd", None)] == [(2, 1, 2, 0), (1, 1, 1, 0), (3, 2, 3, 0)]
+    skipped = store.skipped().orderBy("url").collect()
+    assert [(r.source, r.url[-2]) for r in skipped] == [("jobfound", "1"), ("talentd", "4")] and all("Error" in r.error for r in skipped)
+    ingest.ingest(pages_of(spark, flat_page()), store, AS_OF, name="later")
+    assert store.skipped().count() == 2
 
 
 def test_a_failing_source_leaves_the_others(spark, tmp_path, monkeypatch):
