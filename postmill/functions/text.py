@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postmill.functions.scripts import ascii_letters
+
 
 def strip(c: Column) -> Column:
     """Trims all Unicode white space, not only spaces."""
@@ -22,28 +22,9 @@ def or_else(c: Column, other: Column) -> Column:
     return F.coalesce(or_null(c), other)
 
 
-def _folds() -> tuple[str, str]:
-    """Latin letters with marks and their plain forms, for one translate."""
-    marked, plain = [], []
-    for c in map(chr, range(0xC0, 0x250)):
-        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if len(base) == 1 and base.isascii() and base.isalnum():
-            marked.append(c)
-            plain.append(base)
-    return "".join(marked), "".join(plain)
-
-
-_MARKED, _PLAIN = _folds()
-# Letters whose plain form has two letters, or no mark to drop.
-_SPELLED = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th"), ("ø", "o"), ("đ", "d"), ("ł", "l"), ("ð", "d"), ("ı", "i"))
-
-
 def slugify(c: Column) -> Column:
-    """Lower-case ASCII words joined by single dashes. Letters of non-Latin scripts separate words."""
-    x = F.translate(F.lower(c), _MARKED, _PLAIN)
-    for a, b in _SPELLED:
-        x = F.replace(x, F.lit(a), F.lit(b))
-    x = F.regexp_replace(x, r"(?<=\d),(?=\d)", "")
+    """Lower-case ASCII words joined by single dashes; letters of other scripts are spelled, see scripts."""
+    x = F.regexp_replace(ascii_letters(c), r"(?<=\d),(?=\d)", "")
     return F.regexp_replace(F.regexp_replace(F.lower(x), r"[^a-z0-9]+", "-"), r"^-|-$", "")
 
 

@@ -425,10 +425,34 @@ def flagship(spark, d):
     return per.withColumn("place", F.row_number().over(w).cast("bigint"))
 
 
+#: One job title in six scripts, and its slug.
+_TITLES = (("Ingénieur", "ingenieur"), ("Инженер-программист", "inzhener-programmist"), ("Μηχανικός", "mekhanikos"), ("सॉफ्टवेयर अभियंता", "sophttveyr-abhiyntaa"), ("軟體工程師", "u8edf-u9ad4-u5de5-u7a0b-u5e2b"), ("소프트웨어 엔지니어", "sopeuteuweeo-enjinieo"))
+
+
+def fingerprint_scripts(spark, d):
+    """Titles in six scripts, numbered: each has a fingerprint of its own."""
+    k = c("p_partkey")
+    title = F.concat_ws(" ", F.get(F.array(*[F.lit(t) for t, _ in _TITLES]), (k % len(_TITLES)).cast("int")), F.floor(k / len(_TITLES)).cast("string"))
+    rows = _read(spark, d, "part").select("p_partkey", text.slugify(title).alias("slug"), text.fingerprint(title, c("p_brand"), F.lit(None).cast("string")).alias("fingerprint"))
+    return rows.withColumn("alike", F.count("*").over(Window.partitionBy("fingerprint")))
+
+
+def page_errors(spark, d):
+    """Pages of which every tenth has markup that the parser gives up on: the others' rows are stored, and it is listed with the reason."""
+    k = F.regexp_extract("url", r"(\d+)$", 1).cast("bigint")
+    told = F.when(k % 10 == 3, r'\"description\":\"<p>a<![bogus[x]]>b</p>\",').otherwise(r'\"description\":\"<p>Told</p>\",')
+    pages = _pages(spark, d).withColumn("html", F.replace("html", F.lit(r'{\"initialJob\":{'), F.concat(F.lit(r'{\"initialJob\":{'), told)))
+    store = Store(spark, f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}")
+    ingest.ingest(pages, store, _AS_OF, names=["jobfound"])
+    none = F.lit(None).cast("string")
+    stored = store.read().select("title", "description_original", none.alias("url"), none.alias("error"))
+    return stored.unionByName(store.skipped().select(none.alias("title"), none.alias("description_original"), "url", F.regexp_extract("error", r"^(\w+)", 1).alias("error")))
+
+
 QUERIES = {f.__name__: f for f in (
     flagship, list_filter_page, list_total, sort_oldest_first, lookup_by_id, search_or, tags_contains, url_host, url_path_key, aggregator_flag, apply_type, recheck_resolved, fingerprint, job_id,
     dedup_exact, dedup_sources, dedup_greedy, recency_window, early_stop_prefix, html_title_links, html_text, json_field, salary_parse, seniority_bucket, employment_map, remote_scope,
-    missing_fields, similar_top4, run_stats, display_fields, display_times, digest_lines, digest_post, upsert_snapshot, liveness, resolve_memo, page_records, ingest_run, ingest_stats, graph_records, job_filters, page_texts, similar_jobs, rewrite_new, dedup_stored, crawl_flat, link_check,
+    missing_fields, similar_top4, run_stats, display_fields, display_times, digest_lines, digest_post, upsert_snapshot, liveness, resolve_memo, page_records, ingest_run, ingest_stats, graph_records, job_filters, page_texts, similar_jobs, rewrite_new, dedup_stored, crawl_flat, link_check, fingerprint_scripts, page_errors,
 )}
 
 _HOST = r"nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '')"
@@ -529,3 +553,7 @@ SQL["graph_records"] = """SELECT 'p-' || k AS external_id, title, 'Acme' AS comp
   CASE k % 5 WHEN 0 THEN '' WHEN 1 THEN 'https://x.io/' ELSE 'https://no.io/' END AS raw_apply_url, TIMESTAMP '2024-01-01 14:30:00' AS posted_at, k % 5 <> 0 AS is_valid, 'Java|SQL' AS tags
   FROM (SELECT p_partkey AS k, p_partkey % 10 + 1 AS low, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 10 + 1 + p_partkey % 4 END AS high, p_partkey % 3 <> 2 AS paid, p_partkey % 150 // 12 AS y,
     CASE p_partkey % 4 WHEN 0 THEN 'Software Engineer ' WHEN 1 THEN 'Fresher Developer ' ELSE 'Remote SDE ' END || p_partkey AS title FROM part WHERE p_partkey % 4 <> 2 AND p_partkey % 7 <> 0 AND p_partkey % 13 <> 0)"""
+_TITLE_SLUG = "CASE p_partkey % 6 " + " ".join(f"WHEN {n} THEN '{slug}'" for n, (_, slug) in enumerate(_TITLES)) + " END || '-' || p_partkey // 6"
+SQL["fingerprint_scripts"] = f"SELECT p_partkey, {_TITLE_SLUG} AS slug, sha256({_TITLE_SLUG} || '|' || {_SLUG.format('p_brand')} || '|unknown') AS fingerprint, CAST(1 AS BIGINT) AS alike FROM part"
+SQL["page_errors"] = f"""SELECT title, 'Told' AS description_original, NULL AS url, NULL AS error FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY sha256('jobfound:' || external_id)) AS place FROM ({_PARTS}) WHERE u <> '' AND k % 6 <> 0 AND k % 10 <> 3) WHERE place = 1
+  UNION ALL SELECT NULL, NULL, 'https://jobfound.org/job/' || k, 'AssertionError' FROM ({_PARTS}) WHERE k % 10 = 3"""

@@ -49,3 +49,14 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_dedup_greedy_is_the_sequential_rule(spark):
+    """Over all arrivals, one after another."""
+    taken, kept = set(), []
+    for r in sorted(catalog._arrivals(spark, DIR).collect(), key=lambda r: r.seq):
+        own = {(k, r[k]) for k in ("fingerprint", "url_key", "id") if r[k] is not None}
+        if not own & taken:
+            taken |= own
+            kept.append((r.seq, r.id))
+    assert sorted(tuple(r) for r in catalog.dedup_greedy(spark, DIR).collect()) == kept

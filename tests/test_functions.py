@@ -114,3 +114,25 @@ def test_rewriter():
     assert rewritten("text", answers((200, "  "))[0]) is None
     assert rewritten("  ", answers()[0]) is None and rewritten("x", None) is None
     assert rewritten("text", answers((0, None), (0, None), (0, None))[0], 2, lambda s: None) is None
+
+
+def test_slugs_of_other_scripts(spark):
+    said = {
+        "Инженер-программист": "inzhener-programmist", "Объявление, щит": "obiavlenie-shchit", "Їжак Ёлка": "yizhak-iolka", "Μηχανικός Λογισμικού": "mekhanikos-logismikou", "Ψυχή": "psukhe", "अभियंता": "abhiyntaa", "প্রকৌশলী": "prkaushlii",
+        "エンジニア": "enjinia", "さくら": "sakura", "한국어": "hangugeo", "מהנדס": "mhnds", "مهندس": "mhnds", "پژوهش": "pzhwhsh", "工程师": "u5de5-u7a0b-u5e08", "ครู": "ue04-ue23-ue39", "Ｆｕｌｌ １２": "full-12", "Đà Nẵng": "da-nang", "Straße": "strasse", "C++ / C#": "c-c",
+        "1,200 roles": "1200-roles", "🙂": "", "": "", "𐍈": "u10348",
+    }
+    got = dict(zip(said, run(spark, list(said), text.slugify), strict=True))
+    assert got == said
+    assert run(spark, [None, "Ω"], text.slugify) == [None, "o"]
+
+
+def test_every_letter_leaves_something(spark):
+    """One title for each letter of the first planes: none is empty, but for signs that have no sound, and Han ones are all apart."""
+    import unicodedata
+
+    letters = [chr(c) for c in range(0x100, 0x3000) if unicodedata.category(chr(c)) in ("Ll", "Lo")]
+    got = dict(zip(letters, run(spark, [f"x{ch}" for ch in letters], text.slugify), strict=True))
+    assert {ch for ch, v in got.items() if v == "x"} <= {*"ъьء", *(ch for ch in letters if 0x900 <= ord(ch) <= 0xD7F)}
+    han = [chr(c) for c in range(0x4E00, 0x4F00)]
+    assert len(set(run(spark, han, text.slugify))) == len(han)
