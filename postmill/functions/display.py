@@ -99,6 +99,16 @@ def json_ld() -> Column:
     return F.replace(F.to_json(payload), F.lit("<"), F.lit("\\u003c"))
 
 
+def pages(total: Column, limit: Column, offset: Column, window: int = 2) -> Column:
+    """The number of pages, the current one, and the numbers around it, none where it lies far beyond the last; null for a single page."""
+    count = F.ceil(total / limit).cast("bigint")
+    current = (F.floor(offset / limit) + 1).cast("bigint")
+    first, last = F.greatest(F.lit(1).cast("bigint"), current - window), F.least(count, current + window)
+    some = first <= last
+    shown = F.when(some, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(count > 1, F.struct(count.alias("pages"), current.alias("current"), shown.alias("shown"), (some & (first > 1)).alias("gap_before"), (some & (last < count)).alias("gap_after")))
+
+
 def page_numbers(total: int, limit: int, offset: int, window: int = 2) -> dict | None:
     """Pages, the current one, and the numbers around it; None for a single page."""
     pages = -(-total // limit)

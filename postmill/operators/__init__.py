@@ -1 +1,8 @@
 """Operators on canonical records."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to workers whole, so that it need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,15 +6,19 @@ that input; rows without one are spread over the join's tasks. The defaults work
 
 from __future__ import annotations
 
+import datetime as dt
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postmill.functions.text import or_else, or_null
 from postmill.functions.url import host
+from postmill.operators.store import Store
+from postmill.runtime import written
 
 #: raw URL to (final URL, its host), or nulls where it can't be reached. The status doesn't matter.
 Resolve = Callable[[str], tuple[str | None, str | None]]
@@ -30,28 +34,68 @@ def _answered(rows: DataFrame, key: str, answers: DataFrame) -> DataFrame:
     return rows.withColumn("__k", own).join(answers.withColumnRenamed(key, "__k"), "__k", "left").drop("__k")
 
 
-def resolve(rows: DataFrame, call: Resolve | None = None, table: DataFrame | None = None, tasks: int = 8) -> DataFrame:
-    """rows with apply_url and resolved_domain of their raw_apply_url: looked up in table (raw_apply_url,
-    apply_url, resolved_domain), else asked of call, else the URL itself."""
-    rows = rows.drop("apply_url", "resolved_domain")
-    if table is not None:
-        return _answered(rows, "raw_apply_url", table.select("raw_apply_url", "apply_url", "resolved_domain"))
-    if call is None:
-        return rows.withColumns({"apply_url": or_null(F.col("raw_apply_url")), "resolved_domain": host(F.col("raw_apply_url"))})
+#: What a memo of resolutions holds: an answer, or nulls where there was none, and when it was asked for.
+RESOLUTIONS = T.StructType([T.StructField(n, T.StringType()) for n in ("raw_apply_url", "apply_url", "resolved_domain")] + [T.StructField("asked_at", T.TimestampType())])
+
+
+def memo_at(spark: SparkSession, path: str) -> Store:
+    """A stored memo of resolutions, one row for each URL that was ever asked for."""
+    return Store(spark, path, schema=RESOLUTIONS, key="raw_apply_url")
+
+
+def _by_host(urls: DataFrame, column: str, tasks: int | None) -> DataFrame:
+    """urls dealt so that all of a host are in one task, one after another: a host is asked by one client at a time."""
+    n = tasks or int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return urls.withColumn("__host", F.coalesce(host(F.col(column)), F.lit(""))).repartition(n, "__host").sortWithinPartitions("__host", column)
+
+
+def _paced(hosts, delay: float) -> Iterator[None]:
+    """Waits between two URLs of one host."""
+    last = None
+    for h in hosts:
+        if delay and h == last:
+            time.sleep(delay)
+        last = h
+        yield
+
+
+def asked(urls: DataFrame, call: Resolve, tasks: int | None = None, delay: float = 0.0) -> DataFrame:
+    """(raw_apply_url, apply_url, resolved_domain) of distinct URLs, each asked for once, with a pause between two of one host."""
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for u in b["raw_apply_url"]:
+            for u, _ in zip(b["raw_apply_url"], _paced(b["__host"], delay), strict=True):
                 try:
                     out.append((u, *call(u)))
                 except Exception:
                     out.append((u, None, None))
             yield pd.DataFrame(out, columns=["raw_apply_url", "apply_url", "resolved_domain"])
 
-    urls = rows.select("raw_apply_url").where("raw_apply_url <> ''").distinct().repartition(tasks)
-    found = urls.mapInPandas(f, "raw_apply_url string, apply_url string, resolved_domain string")
-    return _answered(rows, "raw_apply_url", found)
+    return _by_host(urls, "raw_apply_url", tasks).mapInPandas(f, "raw_apply_url string, apply_url string, resolved_domain string")
+
+
+def resolve(rows: DataFrame, call: Resolve | None = None, table: DataFrame | None = None, tasks: int | None = None, memo: Store | None = None, as_of: dt.datetime | None = None, keep_hours: float = 720, keep_failed_hours: float = 24, delay: float = 0.0) -> DataFrame:
+    """rows with apply_url and resolved_domain of their raw_apply_url: looked up in table (raw_apply_url,
+    apply_url, resolved_domain), else asked of call, else the URL itself. With a memo, only URLs are asked for whose answer in it is missing, or older at as_of than
+    an answer, or a failure, is kept; what is learned is committed to it."""
+    rows = rows.drop("apply_url", "resolved_domain")
+    answer = ["raw_apply_url", "apply_url", "resolved_domain"]
+    if table is not None:
+        return _answered(rows, "raw_apply_url", table.select(*answer))
+    if call is None:
+        return rows.withColumns({"apply_url": or_null(F.col("raw_apply_url")), "resolved_domain": host(F.col("raw_apply_url"))})
+    urls = rows.select("raw_apply_url").where("raw_apply_url <> ''").distinct()
+    if memo is None:
+        return _answered(rows, "raw_apply_url", asked(urls, call, tasks, delay))
+    if as_of is None:
+        raise ValueError("a memo needs a time to judge its answers by")
+    ago = lambda hours: F.lit(as_of - dt.timedelta(hours=hours))
+    fresh = F.col("asked_at") >= F.when(F.col("apply_url").isNull(), ago(keep_failed_hours)).otherwise(ago(keep_hours))
+    known = written(memo.read().join(urls, "raw_apply_url", "left_semi").where(fresh), "known")
+    found = written(asked(urls.join(known, "raw_apply_url", "left_anti"), call, tasks, delay).withColumn("asked_at", F.lit(as_of)), "found")
+    memo.commit(lambda _: found)
+    return _answered(rows, "raw_apply_url", known.unionByName(found).select(*answer))
 
 
 def rewritten(text: str | None, call: Rewrite | None, retries: int = 2, wait: Callable[[float], None] = time.sleep) -> str | None:
@@ -90,24 +134,22 @@ def link_of() -> F.Column:
     return or_else(F.col("apply_url"), F.col("raw_apply_url"))
 
 
-def statuses(jobs: DataFrame, call: Status, tasks: int = 8, delay: float = 0.0) -> DataFrame:
-    """(link, status, failed) for each distinct link of an active job; a task waits for delay after each one."""
+def statuses(jobs: DataFrame, call: Status, tasks: int | None = None, delay: float = 0.0) -> DataFrame:
+    """(link, status, failed) for each distinct link of an active job, with a pause between two of one host."""
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for u in b["link"]:
+            for u, _ in zip(b["link"], _paced(b["__host"], delay), strict=True):
                 try:
                     s = call(u)
                 except Exception:
                     s = None
                 out.append((u, s, s is None))
-                if delay:
-                    time.sleep(delay)
             yield pd.DataFrame(out, columns=["link", "status", "failed"]).astype({"status": "Int32"})
 
-    links = jobs.where("is_active").select(link_of().alias("link")).where("link <> ''").distinct().repartition(tasks)
-    return links.mapInPandas(f, "link string, status int, failed boolean")
+    links = jobs.where("is_active").select(link_of().alias("link")).where("link <> ''").distinct()
+    return _by_host(links, "link", tasks).mapInPandas(f, "link string, status int, failed boolean")
 
 
 def is_dead() -> F.Column:

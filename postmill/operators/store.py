@@ -22,14 +22,15 @@ from urllib.parse import quote
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postmill.runtime import discard, sized, written
 from postmill.schema import JOBS, conform
 
 #: Bytes of input for each bucket, and the least number of them.
 BUCKET_BYTES, LEAST_BUCKETS = 64 << 20, 16
-#: Columns with Bloom filters.
-FILTERED = ("id", "fingerprint")
+#: Columns with Bloom filters beside the key.
+FILTERED = ("fingerprint",)
 #: Times that a change is computed before other writers are given the blame.
 TRIES = 20
 
@@ -41,9 +42,9 @@ class Conflict(RuntimeError):
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        """buckets: how many a whole write makes; by its size if not given."""
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, schema: T.StructType = JOBS, key: str = "id"):
+        """buckets: how many a whole write makes; by its size if not given. schema, key: of the rows, which are jobs if not said otherwise."""
+        self.spark, self.path, self.buckets, self.schema, self.key = spark, path.rstrip("/"), buckets, schema, key
 
     # Files of the log, through Hadoop's file systems: they may lie in any store that Spark reads.
 
@@ -91,6 +92,9 @@ class Store:
             raise
         return True
 
+    def _bucket(self, n: int) -> F.Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(n)).cast("int")
+
     # States.
 
     def history(self) -> list[tuple[int, str]]:
@@ -122,8 +126,8 @@ class Store:
     def _rows(self, manifest: dict | None, buckets: set[int] | None = None) -> DataFrame:
         folders = [f"{self.path}/{f}/bucket={b}" for b, f in (manifest or {"files": {}})["files"].items() if buckets is None or int(b) in buckets]
         if not folders:
-            return self.spark.createDataFrame([], JOBS)
-        return conform(self.spark.read.schema(JOBS).parquet(*folders))
+            return self.spark.createDataFrame([], self.schema)
+        return conform(self.spark.read.schema(self.schema).parquet(*folders), self.schema)
 
     def read(self, version: str | None = None) -> DataFrame:
         state = self._state(version)
@@ -134,16 +138,16 @@ class Store:
         state = self._state()
         if state is None:
             return self._rows(None)
-        keys = self.spark.createDataFrame([(i,) for i in ids], "id string").select(_bucket(state[1]["buckets"]).alias("b")).distinct()
-        return self._rows(state[1], {r.b for r in keys.collect()}).where(F.col("id").isin(*ids))
+        keys = self.spark.createDataFrame([(i,) for i in ids], f"{self.key} string").select(self._bucket(state[1]["buckets"]).alias("b")).distinct()
+        return self._rows(state[1], {r.b for r in keys.collect()}).where(F.col(self.key).isin(*ids))
 
     # Changes.
 
     def _put(self, rows: DataFrame, version: str) -> dict[str, str]:
         """rows with their bucket, already in that bucket's task, as a new folder: (bucket: folder)."""
         folder = f"{version}-{uuid.uuid4().hex[:8]}"
-        out = rows.sortWithinPartitions("bucket", "id").write.partitionBy("bucket")
-        for c in FILTERED:
+        out = rows.sortWithinPartitions("bucket", self.key).write.partitionBy("bucket")
+        for c in {self.key, *FILTERED} & set(rows.columns):
             out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
         out.parquet(f"{self.path}/{folder}")
         return {n.partition("=")[2]: folder for n in self._names(folder) if n.startswith("bucket=")}
@@ -154,7 +158,7 @@ class Store:
         if name and self.has(name):
             return version
         n = self.buckets or max(LEAST_BUCKETS, -(-sized(jobs) // BUCKET_BYTES))
-        rows = conform(jobs).withColumn("bucket", _bucket(n))
+        rows = conform(jobs, self.schema).withColumn("bucket", self._bucket(n))
         files = self._put(rows.repartition(n, "bucket"), version)
         for _ in range(TRIES):
             if self._commit(self._state(), {"version": version, "buckets": n, "files": files}):
@@ -162,7 +166,7 @@ class Store:
         raise Conflict(version)
 
     def commit(self, change: Callable[[DataFrame], DataFrame], name: str | None = None, note: Callable[[], dict] | None = None) -> str:
-        """Stores the rows that ``change`` makes of the current ones, each in the place of the row of its id. It is called again where another
+        """Stores the rows that ``change`` makes of the current ones, each in the place of the row of its key. It is called again where another
         writer was first, and not at all where the name is known. note: what to keep beside it, asked once the rows are written."""
         version = f"v-{name or uuid.uuid4().hex}"
         for _ in range(TRIES):
@@ -175,14 +179,14 @@ class Store:
 
     def _upsert(self, state: tuple[int, dict] | None, rows: DataFrame, version: str, note: Callable[[], dict] | None) -> bool:
         n = state[1]["buckets"] if state else self.buckets or max(LEAST_BUCKETS, -(-sized(rows) // BUCKET_BYTES))
-        new = written(conform(rows).withColumn("bucket", _bucket(n)), "change")
+        new = written(conform(rows, self.schema).withColumn("bucket", self._bucket(n)), "change")
         try:
             touched = {r.bucket for r in new.select("bucket").distinct().collect()}
             files = dict(state[1]["files"]) if state else {}
             if touched:
-                old = self._rows(state and state[1], touched).withColumns({"bucket": _bucket(n), "__new": F.lit(False)})
+                old = self._rows(state and state[1], touched).withColumns({"bucket": self._bucket(n), "__new": F.lit(False)})
                 both = old.unionByName(new.withColumn("__new", F.lit(True))).repartition(max(1, len(touched)), "bucket")
-                replaced = F.max("__new").over(Window.partitionBy("bucket", "id"))
+                replaced = F.max("__new").over(Window.partitionBy("bucket", self.key))
                 files |= self._put(both.withColumn("__replaced", replaced).where("__new or not __replaced").drop("__new", "__replaced"), version)
             return self._commit(state, {"version": version, "buckets": n, "files": files, "note": note() if note else {}})
         finally:
@@ -231,9 +235,5 @@ class Store:
             return "unreachable"
 
 
-def _bucket(n: int) -> F.Column:
-    return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-
-
 def dump_json(jobs: DataFrame, path: str) -> None:
     jobs.write.mode("overwrite").json(path)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions import classify, digest, display, text, url
 from postmill.functions.salary import parse_salary
-from postmill.operators import dedup, network, records
+from postmill.operators import dedup, network, records, trigrams
 from postmill.operators.store import Store
 from postmill.plans import crawl, ingest, social
 from postmill.plans import jobs as J
@@ -449,10 +449,59 @@ def page_errors(spark, d):
     return stored.unionByName(store.skipped().select(none.alias("title"), none.alias("description_original"), "url", F.regexp_extract("error", r"^(\w+)", 1).alias("error")))
 
 
+def resolve_again(spark, d):
+    """Links resolved by three runs with one memo: half of the pages, all an hour later, and all after two days, when failures are asked for again."""
+    p = _read(spark, d, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("raw_apply_url"))
+    memo = network.memo_at(spark, f"{shared_dir(spark)}/memo-{uuid.uuid4().hex}")
+
+    def call(run: int):
+        def f(u: str) -> tuple[str, str]:
+            if run < 3 and u.startswith("https:"):
+                raise OSError("unreachable")
+            return f"{u}#{run}", f"run{run}.example.com"
+
+        return f
+
+    times = [_AS_OF, _AS_OF + dt.timedelta(hours=1), _AS_OF + dt.timedelta(hours=48)]
+    runs = [network.resolve(p.where("page_id % 2 = 0") if k == 0 else p, call(k + 1), memo=memo, as_of=t).select("page_id", "apply_url", "resolved_domain") for k, t in enumerate(times)]
+    return runs[1].withColumnRenamed("apply_url", "second").drop("resolved_domain").join(runs[2].withColumnRenamed("apply_url", "third"), "page_id")
+
+
+def search_index(spark, d):
+    """A substring search through stored trigrams of two columns."""
+    rows = _read(spark, d, "part")
+    index = written(trigrams.postings(rows, ["p_name", "p_type"], "p_partkey"), "trigrams")
+    return trigrams.search(rows, index, {"p_name": "OLD%idg", "p_type": "romo"}, "p_partkey").select("p_partkey", "p_name", "p_type")
+
+
+def description_rows(spark, d):
+    """Descriptions that pages keep apart: a reference to a text row of a later chunk, which some pages lack."""
+    k = F.regexp_extract("url", r"(\d+)$", 1).cast("bigint")
+    body = F.concat(F.lit("<p>Nä "), k.cast("string"), F.lit("</p><script>x</script>☃"))
+    row = F.concat(F.lit('<script>self.__next_f.push([1,"21:T'), F.lower(F.hex(F.octet_length(body))), F.lit(","), body, F.lit('22:I[1]"])</script>'))
+    pages = _pages(spark, d).withColumn("html", F.replace("html", F.lit(r'{\"initialJob\":{'), F.lit(r'{\"initialJob\":{\"description\":\"$21\",')))
+    pages = pages.withColumn("html", F.concat("html", F.when(k % 7 == 0, F.lit("")).otherwise(row)))
+    rows = base.run(base.get_source("jobfound"), pages, _AS_OF)
+    return rows.select("external_id", "description_original", "description_available", F.array_contains("source_fields_missing", "description_original").alias("missing"))
+
+
+def page_windows(spark, d):
+    """The page numbers that lists of each nation's customers show, at pages further and further in."""
+    per = _customers(spark, d).groupBy(c("seniority").alias("nation")).agg(F.count("*").alias("total"))
+    return per.select("nation", display.pages(c("total"), F.lit(5), c("nation") * 5).alias("p")).where("p is not null").select("nation", "p.pages", "p.current", F.array_join(c("p.shown").cast("array<string>"), ",").alias("shown"), "p.gap_before", "p.gap_after")
+
+
+def jobs_json(spark, d):
+    """The items of a response, read back: nulls are kept, and tags stay a list."""
+    rows = J.as_json(J.public(_postings(spark, d)))
+    get = lambda k: F.get_json_object("json", f"$.{k}")
+    return rows.select(get("id").alias("id"), get("title").alias("title"), get("salary_min").alias("salary_min"), get("tags[0]").alias("tag"), get("is_active").alias("is_active"), F.contains("json", F.lit('"posted_at":null')).alias("undated"), F.size(F.json_object_keys("json")).alias("fields"))
+
+
 QUERIES = {f.__name__: f for f in (
     flagship, list_filter_page, list_total, sort_oldest_first, lookup_by_id, search_or, tags_contains, url_host, url_path_key, aggregator_flag, apply_type, recheck_resolved, fingerprint, job_id,
     dedup_exact, dedup_sources, dedup_greedy, recency_window, early_stop_prefix, html_title_links, html_text, json_field, salary_parse, seniority_bucket, employment_map, remote_scope,
-    missing_fields, similar_top4, run_stats, display_fields, display_times, digest_lines, digest_post, upsert_snapshot, liveness, resolve_memo, page_records, ingest_run, ingest_stats, graph_records, job_filters, page_texts, similar_jobs, rewrite_new, dedup_stored, crawl_flat, link_check, fingerprint_scripts, page_errors,
+    missing_fields, similar_top4, run_stats, display_fields, display_times, digest_lines, digest_post, upsert_snapshot, liveness, resolve_memo, page_records, ingest_run, ingest_stats, graph_records, job_filters, page_texts, similar_jobs, rewrite_new, dedup_stored, crawl_flat, link_check, fingerprint_scripts, page_errors, resolve_again, search_index, description_rows, page_windows, jobs_json,
 )}
 
 _HOST = r"nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '')"
@@ -557,3 +606,18 @@ _TITLE_SLUG = "CASE p_partkey % 6 " + " ".join(f"WHEN {n} THEN '{slug}'" for n,
 SQL["fingerprint_scripts"] = f"SELECT p_partkey, {_TITLE_SLUG} AS slug, sha256({_TITLE_SLUG} || '|' || {_SLUG.format('p_brand')} || '|unknown') AS fingerprint, CAST(1 AS BIGINT) AS alike FROM part"
 SQL["page_errors"] = f"""SELECT title, 'Told' AS description_original, NULL AS url, NULL AS error FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY sha256('jobfound:' || external_id)) AS place FROM ({_PARTS}) WHERE u <> '' AND k % 6 <> 0 AND k % 10 <> 3) WHERE place = 1
   UNION ALL SELECT NULL, NULL, 'https://jobfound.org/job/' || k, 'AssertionError' FROM ({_PARTS}) WHERE k % 10 = 3"""
+SQL["resolve_again"] = """SELECT page_id, CASE WHEN https THEN NULL WHEN early THEN u || '#1' ELSE u || '#2' END AS second, CASE WHEN https THEN u || '#3' WHEN early THEN u || '#1' ELSE u || '#2' END AS third,
+  CASE WHEN https THEN 'run3' WHEN early THEN 'run1' ELSE 'run2' END || '.example.com' AS resolved_domain
+  FROM (SELECT page_id, u, starts_with(u, 'https:') AS https, bool_or(page_id % 2 = 0) OVER (PARTITION BY u) AS early FROM (SELECT page_id, nullif(regexp_replace(url, '[?#].*$', ''), '') AS u FROM pages))"""
+SQL["search_index"] = "SELECT p_partkey, p_name, p_type FROM part WHERE p_name ILIKE '%old%idg%' OR p_type ILIKE '%romo%'"
+SQL["description_rows"] = f"SELECT external_id, CASE WHEN k % 7 <> 0 THEN 'Nä ' || k || chr(10) || '☃' END AS description_original, k % 7 <> 0 AS description_available, k % 7 = 0 AS missing FROM ({_PARTS})"
+SQL["page_windows"] = """SELECT nation, pages, current, coalesce(array_to_string(range(greatest(1, current - 2), least(pages, current + 2) + 1), ','), '') AS shown, current <= pages + 2 AND current > 3 AS gap_before, current <= pages + 2 AND current + 2 < pages AS gap_after
+  FROM (SELECT c_nationkey AS nation, (count(*) + 4) // 5 AS pages, CAST(c_nationkey + 1 AS BIGINT) AS current FROM customer GROUP BY 1) WHERE pages > 1"""
+SQL["jobs_json"] = "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_size * 1000 AS VARCHAR) END AS salary_min, string_split(p_name, ' ')[1] AS tag, CASE WHEN p_partkey % 8 <> 0 THEN 'true' ELSE 'false' END AS is_active, p_partkey % 10 = 0 AS undated, 22 AS fields FROM part"
+# The longest of six renderings, of five lines to none, that fits 280 characters, where the link counts as 23.
+SQL["digest_post"] = """WITH w AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, '• Order ' || o_orderpriority || ' — ' || o_orderstatus AS line, o_orderdate FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 720 HOUR),
+  n AS (SELECT count(*) AS job_count FROM w), l AS (SELECT list(line ORDER BY o_orderdate DESC, id) AS lines FROM (SELECT * FROM w ORDER BY o_orderdate DESC, id LIMIT 5) t),
+  r AS (SELECT k, job_count, CASE WHEN job_count = 1 THEN '🚀 1 new tech job in India today' ELSE '🚀 ' || job_count || ' new tech jobs in India today' END || chr(10) || chr(10) || array_to_string(lines[1:k], chr(10)) || CASE WHEN k > 0 THEN chr(10) ELSE '' END
+      || CASE WHEN job_count > k THEN '+' || job_count - k || ' more' || chr(10) ELSE '' END || chr(10) || 'Apply 👉 https://example.com/a/rather/long/path' AS message FROM n, l, range(0, 6) s(k) WHERE k <= len(lines)),
+  x AS (SELECT *, CAST(length(message) - length('https://example.com/a/rather/long/path') + 23 AS INTEGER) AS x_length FROM r)
+  SELECT message, job_count, CAST(k AS INTEGER) AS listed_count, x_length, x_length <= 280 AS fits, CAST(720 AS DOUBLE) AS window_hours FROM x ORDER BY fits DESC, CASE WHEN fits THEN -k ELSE k END LIMIT 1"""

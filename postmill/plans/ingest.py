@@ -41,9 +41,9 @@ def canonical(pages: DataFrame, sources: list[Source], as_of: dt.datetime, setti
     return out, counts, failed
 
 
-def ingest(pages: DataFrame, store: Store, as_of: dt.datetime, settings: Settings | None = None, names: list[str] | None = None, resolve: network.Resolve | None = None, rewrite: network.Rewrite | None = None, name: str | None = None, unfetched: dict[str, str] | None = None) -> DataFrame:
+def ingest(pages: DataFrame, store: Store, as_of: dt.datetime, settings: Settings | None = None, names: list[str] | None = None, resolve: network.Resolve | None = None, rewrite: network.Rewrite | None = None, name: str | None = None, unfetched: dict[str, str] | None = None, memo: Store | None = None) -> DataFrame:
     """Runs all steps and commits what they change; returns the counters for each source and in total. Records that can't be read are
-    kept aside, with their page and the reason (``store.skipped``). unfetched: sources that gave no pages, and why; they count as errors too. A name that the store knows was run before: its
+    kept aside, with their page and the reason (``store.skipped``). memo: resolutions of earlier runs, which aren't asked for again. unfetched: sources that gave no pages, and why; they count as errors too. A name that the store knows was run before: its
     counters are returned, and nothing is done."""
     settings = settings or Settings()
     sources = [s for s in all_sources() if names is None or s.source_name in names]
@@ -56,7 +56,7 @@ def ingest(pages: DataFrame, store: Store, as_of: dt.datetime, settings: Setting
     rows = reduce(DataFrame.unionByName, tables.values(), pages.sparkSession.createDataFrame([], PARSED).withColumn("is_valid", F.lit(True)))
     if any(n["corrupt"] for n in counts.values()):
         store.bury(rows.where("corrupt is not null").select("source", "url", F.col("corrupt").alias("error")), name)
-    kept = network.resolve(records.external(rows.where("corrupt is null and is_valid").drop("url", "corrupt")), resolve)
+    kept = network.resolve(records.external(rows.where("corrupt is null and is_valid").drop("url", "corrupt")), resolve, memo=memo, as_of=as_of)
     seen = Observation()
     kept = written(dedup.with_url_key(records.recheck(kept)).observe(seen, *records.later_counters("downgraded_after_resolution", ~F.col("is_external"), counts)), "resolved")
     records.add(counts, seen.get)

@@ -40,9 +40,9 @@ class Flat:
 
     def parse(self, pages: DataFrame, as_of: dt.datetime, max_age_hours: float = 24) -> DataFrame:
         rows = pages.select("url", buffer(F.col("html")).alias("buf"))
-        rows = rows.withColumn("job", or_null(F.regexp_extract("buf", OBJECT, 1)))
-        rows = rows.where(F.try_parse_json("job").isNotNull())
-        rows = rows.select("url", "buf", *[F.get_json_object("job", f"$.{f}").alias(f) for f in FIELDS])
+        # The object is parsed once; its fields come out of a generator, which filters on them aren't moved below.
+        rows = rows.select("url", "buf", F.try_parse_json(or_null(F.regexp_extract("buf", OBJECT, 1))).alias("job"))
+        rows = rows.select("url", "buf", F.inline(F.array(F.struct(*[F.try_variant_get("job", f"$.{f}", "string").alias(f) for f in FIELDS]))))
         rows = rows.withColumn("posted_at", classify.iso_time(F.col("postedAt")))
         keep = (F.lower(strip(F.col("country"))) == "india") & (F.col("posted_at") >= cutoff(as_of, max_age_hours))
         inline = or_null(F.col("description"))

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from postmill.config import Settings
 from postmill.functions import display
-from postmill.operators import dedup
+from postmill.operators import dedup, network
 from postmill.operators.store import Store
 from postmill.plans import catalog, client, crawl, ingest, jobs, social
 from postmill.schema import JOBS, PUBLIC, conform
@@ -417,3 +418,80 @@ def test_a_run_from_the_sitemaps(spark, tmp_path):
     assert (stats["jobfound"].inserted, stats["jobfound"].error, stats["talentd"].fetched, stats["talentd"].error, stats[None].error) == (1, 0, 0, 1, 1)
     assert [r.title for r in store.read().collect()] == ["Backend Developer"]
     assert ingest.check_links(store, call=lambda u: 404, delay=0.01) == {"checked": 1, "deactivated": 1}
+
+
+def test_an_object_is_parsed_once(spark):
+    raw = get_source("jobfound").parse(pages_of(spark, flat_page()), AS_OF)
+    plan = raw._jdf.queryExecution().executedPlan().toString()
+    assert plan.lower().replace("_", "").count("parsejson") == 1 and "get_json_object" not in plan
+    odd = flat_page().replace('\\"salary\\": \\"10-20 LPA\\"', '\\"salary\\": 12')
+    assert [r.salary for r in get_source("jobfound").parse(pages_of(spark, odd, flat_page(salary=True), flat_page(salary=None), flat_page(skills=["a"])), AS_OF).collect()] == ["12", "true", None, "10-20 LPA"]
+
+
+def test_a_memo_is_not_asked_twice(spark, tmp_path):
+    rows = spark.createDataFrame([("http://a.io/1",), ("http://a.io/2",), ("http://b.io/1",), ("",), (None,), ("http://a.io/1",)], "raw_apply_url string")
+    memo = network.memo_at(spark, f"file://{tmp_path}/memo")
+
+    def answer(run):
+        def f(u):
+            if u.endswith("2") and run < 2:
+                raise OSError("down")
+            return f"{u}#{run}", "x.io"
+
+        return f
+
+    def run(k, hours):
+        got = network.resolve(rows, answer(k), memo=memo, as_of=AS_OF + dt.timedelta(hours=hours), keep_hours=100, keep_failed_hours=10).collect()
+        return sorted((r.raw_apply_url or "", (r.apply_url or "")[-2:]) for r in got)
+
+    first = [("", ""), ("", ""), ("http://a.io/1", "#0"), ("http://a.io/1", "#0"), ("http://a.io/2", ""), ("http://b.io/1", "#0")]
+    assert run(0, 0) == first == run(1, 9)
+    assert run(2, 20) == [(u, "#2" if u.endswith("2") else t) for u, t in first]  # a failure is forgotten sooner
+    assert {t for u, t in run(3, 101) if u} == {"#3", "#2"} and memo.read().count() == 3
+    # All URLs of a host are in one task.
+    urls = rows.where("raw_apply_url <> ''").distinct()
+    dealt = network._by_host(urls, "raw_apply_url", 4).withColumn("p", F.spark_partition_id()).groupBy("__host").agg(F.count_distinct("p").alias("n"))
+    assert {r.n for r in dealt.collect()} == {1}
+
+
+def test_rewriting_goes_by_text(spark):
+    rows = spark.createDataFrame([("1", "a"), ("1", "b"), ("1", "c"), ("2", "a"), ("3", None), ("4", " ")], "id string, description_original string")
+    got = network.rewrite(rows, lambda t: (200, t.upper()), retries=0).collect()
+    assert sorted((r.id, r.description_original or "", r.rewritten_description or "") for r in got) == [("1", "a", "A"), ("1", "b", "B"), ("1", "c", "C"), ("2", "a", "A"), ("3", "", ""), ("4", " ", "")]
+
+
+@pytest.mark.parametrize("terms", [{"title": "eng"}, {"title": "E%GI"}, {"title": r"50\\%", "company": "ACM"}, {"title": "xy"}, {"title": "%"}, {"company": "none such"}, {"title": "ÄRZ"}])
+def test_search_by_trigrams(spark, terms):
+    from postmill.functions.text import ilike_any
+    from postmill.operators import trigrams
+
+    titles = ["Engineer", "engine 50% off", "Ärztin", "an xy", None, "", "gin", "ENGAGIST", "5050"]
+    rows = spark.createDataFrame([(str(k), t, "Acme" if k % 3 == 0 else "Other") for k, t in enumerate(titles)], "id string, title string, company string")
+    want = rows.where(reduce(lambda a, b: a | b, [ilike_any(F.col(c), v) for c, v in terms.items()]))
+    got = trigrams.search(rows, trigrams.postings(rows, ["title", "company"]), terms)
+    assert sorted(r.id for r in got.collect()) == sorted(r.id for r in want.collect())
+
+
+def test_workers_need_no_package(tmp_path):
+    """A driver elsewhere, with the package on its own path only."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from pyspark.sql import SparkSession, functions as F
+from postmill.operators import dedup, network
+from postmill.sources.html import html_to_text
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+df = spark.createDataFrame([(1, "<p>a</p>", "http://x.io/1")], "seq long, html string, raw_apply_url string")
+assert df.select(html_to_text(F.col("html")).alias("t")).first().t == "a"
+assert network.resolve(df, lambda u: (u, "x.io")).first().resolved_domain == "x.io"
+rows = spark.createDataFrame([(k, f"f{{(k + 1) // 2}}", f"u{{k // 2}}", str(k)) for k in range(9)], "seq long, fingerprint string, url_key string, id string")
+assert sorted(r.seq for r in dedup.leaders(rows).collect()) == [0, 2, 4, 6, 8]
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
