@@ -19,7 +19,7 @@ from postmill.plans import crawl, ingest, social
 from postmill.plans import jobs as J
 from postmill.runtime import shared_dir, written
 from postmill.schema import conform
-from postmill.sources import base, html
+from postmill.sources import base, html, sitemaps
 
 c = F.col
 
@@ -498,10 +498,43 @@ def jobs_json(spark, d):
     return rows.select(get("id").alias("id"), get("title").alias("title"), get("salary_min").alias("salary_min"), get("tags[0]").alias("tag"), get("is_active").alias("is_active"), F.contains("json", F.lit('"posted_at":null')).alias("undated"), F.size(F.json_object_keys("json")).alias("fields"))
 
 
+def _listed(spark, d) -> DataFrame:
+    """pages as entries of sitemaps of 50, newest first, with odd dates; some pages can't be had."""
+    k, n = F.floor(c("page_id") / 50), F.pmod("page_id", F.lit(50))
+    day = F.date_format(F.timestamp_seconds(F.lit(1706659200) - n * (k % 3 + 1) * 43200), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    at = F.when(n % 7 == 3, F.lit("soon")).when(n % 5 != 4, day)
+    return _read(spark, d, "pages").select(F.concat(F.lit("site/"), k).alias("sitemap"), c("page_id").alias("pos"), F.coalesce("url", F.lit("")).alias("url"), at.alias("at"), F.when(c("page_id") % 11 != 0, c("html")).alias("html"))
+
+
+def sitemap_pages(spark, d):
+    """Sitemaps read as a data source, each by one task up to its first entry older than ten days."""
+    path = f"{shared_dir(spark)}/sitemaps-{uuid.uuid4().hex}"
+    sitemaps.archive(_listed(spark, d), path)
+    sitemaps.register(spark)
+    got = spark.read.format("sitemaps").option("path", path).option("since", "2024-01-21").load()
+    return got.select("sitemap", "pos", "at", F.sha2("html", 256).alias("digest"))
+
+
+def sitemap_stream(spark, d):
+    """The same sitemaps as a stream, run before and after their newest 20 entries came: which run brought which page."""
+    path = f"{shared_dir(spark)}/sitemaps-{uuid.uuid4().hex}"
+    rows, new = _listed(spark, d), F.pmod("pos", F.lit(50)) < 20
+    sitemaps.register(spark)
+    for some in (rows.where(~new), rows.where(new)):
+        sitemaps.archive(some, f"{path}/archive")
+
+        def batch(df: DataFrame, number: int) -> None:
+            df.select("sitemap", "pos", F.lit(number).cast("bigint").alias("batch")).write.mode("overwrite").parquet(f"{path}/rows/run={number}")
+
+        pages = spark.readStream.format("sitemaps").option("path", f"{path}/archive").load()
+        pages.writeStream.foreachBatch(batch).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/rows").select("sitemap", "pos", "batch")
+
+
 QUERIES = {f.__name__: f for f in (
     flagship, list_filter_page, list_total, sort_oldest_first, lookup_by_id, search_or, tags_contains, url_host, url_path_key, aggregator_flag, apply_type, recheck_resolved, fingerprint, job_id,
     dedup_exact, dedup_sources, dedup_greedy, recency_window, early_stop_prefix, html_title_links, html_text, json_field, salary_parse, seniority_bucket, employment_map, remote_scope,
-    missing_fields, similar_top4, run_stats, display_fields, display_times, digest_lines, digest_post, upsert_snapshot, liveness, resolve_memo, page_records, ingest_run, ingest_stats, graph_records, job_filters, page_texts, similar_jobs, rewrite_new, dedup_stored, crawl_flat, link_check, fingerprint_scripts, page_errors, resolve_again, search_index, description_rows, page_windows, jobs_json,
+    missing_fields, similar_top4, run_stats, display_fields, display_times, digest_lines, digest_post, upsert_snapshot, liveness, resolve_memo, page_records, ingest_run, ingest_stats, graph_records, job_filters, page_texts, similar_jobs, rewrite_new, dedup_stored, crawl_flat, link_check, fingerprint_scripts, page_errors, resolve_again, search_index, description_rows, page_windows, jobs_json, sitemap_pages, sitemap_stream,
 )}
 
 _HOST = r"nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '')"
@@ -621,3 +654,8 @@ SQL["digest_post"] = """WITH w AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, '
       || CASE WHEN job_count > k THEN '+' || job_count - k || ' more' || chr(10) ELSE '' END || chr(10) || 'Apply 👉 https://example.com/a/rather/long/path' AS message FROM n, l, range(0, 6) s(k) WHERE k <= len(lines)),
   x AS (SELECT *, CAST(length(message) - length('https://example.com/a/rather/long/path') + 23 AS INTEGER) AS x_length FROM r)
   SELECT message, job_count, CAST(k AS INTEGER) AS listed_count, x_length, x_length <= 280 AS fits, CAST(720 AS DOUBLE) AS window_hours FROM x ORDER BY fits DESC, CASE WHEN fits THEN -k ELSE k END LIMIT 1"""
+_LISTED = """SELECT 'site/' || page_id // 50 AS sitemap, page_id AS pos, html, page_id % 11 <> 0 AND html IS NOT NULL AS had, CASE WHEN page_id % 50 % 7 = 3 THEN 'soon' WHEN page_id % 50 % 5 <> 4
+  THEN strftime(TIMESTAMP '2024-01-31' - to_seconds((page_id % 50) * (page_id // 50 % 3 + 1) * 43200), '%Y-%m-%dT%H:%M:%SZ') END AS "at" FROM pages"""
+SQL["sitemap_pages"] = f"""WITH l AS ({_LISTED}), s AS (SELECT sitemap, min(pos) AS stop FROM l WHERE "at" < '2024-01-21' GROUP BY 1)
+SELECT l.sitemap, pos, "at", sha256(html) AS digest FROM l LEFT JOIN s ON l.sitemap = s.sitemap WHERE had AND (stop IS NULL OR pos < stop)"""
+SQL["sitemap_stream"] = f"SELECT sitemap, pos, CAST(CASE WHEN pos % 50 < 20 THEN 1 ELSE 0 END AS BIGINT) AS batch FROM ({_LISTED}) WHERE had"
