@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postmill.llm import decontaminate, imatch, jaccard, langid, lengths, lloyd, mixing, ngram_lm, quality, sql, toxicity, urlfilter, warc, whitening
 from postmill.llm.langid import held_out
@@ -18,7 +19,10 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(documents(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
+    """Blocks, where no rule decides, the URLs of one page in sixteen (by digest), whatever form a page writes them in."""
+    pages = documents(spark, sf_dir, "pages")
+    urls = pages.where(F.startswith(F.sha2("url", 256), F.lit("0"))).select("url", F.lit("block").alias("verdict"))
+    return urlfilter.judge(pages, spark.createDataFrame(RULES, "host string, path string, verdict string"), urls=urls, rules_first=True)
 
 
 def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,18 +4,36 @@ from __future__ import annotations
 
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_HEX = "chr(coalesce(try_cast('0x' || left(p, 2) AS INT), 0))"
+_ONE = f"CASE WHEN NOT regexp_matches(p, '^[0-9A-Fa-f][0-9A-Fa-f]') THEN '%' || p WHEN regexp_matches({_HEX}, '[A-Za-z0-9._~-]') THEN {_HEX} || p[3:] ELSE '%' || upper(left(p, 2)) || p[3:] END"
+_PERCENT = f"string_split({{0}}, '%')[1] || array_to_string(list_transform(string_split({{0}}, '%')[2:], lambda p: {_ONE}), '')"
+_STEPS = "list_reduce(list_transform(string_split({0}, '/')[2:], lambda s: [s]), lambda a, s: CASE s[1] WHEN '.' THEN a WHEN '..' THEN a[1:len(a) - 1] ELSE a || s END, CAST([] AS VARCHAR[]))"
+
+# Host, path and canonical form of each page; the list is of those whose digest begins with 0.
 OP1 = rf"""
-WITH p AS (
-  SELECT page_id,
+WITH p0 AS (
+  SELECT page_id, url,
     coalesce({_LOW.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")}, '') AS host,
-    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    {_LOW.format("regexp_extract(url, '(?s)^(.*?)://', 1)")} AS scheme,
+    regexp_extract(url, '(?s)^.*?://[^?#]*(\?[^#]+)', 1) AS query
   FROM pages),
+p1 AS (
+  SELECT *, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':$', '') AS h, {_PERCENT.format("path")} AS steps, {_PERCENT.format("query")} AS asked FROM p0),
+p2 AS (
+  SELECT *, regexp_replace(CASE scheme WHEN 'http' THEN regexp_replace(h, ':80$', '') WHEN 'https' THEN regexp_replace(h, ':443$', '') ELSE h END, '\.(:\d+)?$', '\1') AS name,
+    CASE WHEN regexp_matches(steps, '/\.\.?(/|$)') THEN '/' || array_to_string({_STEPS.format("steps")}, '/') || CASE WHEN regexp_matches(steps, '/\.\.?$') AND len({_STEPS.format("steps")}) > 0 THEN '/' ELSE '' END
+      WHEN steps = '' THEN '/' ELSE steps END AS way
+  FROM p1),
+p AS (SELECT page_id, url, host, path, CASE WHEN contains(url, '://') THEN scheme || '://' || name || way || asked END AS canonical FROM p2),
+listed AS (SELECT DISTINCT canonical AS listed FROM p WHERE starts_with(sha256(url), '0') AND canonical IS NOT NULL),
 r(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 f AS (
   SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
   FROM (SELECT DISTINCT host, path FROM p) d JOIN r ON (d.host = r.h OR ends_with(d.host, '.' || r.h)) AND starts_with(d.path, r.p)
   GROUP BY 1, 2)
-SELECT page_id, p.host, p.path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN f ON p.host = f.host AND p.path = f.path
+SELECT page_id, p.host, p.path, rule, coalesce(v, CASE WHEN listed IS NOT NULL THEN 'block' END, 'allow') AS verdict, listed
+FROM p LEFT JOIN f ON p.host = f.host AND p.path = f.path LEFT JOIN listed ON canonical = listed
 """
 
 

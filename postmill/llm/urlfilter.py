@@ -4,7 +4,7 @@ Two lists: rules, a host and a beginning of a path, fit their host and all subdo
 URLs, compared in canonical form. Candidates of a URL are its host's suffixes and, of hosts that rules name, the path
 beginnings of the lengths that rules of that host have; and the URL's own canonical form. Each kind of candidate
 passes a blocked Bloom filter (one block of 512 bits for each key), and possible hits go to an exact
-hash join with the list, which removes false positives. A listed URL wins over rules, and of rules the longest. URLs that
+hash join with the list, which removes false positives. A listed URL wins over rules, unless the caller puts rules first, and of rules the longest. URLs that
 nothing fits get the filter's own verdict: not listed, hence allowed.
 
 A filter is a table (block, eight words). It is broadcast where its size allows, as is the list of hosts; beyond
@@ -140,9 +140,10 @@ def _by_urls(own: DataFrame, urls: DataFrame) -> DataFrame:
     return own.where("key is not null").join(_small(found, 1, size.n * 64 + size.bytes), "key", "left").select(*none.columns).unionByName(none)
 
 
-def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", urls: DataFrame | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", urls: DataFrame | None = None, rules_first: bool = False) -> DataFrame:
     """One row a page: page_id, host, path, rule, verdict. rules: host, path, verdict (allow or block). urls: url, verdict; a page
-    whose URL equals one of them has its canonical form as rule."""
+    whose URL equals one of them has its canonical form as rule. With rules_first the list decides only where no rule does,
+    rule is a rule's or null, and a last column, listed, has the canonical form of a listed URL."""
     listed = rules.where("host is not null and path is not null and verdict is not null")
     listed = listed.select(lower_ascii(F.col("host")).alias("rule_host"), F.col("path").alias("rule_path"), "verdict")
     listed = listed.groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict"))  # block is the greater
@@ -152,7 +153,10 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     own = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), *([] if urls is None else [canonical(url).alias("key")]))
     out = own if urls is None else _by_urls(own, urls)
     exact, key = (F.lit(None).cast("string"),) * 2 if urls is None else (F.col("exact"), F.when(F.col("exact").isNotNull(), F.col("key")))
-    if not n:
-        return out.select("page_id", "host", "path", key.alias("rule"), F.coalesce(exact, F.lit("allow")).alias("verdict"))
-    out = out.join(_by_rules(own, listed, n), ["host", "path"], "left")
-    return out.select("page_id", "host", "path", F.coalesce(key, "best.rule").alias("rule"), F.coalesce(exact, "best.verdict", F.lit("allow")).alias("verdict"))
+    fit, said = F.col("best.rule"), F.col("best.verdict")
+    if n:
+        out = out.join(_by_rules(own, listed, n), ["host", "path"], "left")
+    else:
+        fit = said = F.lit(None).cast("string")
+    rule, verdict = (fit, F.coalesce(said, exact)) if rules_first else (F.coalesce(key, fit), F.coalesce(exact, said))
+    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.lit("allow")).alias("verdict"), *([key.alias("listed")] if rules_first else []))

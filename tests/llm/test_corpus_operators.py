@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from postmill.llm import jaccard, mixing, ngram_lm, urlfilter, warc
+from postmill.llm.queries import QUERIES, SQL
 from postmill.llm.components import components
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -70,6 +71,32 @@ def test_listed_urls_win_over_rules(spark):
     assert {r.verdict for r in urlfilter.judge(pages, rules.limit(0), urls=urls).collect()} == {"allow", "block"}
 
 
+def test_rules_before_listed_urls(spark):
+    pages = spark.createDataFrame([(0, "http://a.com/x/../y"), (1, "http://b.net/y#z"), (2, "http://b.net/z"), (3, None), (None, "HTTP://B.net:80/y")], "page_id bigint, url string")
+    rules = spark.createDataFrame([("com", "/", "allow")], "host string, path string, verdict string")
+    urls = spark.createDataFrame([("http://a.com/y", "block"), ("http://b.net/y", "block")], "url string, verdict string")
+    got = sorted((str(r.page_id), r.rule, r.verdict, r.listed) for r in urlfilter.judge(pages, rules, urls=urls, rules_first=True).collect())
+    b = (None, "block", "http://b.net/y")
+    assert got == [("0", "com/", "allow", "http://a.com/y"), ("1", *b), ("2", None, "allow", None), ("3", None, "allow", None), ("None", *b)]
+    none = urlfilter.judge(pages, rules.limit(0), urls=urls.limit(0), rules_first=True).collect()
+    assert len(none) == 5 and {(r.rule, r.verdict, r.listed) for r in none} == {(None, "allow", None)}
+
+
+def test_the_query_on_urls_in_many_forms_is_its_sql(spark, tmp_path):
+    import duckdb
+
+    hosts = ["Example.COM", "u:p@example.org:80", "b.net.", "x.org:443", "b.net:8080", "a.b.net"]
+    ways = ["", "/", "/fr/a", "/a/./b/../c", "/..", "/%7e/%2f", "/A%20%zz", "/en/..?q=%41", "?", "#top", "/x/%2E%2e?%"]
+    urls = [f"{s}://{h}{w}" for s in ("http", "HTTPS", "ftp") for h in hosts for w in ways] + [None, "", "no scheme", "http://b.net/é%C3%A9"]
+    spark.createDataFrame(list(enumerate(urls * 2)), "page_id bigint, url string").withColumn("html", F.lit("")).write.parquet(f"{tmp_path}/pages.parquet")
+    d = duckdb.connect()
+    d.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = d.execute(SQL["op1_url_filter"])
+    names = [x[0] for x in want.description]
+    got = [tuple(r[n] for n in names) for r in QUERIES["op1_url_filter"](spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want.fetchall())) and len({r[names.index("listed")] for r in got}) > 5
+
+
 def test_rules_of_many_lengths(spark):
     rules = [(f"{'h' * (i % 40 + 1)}{i}.com", "/" + "p" * (i * 7 % 300), "block" if i % 2 else "allow") for i in range(4_000)]
     urls = [f"http://www.{h}{p}/more" for h, p, _ in rules[::50]] + [f"http://x{h}{p}" for h, p, _ in rules[::90]]
