@@ -67,6 +67,11 @@ def possible(rows: DataFrame, key: str, table: DataFrame, blocks: int) -> DataFr
     return both.where(test).select(*rows.columns)
 
 
+def _bound(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _percent(c: Column) -> Column:
     """Escapes of unreserved characters decoded, the others in upper case; a bare percent sign stays."""
 
@@ -91,13 +96,16 @@ def _undotted(path: Column) -> Column:
 def canonical(url: Column) -> Column:
     """Scheme and host in lower case, no user, default port, last dot of the host, fragment or empty query; escapes and dot
     segments resolved, ``/`` for an empty path. Null without ``://``."""
-    scheme = lower_ascii(F.regexp_extract(url, r"(?s)^(.*?)://", 1))
-    host = F.regexp_replace(F.regexp_replace(host_of(url), "(?s)^.*@", ""), ":$", "")
-    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
-    host = F.regexp_replace(host, r"\.(?=:\d+$|$)", "")
-    path = _undotted(_percent(path_of(url)))
-    query = _percent(F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]+)", 1))
-    return F.when(F.contains(url, F.lit("://")), F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), query))
+
+    def named(scheme: Column) -> Column:
+        host = F.regexp_replace(F.regexp_replace(host_of(url), "(?s)^.*@", ""), ":$", "")
+        port = F.when(scheme == "http", ":80$").when(scheme == "https", ":443$").otherwise("$^")
+        return F.concat(scheme, F.lit("://"), F.regexp_replace(F.regexp_replace(host, port, ""), r"\.(?=:\d+$|$)", ""))
+
+    site = _bound(lower_ascii(F.regexp_extract(url, r"(?s)^(.*?)://", 1)), named)
+    path = _bound(_bound(path_of(url), _percent), _undotted)
+    query = _bound(F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]+)", 1), _percent)
+    return F.when(F.contains(url, F.lit("://")), F.concat(site, _bound(path, lambda p: F.when(p == "", "/").otherwise(p)), query))
 
 
 def _ends(host: Column, longest: int) -> Column:
