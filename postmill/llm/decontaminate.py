@@ -8,7 +8,7 @@ through wavelet-tree ranks, its occurrences are located by sampled suffix positi
 occurrences of a document are merged into removal spans.
 
 Defined results: null texts and items have no words; an item without words has no window;
-a benchmark row without an item_id still marks words but is not counted or listed as an item; equal
+a benchmark row without an item_id still marks words but is not counted or listed as an item; ids are of any type and kept as strings; equal
 items, windows and rows count once each; an empty benchmark hits nothing, and the hash is
 then that of the empty string. The phrases are broadcast in blocks of at most BLOCK_WORDS
 words, so what is broadcast is bounded for any benchmark.
@@ -39,7 +39,7 @@ FOUND = T.StructType(
     [
         T.StructField("n_words", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))),
-        T.StructField("items", T.ArrayType(T.LongType())),
+        T.StructField("items", T.ArrayType(T.StringType())),
     ]
 )
 
@@ -54,27 +54,31 @@ class Phrases:
     #: Pairs (phrase, item), by phrase; those of phrase i are item_at[i]:item_at[i+1].
     item_at: np.ndarray
     items: np.ndarray
+    #: Ids of the items that items numbers.
+    names: pa.Array
 
 
-def phrases(rows: list[tuple[int | None, str | None]], window: int = WINDOW) -> Phrases:
+def phrases(rows: list[tuple[str | None, str | None]], window: int = WINDOW) -> Phrases:
     """The windows of the items; one of fewer words, but not none, is a window as a whole."""
     w = W.split(pa.array([t for _, t in rows], pa.large_string()), W.ALNUM)
     vocabulary = np.unique(w.hashes)
     ids = np.searchsorted(vocabulary, w.hashes)
+    names = sorted({i for i, _ in rows if i is not None})
+    number = {i: k for k, i in enumerate(names)}
     owners: dict[tuple[int, ...], set[int]] = {}
     for k, (item, _) in enumerate(rows):
         own = ids[w.at[k] : w.at[k + 1]].tolist()
         for i in range(max(1, len(own) - window + 1) if own else 0):
             at = owners.setdefault(tuple(own[i : i + window]), set())
             if item is not None:
-                at.add(item)
+                at.add(number[item])
     patterns = np.zeros((len(owners), window), dtype=np.int64)
     for k, p in enumerate(owners):
         patterns[k, : len(p)] = p
     lengths = np.array([len(p) for p in owners], dtype=np.int64)
     sizes = np.array([len(x) for x in owners.values()], dtype=np.int64)
     items = np.array([i for x in owners.values() for i in sorted(x)], dtype=np.int64)
-    return Phrases(vocabulary, patterns, lengths, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), items)
+    return Phrases(vocabulary, patterns, lengths, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), items, pa.array(names, pa.string()))
 
 
 def _runs(inside: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,19 +146,19 @@ def scan(text: pa.Array, p: Phrases) -> pa.Array:
     item = np.unique(np.stack([np.repeat(pair[0], size), p.items[_ranges(p.item_at[pair[1]], size)]]), axis=1) if size.sum() else np.zeros((2, 0), np.int64)
     n = len(text)
     return pa.StructArray.from_arrays(
-        [pa.array(w.counts, pa.int64()), _lists(spans, np.bincount(doc, minlength=n)), _lists(pa.array(item[1], pa.int64()), np.bincount(item[0].astype(np.int64), minlength=n))],
+        [pa.array(w.counts, pa.int64()), _lists(spans, np.bincount(doc, minlength=n)), _lists(p.names.take(pa.array(item[1], pa.int64())), np.bincount(item[0].astype(np.int64), minlength=n))],
         names=["n_words", "spans", "items"],
     )
 
 
 def _digest(items: pa.Array) -> pa.Array:
-    return pa.array([hashlib.sha256(",".join(sorted(map(str, x or []))).encode()).hexdigest() for x in items.to_pylist()], pa.string())
+    return pa.array([hashlib.sha256(",".join(sorted(x or [])).encode()).hexdigest() for x in items.to_pylist()], pa.string())
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS):
     """Blocks of items whose texts have at most about block_words words together, one item at least."""
     rows, size = [], 0
-    picked = benchmark.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t")).distinct()
+    picked = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).distinct()
     for r in picked.toLocalIterator():  # one partition at a time
         n = len(r.t or "") // 2 + 1  # words at most
         if rows and size + n > block_words:
@@ -182,7 +186,7 @@ def _joined(found: list[pa.Array]) -> pa.Array:
     for same in zip(*rows, strict=True):
         spans = _merged([(s["start"], s["stop"]) for x in same for s in x["spans"]])
         out.append({"n_words": same[0]["n_words"], "spans": [{"start": a, "stop": b} for a, b in spans], "items": sorted({i for x in same for i in x["items"]})})
-    kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("items", pa.list_(pa.int64()))])
+    kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("items", pa.list_(pa.string()))])
     return pa.array(out, kind)
 
 

@@ -6,7 +6,8 @@ record with its plain text. Both refer to the response (WARC-Refers-To, with its
 digest of the source payload and of their own block, and have ids made of what they
 are derived from, so that a repeated task writes the same ids. Records are DataFrame rows;
 ``serialised`` makes their WARC/1.1 bytes, with the response's HTTP headers as a JSON string in the field
-WARC-Source-HTTP-Headers, and ``parse`` reads such bytes back. A payload digest that the response has is
+WARC-Source-HTTP-Headers, and ``parse`` reads files of such bytes back: their responses alone, transfer and content codings undone,
+texts decoded by the charset that the response names. A payload digest that the response has is
 carried; without one, the bytes are hashed as they were, before any decoding.
 
 The derivation is DataFrame functions alone. Its plain text is the HTML without comments,
@@ -15,7 +16,9 @@ resolved, and white space collapsed in each line.
 
 Defined results: a null payload is an empty one; a response without an id is given one from its
 content; a null URI or date stays out of the header block; repeated responses give repeated records with equal ids, for the
-reader to drop; an empty table gives no records. Payloads of any length are read whole.
+reader to drop; an empty table gives no records. Payloads of any length are read whole. A file that is damaged gives the records before
+the damage, and ``damaged`` lists it; a payload in an unknown or broken coding is null, with the reason in ``problem``; an unknown charset is read as UTF-8,
+and bytes that don't fit a charset become replacement characters.
 """
 
 from __future__ import annotations
@@ -24,6 +27,9 @@ import gzip
 import hashlib
 import io
 import json
+import re
+import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -118,11 +124,9 @@ def serialised(records: DataFrame) -> DataFrame:
     return records.withColumn("member", arrow(f, T.BinaryType())(F.struct(*names)))
 
 
-def members(stream) -> list[tuple[dict[str, str], bytes]]:
-    """Records of an open WARC file, plain or of gzip members: headers (lower-case names) and blocks."""
+def _records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     start = stream.peek(2)[:2] if hasattr(stream, "peek") else b""
     source = gzip.GzipFile(fileobj=stream) if start == b"\x1f\x8b" else stream
-    out = []
     while line := source.readline():
         if not line.strip():
             continue
@@ -132,11 +136,20 @@ def members(stream) -> list[tuple[dict[str, str], bytes]]:
         while (line := source.readline()).strip():
             k, _, v = line.decode("utf-8", "replace").partition(":")
             head[k.strip().lower()] = v.strip()
-        out.append((head, source.read(int(head.get("content-length", 0)))))
-    return out
+        size = int(head.get("content-length", 0))
+        block = source.read(size)
+        if size < 0 or len(block) < size:
+            raise ValueError("a record is cut off")
+        yield head, block
+
+
+def members(stream) -> list[tuple[dict[str, str], bytes]]:
+    """Records of an open WARC file, plain or of gzip members: headers (lower-case names) and blocks."""
+    return list(_records(stream))
 
 
-PARSED = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("record_type", "record_id", "target_uri", "date", "http_headers", "payload", "payload_digest")] + [T.StructField("payload_length", T.LongType())]))
+NAMES = ("record_type", "record_id", "target_uri", "date", "http_headers", "payload", "payload_digest", "problem")
+PARSED = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in NAMES] + [T.StructField("payload_length", T.LongType())]))
 
 
 def _header_text(raw: bytes) -> str:
@@ -146,21 +159,94 @@ def _header_text(raw: bytes) -> str:
         return raw.decode("latin-1")
 
 
+def _joined_chunks(body: bytes) -> bytes:
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        if end < 0:
+            raise ValueError("a chunk is cut off")
+        size = int(body[at:end].partition(b";")[0], 16)
+        if not size:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+
+
+def _plain(coding: str, body: bytes) -> bytes:
+    if coding in ("", "identity"):
+        return body
+    if coding not in ("gzip", "x-gzip", "deflate"):
+        raise ValueError(f"unknown coding {coding}")
+    ways = (47, -15) if coding == "deflate" else (47,)  # a header of gzip or zlib, or none
+    for k, bits in enumerate(ways):
+        try:
+            return zlib.decompress(body, bits)
+        except zlib.error:
+            if k + 1 == len(ways):
+                raise
+    return body
+
+
+def body_text(http: str, body: bytes) -> str:
+    """The text of a response's body. Raises where a coding can't be undone."""
+    fields: dict[str, str] = {}
+    for line in http.split("\r\n")[1:]:
+        k, _, v = line.partition(":")
+        fields[k.strip().lower()] = v.strip()
+    # Archives often keep the header of a coding that they have undone.
+    if fields.get("transfer-encoding", "").lower().endswith("chunked") and re.match(rb"[0-9A-Fa-f]+[ \t]*(;[^\r]*)?\r\n", body):
+        body = _joined_chunks(body)
+    for coding in reversed(fields.get("content-encoding", "").lower().split(",")):
+        body = _plain(coding.strip(), body) if body else body
+    named = re.search(r"charset\s*=\s*[\"']?([^\s\"';]+)", fields.get("content-type", ""), re.I)
+    said = named.group(1) if named else None
+    if not said and (m := re.search(rb"<meta[^>]+charset\s*=\s*[\"']?([\w.:-]+)", body[:1024], re.I)):
+        said = m.group(1).decode("ascii")
+    try:
+        return body.decode(said or "utf-8", "replace")
+    except (LookupError, UnicodeError):  # no charset, or a codec of something else
+        return body.decode("utf-8", "replace")
+
+
+def _response(head: dict[str, str], block: bytes) -> dict:
+    raw, _, body = block.partition(b"\r\n\r\n")
+    http, text, problem = _header_text(raw), None, None
+    try:
+        text = body_text(http, body)
+    except (ValueError, zlib.error) as e:
+        problem = f"{type(e).__name__}: {e}"
+    return {"record_type": "response", "record_id": head.get("warc-record-id", "").strip("<>") or None, "target_uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "http_headers": http, "payload": text, "payload_digest": head.get("warc-payload-digest") or f"sha256:{hashlib.sha256(body).hexdigest()}", "problem": problem, "payload_length": len(body)}
+
+
+def _responses(raw: bytes) -> list[dict]:
+    """The responses of a file; where it is damaged, a row without a record type tells why."""
+    rows = []
+    try:
+        for head, block in _records(io.BufferedReader(io.BytesIO(raw))):
+            if head.get("warc-type") == "response":
+                rows.append(_response(head, block))
+    except (ValueError, EOFError, OSError, zlib.error) as e:
+        rows.append({"problem": f"{type(e).__name__}: {e}"})
+    return rows
+
+
+def _parsed(spark: SparkSession, path: str) -> DataFrame:
+    tune(spark)
+    kind = pa.list_(pa.struct([(n, pa.string()) for n in NAMES] + [("payload_length", pa.int64())]))
+
+    def f(content: pa.Array) -> pa.Array:
+        return pa.array([_responses(x.as_py()) for x in content], kind)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.select("path", F.explode(arrow(f, PARSED)("content")).alias("r"))
+
+
 def parse(spark: SparkSession, path: str) -> DataFrame:
     """Response records of WARC files, each file in one task; Spark refuses, rather than cuts, a file
     beyond spark.sql.sources.binaryFile.maxLength."""
-    tune(spark)
+    return _parsed(spark, path).where("r.record_type is not null").select("r.*")
 
-    def f(content: pa.Array) -> pa.Array:
-        out = []
-        for raw in content.to_pylist():
-            rows = []
-            for head, block in members(io.BufferedReader(io.BytesIO(raw))):
-                http, _, body = block.partition(b"\r\n\r\n") if head.get("warc-type") == "response" else (b"", b"", block)
-                rows.append({"record_type": head.get("warc-type"), "record_id": head.get("warc-record-id", "").strip("<>") or None, "target_uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "http_headers": _header_text(http), "payload": body.decode("utf-8", "replace"), "payload_digest": head.get("warc-payload-digest") or f"sha256:{hashlib.sha256(body).hexdigest()}", "payload_length": len(body)})
-            out.append(rows)
-        kind = pa.list_(pa.struct([(n, pa.string()) for n in ("record_type", "record_id", "target_uri", "date", "http_headers", "payload", "payload_digest")] + [("payload_length", pa.int64())]))
-        return pa.array(out, kind)
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.select(F.explode(arrow(f, PARSED)("content")).alias("r")).select("r.*")
+
+def damaged(spark: SparkSession, path: str) -> DataFrame:
+    """(path, problem) of the files that are damaged, and of the payloads that couldn't be decoded."""
+    return _parsed(spark, path).where("r.problem is not null").select("path", F.col("r.record_id").alias("record_id"), F.col("r.problem").alias("problem"))

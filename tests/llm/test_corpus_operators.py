@@ -441,3 +441,43 @@ def test_stages_on_odd_rows(spark, docs_of, k):
     else:
         assert {r.doc_id for r in got.collect()} <= {None, 5, 6, 7}
     assert stage(spark, docs_of([], clash), base).count() == 0
+
+
+def test_warc_files_with_codings_and_damage(spark, tmp_path):
+    import gzip
+    import zlib
+
+    html = "<p>h\xe9</p>"
+    chunks = b"4\r\n<p>h\r\n6;x=1\r\n\xc3\xa9</p>\r\n0\r\n\r\n"
+    bare = zlib.compressobj(wbits=-15)
+    cases = {
+        "gzip": ("Content-Encoding: gzip", gzip.compress(html.encode())),
+        "raw": ("Content-Encoding: deflate", bare.compress(html.encode()) + bare.flush()),
+        "zlib": ("Content-Encoding: deflate", zlib.compress(html.encode())),
+        "chunked": ("Transfer-Encoding: chunked", chunks),
+        "undone": ("Transfer-Encoding: chunked", html.encode()),
+        "latin": ("Content-Type: text/html; charset=ISO-8859-1", html.encode("latin-1")),
+        "meta": ("X: y", b"<meta charset='latin-1'>" + html.encode("latin-1")),
+        "odd": ("Content-Type: text/html; charset=nope", html.encode()),
+        "br": ("Content-Encoding: br", b"\x0b\x02"),
+        "broken": ("Content-Encoding: gzip", b"\x1f\x8bxx"),
+        "empty": ("Content-Encoding: gzip", b""),
+    }
+
+    def record(name, kind, block):
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{name}>\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    made = [record(k, "response", f"HTTP/1.1 200 OK\r\n{h}\r\n\r\n".encode() + b) for k, (h, b) in cases.items()]
+    first = record("info", "warcinfo", b"software: x") + record("ask", "request", b"GET / HTTP/1.1\r\n\r\n")
+    (tmp_path / "a.warc").write_bytes(first + b"".join(made))
+    (tmp_path / "b.warc").write_bytes(record("before", "response", b"HTTP/1.1 200 OK\r\n\r\nok") + b"junk\r\n")
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(record("zipped", "response", b"HTTP/1.1 200 OK\r\n\r\nok")) + gzip.compress(b"x" * 999)[:-9])
+    (tmp_path / "d.warc").write_bytes(record("cut", "response", b"HTTP/1.1 200 OK\r\n\r\nlong")[:-6])
+    (tmp_path / "e.warc").write_bytes(b"")
+    got = {r.record_id: r for r in warc.parse(spark, str(tmp_path)).collect()}
+    assert set(got) == {*cases, "before", "zipped"} and {r.record_type for r in got.values()} == {"response"}
+    assert {k: r.payload for k, r in got.items()} == {**dict.fromkeys(cases, html), "meta": "<meta charset='latin-1'>" + html, "br": None, "broken": None, "empty": "", "before": "ok", "zipped": "ok"}
+    assert all(got[k].payload_length == len(b) and got[k].payload_digest == "sha256:" + hashlib.sha256(b).hexdigest() for k, (_, b) in cases.items())
+    bad = sorted((r.path.rsplit("/", 1)[1], r.record_id) for r in warc.damaged(spark, str(tmp_path)).collect())
+    assert bad == [("a.warc", "br"), ("a.warc", "broken"), ("b.warc", None), ("c.warc.gz", None), ("d.warc", None)]
+    assert warc.derive(warc.parse(spark, str(tmp_path)), ()).count() == 26

@@ -300,3 +300,17 @@ def test_lengths(spark, docs_of):
         assert (r.docs_beyond, r.tokens_kept, r.tokens_lost) == (sum(s > r.limit for s in sizes), sum(min(s, r.limit) for s in sizes), sum(max(0, s - r.limit) for s in sizes))
     assert lengths.quantiles(sums, [0.5, 1.0]).first()[:] == (sorted(sizes)[len(sizes) // 2 - 1], max(sizes))
     assert lengths.suffix_sums(lengths.histogram(docs_of([]))).count() == 0
+
+
+def test_benchmark_ids_of_any_type(spark):
+    import hashlib
+
+    texts = [("b-10", "one two three"), ("b-9", "two three"), (None, "four five"), ("b-10", "nine ten")]
+    rows = [(1, "zero one two three", None, None), (2, "four five", None, None), (3, "nine ten", None, None), (4, None, None, None)]
+    bench = spark.createDataFrame(texts, "item_id string, text string")
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    said = lambda *x: hashlib.sha256(",".join(x).encode()).hexdigest()
+    want = {1: (3, 2, said("b-10", "b-9")), 2: (2, 0, said()), 3: (2, 1, said("b-10")), 4: (0, 0, said())}
+    assert {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.report(docs, bench).collect()} == want
+    found = {r.doc_id: list(r["items"]) for r in decontaminate.hits(docs, bench, block_words=2).select("doc_id", "found.items").collect()}
+    assert found == {1: ["b-10", "b-9"], 2: [], 3: ["b-10"], 4: []}
