@@ -83,6 +83,10 @@ def test_html():
     assert page_parts(None, "own") == (None, None)
 
 
+def test_cut_references_are_text():
+    assert to_text("<p>a &amp</p><p>b&ampc; &copy; &#65;&quo</p>\x0b&nbsp;<p> d & e </p>") == "a &amp\nb&ampc; © A&quo\n\x0b\xa0\nd & e"
+
+
 def test_registry():
     assert [s.source_name for s in base.all_sources()] == ["jobfound", "talentd"]
     with pytest.raises(KeyError, match="jobfound"):
