@@ -196,6 +196,17 @@ def test_toxicity(spark, docs_of):
     assert {r.score for r in toxicity.report(docs_of(odd), none).collect()} == {0.0}
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, docs_of):
+    rows = [(i, f"word{i}x{'grumbok' * (i % 10 == 0 or i % 37 == 1):>9} ba{i} ke") for i in range(11_000)]
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in rows], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs_of(rows), labels)
+    learning = {r.doc_id for r in labels.where("pmod(xxhash64(doc_id, 7), 3) <> 0").collect()}
+    bad, good = (sum(i in learning and "grumbok" in t and (i % 10 == 0) == toxic for i, t in rows) for toxic in (True, False))
+    assert bad > 700 and good > 150 and model.lexicon["=grumbok"] == (bad + 1) / (bad + good + 2)
+    text = toxicity.CharModel.learn({"": {"a": 3, "$": 2}, "^": {"a": 2}, "a": {"a": 1, "$": 2}, "^^": {"a": 2}, "^a": {"a": 1, "$": 1}, "aa": {"$": 1}})
+    assert toxicity._char_model(spark.createDataFrame([(["a", "aa", "9"],)], "w array<string>")).cost == text.cost
+
+
 def likeliest(token, model):
     """Every way through the lattice, by its cost."""
     ways = [("", 0.0)]
