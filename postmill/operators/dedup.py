@@ -8,6 +8,7 @@ rows that conflict with those. What is left falls apart into connected component
 touch one another: those of at most SHARE rows are dealt over tasks, each of which takes its rows in their order, the rule itself. Only larger components go
 through further rounds, as all rows do while each round settles most of them. All keys of a row are handled as rows (kind, key) of one table, so each step is one join and not one for each key;
 a row without any key conflicts with none.
+A step ends in a written table; the shuffles of those before it are dropped, and tables that nothing reads any more are deleted, so that disk holds one step at a time.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from postmill.functions.url import url_key
-from postmill.runtime import discard, written
+from postmill.runtime import discard, release, written
 
 #: Keys in order of precedence.
 KEYS = ("fingerprint", "url_key", "id")
@@ -46,17 +47,29 @@ def _kept(df: DataFrame, name: str) -> tuple[DataFrame, int]:
 
 def _round(left: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame, int]:
     """The rows that are settled as leaders, the rows still undecided, and the number of those."""
-    long = _long(left, keys, "seq")
-    least = long.groupBy("kind", "key").agg(F.min("seq").alias("least"))
-    seen = long.join(least, ["kind", "key"]).groupBy("seq").agg(F.collect_set("least").alias("least"))  # as many as there are keys
-    marked = written(left.join(seen, "seq", "left").withColumn("leads", F.coalesce(F.forall("least", lambda x: x == F.col("seq")), F.lit(True))), "round")
-    first = marked.where("leads").select("seq", *keys)
-    # Whoever shares a key with a leader finds it as the least of that key.
-    lost = marked.where("not leads").select("seq", F.explode("least").alias("least")).join(first.select(F.col("seq").alias("least")), "least", "left_semi")
-    rest, n = _kept(marked.where("not leads").join(lost.select("seq"), "seq", "left_anti").select("seq", *keys), "undecided")
+    marked = _marked(left, keys)
+    release(left.sparkSession)
+    first = written(marked.where("leads").select("seq", *keys), "first")
+    rest, n = _undecided(marked.where("not leads"), first, keys)
+    discard(marked)
+    release(left.sparkSession)
     return first, rest, n
 
 
+def _marked(left: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """left with ``leads``: whether a row is the least one on each of its keys."""
+    least = _long(left, keys, "seq").groupBy("kind", "key").agg(F.min("seq").alias("seq"))
+    wins = least.groupBy("seq").agg(F.count("*").alias("wins"))
+    own = sum(F.col(k).isNotNull().cast("int") for k in keys)
+    return written(left.join(wins, "seq", "left").select("seq", *keys, (F.coalesce("wins", F.lit(0)) == own).alias("leads")), "round")
+
+
+def _undecided(others: DataFrame, first: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, int]:
+    """The rows that share no key with a leader, and their number."""
+    lost = _long(others, keys, "seq").join(_long(first, keys), ["kind", "key"], "left_semi").select("seq")
+    return _kept(others.join(lost, "seq", "left_anti").select("seq", *keys), "undecided")
+
+
 def components(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """(seq, label): the least seq that shared keys lead to. Every pass takes the least label of all neighbours, lets the row that gave the
     old label have it too, and then takes that label's own label, so that passes grow with the logarithm of the longest way."""
@@ -65,22 +78,29 @@ def components(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     pairs = long.join(least, ["kind", "key"]).where("seq <> other").select("seq", "other").distinct()
     edges = written(pairs.select(F.explode(F.array(F.struct("seq", "other"), F.struct(F.col("other").alias("seq"), F.col("seq").alias("other")))).alias("e")).select("e.*"), "edges")
     labels = written(rows.select("seq", F.col("seq").alias("label")), "labels")
+    release(rows.sparkSession)
     while True:
-        near = edges.join(labels.withColumnRenamed("seq", "other"), "other").groupBy("seq").agg(F.min("label").alias("near"))
-        told = labels.join(near, "seq", "left")
-        hook = told.where("near < label").groupBy(F.col("label").alias("seq")).agg(F.min("near").alias("hook"))  # a label hears of lower ones through all its rows
-        lower = told.join(hook, "seq", "left").select("seq", "label", F.least("label", F.coalesce("near", "label"), F.coalesce("hook", "label")).alias("low"))
-        jump = labels.select(F.col("seq").alias("low"), F.col("label").alias("next"))
-        seen = Observation()
-        moved = lower.join(jump, "low").select("seq", F.least("low", "next").alias("now"), "label").observe(seen, F.count_if(F.col("now") != F.col("label")).alias("n"))
-        after = written(moved.select("seq", F.col("now").alias("label")), "labels")
+        after, n = _lower(edges, labels)
         discard(labels)
+        release(rows.sparkSession)
         labels = after
-        if not seen.get["n"]:
+        if not n:
             discard(edges)
             return labels
 
 
+def _lower(edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+    """The labels after one pass, and how many it changed."""
+    near = edges.join(labels.withColumnRenamed("seq", "other"), "other").groupBy("seq").agg(F.min("label").alias("near"))
+    told = labels.join(near, "seq", "left")
+    hook = told.where("near < label").groupBy(F.col("label").alias("seq")).agg(F.min("near").alias("hook"))  # a label hears of lower ones through all its rows
+    lower = told.join(hook, "seq", "left").select("seq", "label", F.least("label", F.coalesce("near", "label"), F.coalesce("hook", "label")).alias("low"))
+    jump = labels.select(F.col("seq").alias("low"), F.col("label").alias("next"))
+    seen = Observation()
+    moved = lower.join(jump, "low").select("seq", F.least("low", "next").alias("now"), "label").observe(seen, F.count_if(F.col("now") != F.col("label")).alias("n"))
+    return written(moved.select("seq", F.col("now").alias("label")), "labels"), seen.get["n"]
+
+
 def _in_order(rows: DataFrame, keys: tuple[str, ...], tasks: int) -> DataFrame:
     """The rows that are stored, found one after another within the tasks that hold their components."""
 
@@ -108,7 +128,10 @@ def leaders(rows: DataFrame, keys: tuple[str, ...] = KEYS, share: int = SHARE) -
     while True:
         first, rest, n = _round(left, keys)
         done.append(first)
+        if len(done) > 1:
+            discard(left)  # a table of an earlier round
         if not n:
+            discard(rest)
             break
         if before is None or 2 * n < before:  # rounds that settle most of the rows cost less than the search for components
             left, before = rest, n
@@ -117,9 +140,12 @@ def leaders(rows: DataFrame, keys: tuple[str, ...] = KEYS, share: int = SHARE) -
         large = labels.groupBy("label").count().where(F.col("count") > share).select("label")
         placed = written(rest.join(labels, "seq").join(large.withColumn("large", F.lit(True)), "label", "left"), "placed")
         tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // max(1, share)))
+        discard(rest, labels)
+        release(rows.sparkSession)
         done.append(written(_in_order(placed.where("large is null"), keys, tasks), "settled"))
         left, n = _kept(placed.where("large").select("seq", *keys), "undecided")
-        discard(rest, labels, placed)
+        discard(placed)
+        release(rows.sparkSession)
         if not n:
             break
         before = None

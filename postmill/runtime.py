@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -37,6 +38,12 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files of finished jobs now: they go when the driver's objects are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: A size beyond this is what Spark says of tables of which it knows none.
 MAX_KNOWN = 1 << 50
 
