@@ -147,6 +147,7 @@ def leaders(rows: DataFrame, keys: tuple[str, ...] = KEYS, share: int = SHARE) -
         discard(placed)
         release(rows.sparkSession)
         if not n:
+            discard(left)
             break
         before = None
     return reduce(DataFrame.union, done)
