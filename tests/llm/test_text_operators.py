@@ -70,6 +70,31 @@ def test_quality_learns_rules_as_expressions(spark, docs_of):
     assert quality.fit(docs, told.limit(0)) == [] and quality.fit(docs.limit(0), told) == []
 
 
+def test_quality_learns_from_all_labelled_rows(spark, docs_of):
+    first = spark.range(9_000).orderBy(F.xxhash64("id"), "id").limit(8_000)
+    late = {r.id for r in spark.range(9_000).join(first, "id", "left_anti").where("id % 3 = 0").collect()}  # all bad ones come after the first 8,000
+    docs = docs_of([(i, "word ### other" if i in late else "word and other") for i in range(9_000)])
+    rules = quality.fit(docs, spark.createDataFrame([(i, int(i not in late)) for i in range(9_000)], "doc_id bigint, quality int"))
+    assert len(rules) == 1 and len(late) > 200
+    rows = docs.select("doc_id", quality.stats("text").alias("s")).select("doc_id", quality.verdict(rules, F.col("s")).alias("good"))
+    assert {r.doc_id for r in rows.where("not good").collect()} == late
+
+
+def test_quality_counts_rows_by_value(spark):
+    rng = random.Random(5)
+    rows = [(rng.random() < 0.3, *[float(rng.choice([0, 1, 2, 1000.2, 1000.3, 3e9])) for _ in quality.FEATURES]) for _ in range(3_000)]
+    table = spark.createDataFrame(rows, ["bad", *quality.FEATURES]).repartition(7)
+    key, bad, good, lo, hi = quality._by_value(table)
+    for k in range(len(quality.FEATURES)):
+        at = key >> quality.LEFT == k
+        want = [Counter((min(r[k + 1], 1000.2) if r[k + 1] < 2000 else r[k + 1]) for r in rows if r[0] == b) for b in (True, False)]
+        assert lo[at].tolist() == sorted(want[0]) and hi[at].tolist() == [0, 1, 2, 1000.3, 3e9]
+        assert bad[at].tolist() == [n for _, n in sorted(want[0].items())] and good[at].tolist() == [n for _, n in sorted(want[1].items())]
+    best, left = quality._best((key, bad, good, lo, hi), [1.0] * len(quality.FEATURES))
+    held = [r for r in rows if (r[quality.FEATURES.index(best.feature) + 1] > best.threshold) == best.above]
+    assert left == sum(not r[0] for r in held)
+
+
 def sentences(rng, parts, n):
     return " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(n))
 
