@@ -5,10 +5,10 @@ stand for letters, runs of a letter may be shorter, separators inside may vanish
 single letters are one token. Viterbi decoding under a character trigram model, learned from
 all labelled documents, restores the likeliest word. Restored words and their beginnings
 are looked up in a lexicon, learned from all labels: a feature counts where the lower bound of
-its share of toxic documents is high. Counts over every labelled document are taken of features
-that can still reach that bound; what already falls short of it by its toxic documents and a quarter of
-the others can't, since more clean documents only lower it. Documents with the same two longest tokens, as copies of one
-another have, count once, so words that merely accompany toxic ones there aren't learned.
+its share of toxic documents is high. Two documents in three say which features enter it and with which share, the third
+what such evidence is worth. The counts are of every document: those of features that can still reach the bound are taken, and what
+falls short of it by all its toxic documents and a quarter of the clean ones can't, since more clean ones only lower it. Documents with
+the same two longest tokens, as copies of one another have, count once, so words that merely accompany toxic ones there aren't learned.
 A stem that several different words of a text share is a feature of its own.
 
 Defined results: a null or empty text holds no feature and gets the lowest score; labels that
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postmill.llm.session import arrow, discard, saved, tune
+from postmill.llm.session import arrow, discard, release, saved, tune
 
 #: Beginnings of words that are features, in letters.
 STEMS = (4, 5, 6, 7)
@@ -317,25 +317,49 @@ def _short_of(good, bad, slack: float = 1e-9):
     return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n) < LEAST_SHARE - slack
 
 
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """i, t (text) and y of all labelled documents. Both are dealt by id at any size: labels pass through no driver,
+    and what is between tasks grows with the texts alone."""
+    picked = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y is not null").groupBy("i").agg(F.max("y").alias("y"))
+    return docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).join(picked.hint("merge"), "i")
+
+
+def _able(learning: DataFrame, each: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Features (f) that may enter the lexicon, of a table of y, c and what each() makes features of: all but those that
+    miss the bound by all toxic documents and a quarter of the clean ones. It holds every feature that reaches it by all."""
+    bad = each(learning.where("y")).groupBy("f").agg(F.countDistinct("c").alias("bad")).where(F.col("bad") >= LEAST_DOCS)
+    few = each(learning.where("not y").where(F.pmod("c", F.lit(4)) == 0).dropDuplicates(["c"])).groupBy("f").agg(F.count("*").alias("good"))
+    return bad.join(few, "f", "left").where(~_short_of(F.coalesce("good", F.lit(0)), F.col("bad"))).select("f")
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns from all labelled documents; label 1 is toxic."""
-    sc = tune(docs.sparkSession).sparkContext
-    picked = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y is not null").groupBy("i").agg(F.max("y").alias("y"))
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).join(picked, "i")
+    spark = tune(docs.sparkSession)
+    sc = spark.sparkContext
+    rows = _labelled(docs, labels, id_col, text_col, label_col)
     rows = rows.select((F.col("y") == 1).alias("y"), (F.pmod(F.xxhash64("i", F.lit(7)), F.lit(3)) != 0).alias("learning"), arrow(_token_lists, TOKENS)("t").alias("x"))
     rows = saved(rows.select("y", "learning", "x.w", F.xxhash64("x.c").alias("c")), "toxicity-tokens")
+    release(spark)  # the texts between tasks
     chars = _char_model(rows.select("w"))
     sent = sc.broadcast(chars)
+    known = _Once(dict)
+
+    def words_of(token: str) -> list[str]:
+        memo = known()
+        got = memo.get(token)
+        if got is None:
+            got = restored(token, sent.value)
+            if len(memo) < REMEMBERED and len(token) < 40:
+                memo[token] = got
+        return got
 
     def every(ws: pa.Array) -> pa.Array:
-        own = ({w for t in x or [] for w in restored(t, sent.value)} for x in ws.to_pylist())
+        own = ({w for t in x or [] for w in words_of(t)} for x in ws.to_pylist())
         return pa.array([list(of_words(w)) for w in own], pa.list_(pa.string()))
 
-    each = F.explode(arrow(every, T.ArrayType(T.StringType()))("w")).alias("f")
-    learning = rows.where("learning")  # the others say what evidence is worth
-    bad = learning.where("y").select("c", each).groupBy("f").agg(F.countDistinct("c").alias("bad")).where(F.col("bad") >= LEAST_DOCS)
-    few = learning.where("not y").where(F.pmod("c", F.lit(4)) == 0).dropDuplicates(["c"]).select(each).groupBy("f").agg(F.count("*").alias("good"))
-    able = {r.f: 1.0 for r in bad.join(few, "f", "left").where(~_short_of(F.coalesce("good", F.lit(0)), F.col("bad"))).select("f").collect()}  # the lexicon, and what may enter it
+    exploded = F.explode(arrow(every, T.ArrayType(T.StringType()))("w")).alias("f")
+    able = {r.f: 1.0 for r in _able(rows.where("learning"), lambda some: some.select("c", exploded)).collect()}  # the lexicon, and what may enter it
+    release(spark)
     may = sc.broadcast((chars, able))
     able_here = _Once(lambda: Model(*may.value, 0.0))
 

@@ -232,6 +232,15 @@ def test_toxicity_learns_from_all_labelled_rows(spark, docs_of):
     assert toxicity._char_model(spark.createDataFrame([(["a", "aa", "9"],)], "w array<string>")).cost == text.cost
 
 
+def test_toxicity_deals_texts_by_id_at_any_size(spark, docs_of, capsys):
+    docs, labels = docs_of([(1, "a"), (2, "b"), (2, "c"), (3, None), (None, "d")]), spark.createDataFrame([(1, 0), (2, 0), (2, 1), (3, 1), (4, 1), (None, 1), (5, None)], "doc_id bigint, toxic int")
+    rows = toxicity._labelled(docs, labels, "doc_id", "text", "toxic")
+    assert sorted((r.i, r.t or "", r.y) for r in rows.collect()) == [(1, "a", 0), (2, "b", 1), (2, "c", 1), (3, "", 1)]
+    rows.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def likeliest(token, model):
     """Every way through the lattice, by its cost."""
     ways = [("", 0.0)]
