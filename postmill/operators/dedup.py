@@ -2,12 +2,12 @@
 
 Rows arrive in the order of ``seq``. A row merges into a stored row with its fingerprint, else its URL
 key, else its id; a row that merges contributes no keys. So the rows that are stored are the
-lexicographically first maximal independent set of the conflict graph. A round settles, for
-all keys at once, rows that are the least of all undecided ones on each of their keys, and the
-rows that conflict with those. What is left falls apart into connected components of shared keys, which don't
+lexicographically first maximal independent set of the conflict graph. A pass looks at all keys of one
+kind at once: rows are sorted by key and arrival, and the first row of a key needs to wait for it no longer. A row that waits for
+none of its keys is stored, and what shares a key with it goes when that kind is looked at, at the latest. What a pass finds stays true, as rows only
+go, so passes take kinds in turn, an exchange each. Where they settle too little, what is left falls apart into connected components of shared keys, which don't
 touch one another: those of at most SHARE rows are dealt over tasks, each of which takes its rows in their order, the rule itself. Only larger components go
-through further rounds, as all rows do while each round settles most of them. All keys of a row are handled as rows (kind, key) of one table, so each step is one join and not one for each key;
-a row without any key conflicts with none.
+through further passes. A key that is alone in its kind is not looked at again; a row without any key conflicts with none.
 A step ends in a written table; the shuffles of those before it are dropped, and tables that nothing reads any more are deleted, so that disk holds one step at a time.
 """
 
@@ -27,6 +27,8 @@ from postmill.runtime import discard, release, written
 KEYS = ("fingerprint", "url_key", "id")
 #: Rows of a component that one task may settle, and about as many of all its components; with their keys some tens of megabytes.
 SHARE = 200_000
+#: Rows that a task of a pass sorts, rows that the passes of one job exchange if it has several, and buckets of hashes by which the rows of keys are counted.
+ROWS, CHAIN, BUCKETS = 1_000_000, 2_000_000, 1 << 12
 
 
 def with_url_key(rows: DataFrame) -> DataFrame:
@@ -39,35 +41,49 @@ def _long(rows: DataFrame, keys: tuple[str, ...], *columns: str) -> DataFrame:
     return rows.select(*columns, F.inline(each)).where("key is not null")
 
 
-def _kept(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """df as a written table, and its number of rows, counted on the way."""
+def _kept(df: DataFrame, name: str) -> tuple[DataFrame, dict]:
+    """df as a written table, and as counted on the way: settled rows, undecided ones, and the kinds that still matter to any row."""
     seen = Observation()
-    return written(df.observe(seen, F.count("*").alias("n")), name), seen.get["n"]
-
-
-def _round(left: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame, int]:
-    """The rows that are settled as leaders, the rows still undecided, and the number of those."""
-    marked = _marked(left, keys)
-    release(left.sparkSession)
-    first = written(marked.where("leads").select("seq", *keys), "first")
-    rest, n = _undecided(marked.where("not leads"), first, keys)
-    discard(marked)
-    release(left.sparkSession)
-    return first, rest, n
-
-
-def _marked(left: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """left with ``leads``: whether a row is the least one on each of its keys."""
-    least = _long(left, keys, "seq").groupBy("kind", "key").agg(F.min("seq").alias("seq"))
-    wins = least.groupBy("seq").agg(F.count("*").alias("wins"))
-    own = sum(F.col(k).isNotNull().cast("int") for k in keys)
-    return written(left.join(wins, "seq", "left").select("seq", *keys, (F.coalesce("wins", F.lit(0)) == own).alias("leads")), "round")
-
-
-def _undecided(others: DataFrame, first: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, int]:
-    """The rows that share no key with a leader, and their number."""
-    lost = _long(others, keys, "seq").join(_long(first, keys), ["kind", "key"], "left_semi").select("seq")
-    return _kept(others.join(lost, "seq", "left_anti").select("seq", *keys), "undecided")
+    return written(df.observe(seen, F.count_if(F.col("tell") == 0).alias("settled"), F.count_if(F.col("tell") != 0).alias("n"), F.coalesce(F.bit_or("tell"), F.lit(0)).alias("kinds")), name), seen.get
+
+
+def _open(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """rows with two sets of kinds as bits: ``wait``, where an earlier row may hold the row's key, and ``tell``, where another row may have it."""
+    own = sum(F.when(F.col(k).isNotNull(), 1 << n).otherwise(0) for n, k in enumerate(keys))
+    return rows.select("seq", *keys, own.alias("wait"), own.alias("tell"))
+
+
+def _hot(left: DataFrame, keys: tuple[str, ...], n: int, share: int) -> int:
+    """The kinds, as bits, of which a key may have more than ``share`` rows; those left out have none, since keys are counted by buckets of hashes."""
+    if n <= share:
+        return 0
+    buckets = [left.where(f"(tell & {1 << k}) <> 0").select(F.lit(k).alias("kind"), F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket")) for k, key in enumerate(keys)]
+    full = reduce(DataFrame.union, buckets).groupBy("kind", "bucket").count().where(F.col("count") > share + 2 * n // BUCKETS)
+    return sum(1 << r.kind for r in full.select("kind").distinct().collect())
+
+
+def _pass(left: DataFrame, keys: tuple[str, ...], k: int, n: int, hot: bool) -> DataFrame:
+    """left after a look at all keys of one kind. The first row of a key waits for it no longer; if it waits for none, it is stored and the others of
+    the key go. A key that is hot is no task of its own: its first row is aggregated and joined, which costs about twice the time."""
+    key, bit = keys[k], 1 << k
+    has, rest = f"(tell & {bit}) <> 0", "(held & ~{0}) = 0".format(bit)
+    if hot:
+        heads = left.where(has).groupBy(key).agg(F.min("seq").alias("head"), F.min_by("wait", "seq").alias("held"), (F.count("*") == 1).alias("alone"))
+        seen = left.where(has).join(heads, key).withColumn("first", F.col("seq") == F.col("head"))
+    else:
+        group = (F.when(F.expr(has), F.col(key)), F.when(~F.expr(has), F.col("seq")))  # rows without the key are spread
+        tasks = -(-n // ROWS)
+        if tasks > int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            left = left.repartition(tasks, *group)
+        w = Window.partitionBy(*group).orderBy("seq")
+        upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        seen = left.withColumns({"first": F.row_number().over(w) == 1, "held": F.first("wait").over(upto), "alone": F.lead("seq").over(w).isNull()})
+    now = seen.where(f"first or not ({has}) or not ({rest})").select(
+        "seq", *keys,
+        F.expr(f"if({has} and first, wait & ~{bit}, wait)").alias("wait"),
+        F.expr(f"if({has} and first and (alone or {rest}), tell & ~{bit}, tell)").alias("tell"),
+    )
+    return now.unionByName(left.where(f"not ({has})")) if hot else now
 
 
 def components(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -123,33 +139,44 @@ def _in_order(rows: DataFrame, keys: tuple[str, ...], tasks: int) -> DataFrame:
 
 def leaders(rows: DataFrame, keys: tuple[str, ...] = KEYS, share: int = SHARE) -> DataFrame:
     """The rows (seq and keys) that are stored when rows arrive by seq and nothing is stored before."""
-    left, before = rows.select("seq", *keys), None
-    done: list[DataFrame] = []
-    while True:
-        first, rest, n = _round(left, keys)
-        done.append(first)
-        if len(done) > 1:
-            discard(left)  # a table of an earlier round
-        if not n:
-            discard(rest)
-            break
-        if before is None or 2 * n < before:  # rounds that settle most of the rows cost less than the search for components
-            left, before = rest, n
+    spark, done, left = rows.sparkSession, [], None
+
+    def step(df: DataFrame) -> dict:
+        """df becomes what is left, and the table before it goes; what df settles is stored."""
+        nonlocal left
+        table, seen = _kept(df, "undecided")
+        if left is not None:
+            discard(left)
+        if seen["settled"] or not done:
+            done.append(written(table.where("tell = 0").select("seq", *keys), "first"))
+        release(spark)
+        left = table.where("tell <> 0")
+        return seen
+
+    seen, hot, before = step(_open(rows, keys)), -1, None
+    while n := seen["n"]:
+        hot = hot and _hot(left, keys, n, share)  # keys only lose rows
+        kinds = [k for k in (len(keys) - 1, *range(len(keys) - 1)) if seen["kinds"] >> k & 1]  # ids first, as they are mostly alone
+        batch = 1 if hot else min(8, max(1, CHAIN // n))
+        turns = kinds * max(1, batch // len(kinds))
+        for i in range(0, len(turns), batch):
+            df = left
+            for k in turns[i : i + batch]:
+                df = _pass(df, keys, k, seen["n"], bool(hot >> k & 1))
+            seen = step(df)
+        before, start, n = n, before, seen["n"]
+        if start is None or not n or 6 * n <= 5 * before:  # passes that settle a sixth of the rows cost less than the search for components
             continue
-        labels = components(rest, keys)
+        labels = components(left, keys)
         large = labels.groupBy("label").count().where(F.col("count") > share).select("label")
-        placed = written(rest.join(labels, "seq").join(large.withColumn("large", F.lit(True)), "label", "left"), "placed")
-        tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // max(1, share)))
-        discard(rest, labels)
-        release(rows.sparkSession)
+        placed = written(left.select("seq", *keys).join(labels, "seq").join(large.withColumn("large", F.lit(True)), "label", "left"), "placed")
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // max(1, share)))
+        discard(labels)
+        release(spark)
         done.append(written(_in_order(placed.where("large is null"), keys, tasks), "settled"))
-        left, n = _kept(placed.where("large").select("seq", *keys), "undecided")
+        seen, before = step(_open(placed.where("large"), keys)), None
         discard(placed)
-        release(rows.sparkSession)
-        if not n:
-            discard(left)
-            break
-        before = None
+    discard(left)
     return reduce(DataFrame.union, done)
 
 

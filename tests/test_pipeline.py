@@ -506,3 +506,37 @@ def test_leaders_leave_no_table_but_theirs(spark, monkeypatch, tmp_path):
     rows = spark.createDataFrame([(k, f"f{(k + 1) // 2}", f"u{k // 2}", str(k)) for k in range(12)], "seq long, fingerprint string, url_key string, id string")
     assert sorted(r.seq for r in dedup.leaders(rows).collect()) == list(range(0, 12, 2))
     assert {p.name.split("-")[0] for p in tmp_path.iterdir() if any(p.glob("*.parquet"))} <= {"first", "settled"}
+
+
+def greedy(rows):
+    taken, kept = set(), []
+    for seq, *own in sorted(rows):
+        held = {(n, v) for n, v in enumerate(own) if v is not None}
+        if not held & taken:
+            taken |= held
+            kept.append(seq)
+    return kept
+
+
+@pytest.mark.parametrize(("share", "chain"), [(dedup.SHARE, 2_000_000), (dedup.SHARE, 0), (100, 0)])
+def test_leaders_pass_over_few_rows(spark, monkeypatch, share, chain):
+    """Passes that settle a good part of the rows are gone on with: no search for components, and all passes together write a few times the rows.
+    A key of more than ``share`` rows is aggregated, and nothing is sorted by it."""
+    monkeypatch.setattr(dedup, "CHAIN", chain, raising=False)
+    rng = random.Random(7)
+    rows = [(k, f"f{k // 4}", None if rng.random() < 0.2 else f"u{0 if rng.random() < 0.1 else rng.randrange(200)}", f"i{k}") for k in range(3000)]
+    passed, hot = [], []
+    kept, one = dedup._kept, getattr(dedup, "_pass", None)
+
+    def count(df, name):
+        table, seen = kept(df, name)
+        passed.append(table.count())
+        return table, seen
+
+    monkeypatch.setattr(dedup, "_kept", count)
+    monkeypatch.setattr(dedup, "_pass", lambda *a: hot.append(a[-1]) or one(*a), raising=False)
+    monkeypatch.setattr(dedup, "components", lambda *a: pytest.fail("components were searched"))
+    df = spark.createDataFrame(rows, "seq long, fingerprint string, url_key string, id string")
+    assert sorted(r.seq for r in dedup.leaders(df, share=share).collect()) == greedy(rows)
+    assert sum(passed) < 9 * len(rows)
+    assert any(hot) == (share == 100)
